@@ -16,6 +16,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Of ASCII, all but letters and digits.
+MARKS = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,6 +54,7 @@ class Words:
     first: np.ndarray
     buf: np.ndarray
     offsets: np.ndarray
+    total: np.ndarray  # running sums, from which any part of a word can be hashed
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +66,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
-def words(column: pa.Array, fold: bool = False) -> Words:
-    """fold: A-Z count as a-z."""
+def words(column: pa.Array, fold: bool = False, apart: np.ndarray = SPACE) -> Words:
+    """fold: A-Z count as a-z. apart: the bytes between words."""
     buf, at = utf8(column)
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64), buf, at)
-    solid = ~SPACE[buf]
+        return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64), buf, at, np.zeros(1, np.uint64))
+    solid = ~apart[buf]
     edge = np.zeros(n + 1, bool)  # a text begins here, or all texts end
     edge[at] = True
     before = np.empty(n, bool)
@@ -85,7 +88,14 @@ def words(column: pa.Array, fold: bool = False) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _CODES)[buf] * power[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _PLACES[63])
-    return Words(hashes, starts, ends, np.searchsorted(starts, at), buf, at)
+    return Words(hashes, starts, ends, np.searchsorted(starts, at), buf, at, total)
+
+
+def leads(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first k bytes of the words that are longer, and the places of these words among all."""
+    at = np.flatnonzero(w.ends - w.starts > k)
+    begin = w.starts[at]
+    return mix((w.total[begin + k] - w.total[begin]) * _power(len(w.buf) + 1)[1][begin] + _PLACES[k]), at
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
