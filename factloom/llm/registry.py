@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language, media, quality, toxicity, url_filters, warc
+from . import html_text, language, media, packing, quality, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_media_columns": media.op5_media_columns,
     "op7_warc": warc.op7_warc,
+    "op8_packing": packing.op8_packing,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_quality_rules": quality.op10_quality_rules,
 }
