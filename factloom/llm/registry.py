@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import html_text, language, media, mixing, packing, quality, toxicity, url_filters, warc
+from . import html_text, jaccard, language, media, mixing, packing, quality, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_media_columns": media.op5_media_columns,
     "op6_mixing_sources": mixing.op6_mixing_sources,
     "op7_warc": warc.op7_warc,
