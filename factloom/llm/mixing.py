@@ -22,6 +22,8 @@ nothing taken; the order of equal rows doesn't matter, because they get equal va
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,13 @@ BLOCK = 64
 SEED = 20240229
 #: Slots of an output shard at least, and shards at most.
 SHARD_SLOTS, MOST_SHARDS = 4096, 65_536
-#: Documents of a bucket within which offsets are summed up.
-BUCKET_DOCS = 20_000
 _ROUNDS, _WALK = 4, 24
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, bucket. The only step that reads texts."""
-    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
+    """doc_id, source, size in words, bucket. The only step that reads texts. As many buckets as documents in each: the
+    running sums over buckets and those within them are of equal length."""
+    buckets = math.isqrt(docs.count()) + 1
     text = F.coalesce(docs["text"], F.lit(""))
     return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size")).withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.lit(buckets))
