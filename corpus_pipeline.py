@@ -55,11 +55,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is repeated as often as the mix takes it: whole times, and once more by chance, at the odds of the
     part of it that the mix takes besides (decided by a hash, so that reruns agree). Documents without words stay."""
     rows = _numbered(docs)
-    taken = mixing.mix(rows.select(F.col(_ROW).alias("doc_id"), "text", "source"))[0]
+    taken = mixing.mix(rows, keep=(_ROW,))[0]
     share = F.col("taken") / F.col("size")
-    odds = F.pmod(F.xxhash64("doc_id", F.lit(mixing.SEED)), F.lit(1 << 30)) / float(1 << 30)
+    odds = F.pmod(F.xxhash64("doc_id", "size", F.lit(mixing.SEED)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(share) + (odds < share - F.floor(share)).cast("int")).cast("int")
-    times = taken.select(F.col("doc_id").alias(_ROW), copies.alias("copies")).filter("copies > 0")
+    times = taken.select(_ROW, copies.alias("copies")).filter("copies > 0")
     return rows.join(times, _ROW).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
 

@@ -35,15 +35,17 @@ BLOCK = 64
 SEED = 20240229
 #: Slots of an output shard at least, and shards at most.
 SHARD_SLOTS, MOST_SHARDS = 4096, 65_536
+#: Slots that a task makes of their counts.
+TASK_SLOTS = 1 << 18
 _ROUNDS, _WALK = 4, 24
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, bucket. The only step that reads texts. As many buckets as documents in each: the
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, keep, size in words, bucket. The only step that reads texts. As many buckets as documents in each: the
     running sums over buckets and those within them are of equal length."""
     buckets = math.isqrt(docs.count()) + 1
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size")).withColumn(
+    return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), *(docs[c] for c in keep), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size")).withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.lit(buckets))
     )
 
@@ -87,7 +89,8 @@ def exact_slots(drawn: DataFrame, sources: DataFrame) -> DataFrame:
     in_order = Window.orderBy("idx")
     over, under = F.greatest(F.col("have") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("have"), F.lit(0))
     have = have.select("*", (F.sum(over).over(in_order) - over).alias("over_from"), (F.sum(under).over(in_order) - under).alias("under_from"))
-    rows = drawn.join(have, "idx")
+    tasks = max(1, -(-(s.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS))
+    rows = drawn.join(have, "idx").repartition(tasks, "shard", "idx")  # small as it is, it's about to grow to all slots
     end = F.col("base") + F.col("drawn")
     kept = rows.filter("base < slots").select("shard", "idx", F.explode(F.sequence("base", F.least(end, F.col("slots")) - 1)).alias("i"))
     spare = rows.filter(end > F.col("slots")).select("shard", "slots", "over_from", F.explode(F.sequence(F.greatest("base", "slots"), end - 1)).alias("i"))
@@ -141,10 +144,10 @@ def offsets(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return docs.join(first, ["idx", "bucket"]).withColumn("start", F.col("first") + F.col("within")).drop("first", "within")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, source, size, source_size, target, taken), and the slots of the mix (shard, idx, i, block, words)."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = SEED, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, source, keep, size, source_size, target, taken), and the slots of the mix (shard, idx, i, block, words)."""
     spark = docs.sparkSession
-    sized = common.materialize(sizes(docs))
+    sized = common.materialize(sizes(docs, keep))
     sources = common.materialize(targets(sized, weights, most))
     slots = common.materialize(taken_blocks(exact_slots(common.materialize(draws(spark, sources, seed)), sources), sources, seed))
     blocks = slots.groupBy("idx", "block").agg(F.sum(F.col("all").cast("long")).alias("times"), F.sum(F.when(~F.col("all"), F.col("words")).otherwise(F.lit(0))).alias("cut"))
@@ -152,8 +155,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     parts = offsets(sized, sources).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK)))))
     lo, hi = F.greatest("start", F.col("block") * BLOCK) - F.col("block") * BLOCK, F.least(end, (F.col("block") + 1) * BLOCK) - F.col("block") * BLOCK
     got = F.col("times") * (hi - lo) + F.greatest(F.lit(0), F.least(hi, F.col("cut")) - lo)
-    found = parts.join(blocks, ["idx", "block"], "left").groupBy("idx", "bucket", "pos", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.coalesce(got, F.lit(0))).alias("taken"))
-    return found.select("doc_id", "source", "size", "source_size", "target", "taken"), slots
+    found = parts.join(blocks, ["idx", "block"], "left").groupBy("idx", "bucket", "pos", "doc_id", *keep, "source", "size", "source_size", "target").agg(F.sum(F.coalesce(got, F.lit(0))).alias("taken"))
+    return found.select("doc_id", "source", *keep, "size", "source_size", "target", "taken"), slots
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
