@@ -19,7 +19,7 @@ counts; an empty table gives an empty result; texts are read whole, whatever the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,12 +114,15 @@ def train(docs: DataFrame) -> Model:
 
 
 
-def _normal(scores: list[Column]) -> list[Column]:
-    """exp of log scores, so that they sum up to 1."""
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - best) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it, and whatever the optimizer puts together."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _normal(scores: Column) -> Column:
+    """exp of an array of log scores, so that they sum up to 1."""
+    parts = _with(scores, lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
+    return _with(parts, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda t, y: t + y)))
 
 
 def identify(records: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -136,7 +139,7 @@ def identify(records: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         F.lower(F.coalesce("host", F.lit(""))).alias("host"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in clean.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, "declared", "host"]) + ", trigrams long, " + ", ".join(f"e{i} double" for i in range(len(names)))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, "declared", "host"]) + ", trigrams long, e array<double>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
@@ -144,27 +147,27 @@ def identify(records: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             if any(html := batch.column("html").to_pylist()):
                 text = pa.array([extract(x) if h else x for x, h in zip(text.to_pylist(), html, strict=True)], pa.large_string())
             n, e = model.evidence(text)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in [*keep, "declared", "host"]), pa.array(n), *(pa.array(e[:, i]) for i in range(len(names)))],
-                [*keep, "declared", "host", "trigrams", *(f"e{i}" for i in range(len(names)))],
-            )
+            lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(names), e.ravel())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "declared", "host"]), pa.array(n), lists], [*keep, "declared", "host", "trigrams", "e"])
 
-    wrong = (1 - DECLARED_RIGHT) / max(1, len(names) - 1)
-    said = [F.when(F.col("declared") == name, F.log(F.lit(DECLARED_RIGHT))).when(F.col("declared").isin(names), F.log(F.lit(max(wrong, 1e-6)))).otherwise(F.lit(0.0)) for name in names]
+    wrong = float(np.log(max((1 - DECLARED_RIGHT) / max(1, len(names) - 1), 1e-6)))
+    said = F.when(F.col("declared").isin(names), F.array(*(F.when(F.col("declared") == name, F.lit(float(np.log(DECLARED_RIGHT)))).otherwise(F.lit(wrong)) for name in names))).otherwise(F.array_repeat(F.lit(0.0), len(names)))
     seen = common.materialize(clean.mapInArrow(read, schema))
-    rows = seen.select("*", *(F.when(F.col("trigrams") > 0, p).otherwise(F.lit(0.0)).alias(f"p{i}") for i, p in enumerate(_normal([F.col(f"e{i}") + said[i] for i in range(len(names))]))))
-    priors = common.materialize(host_priors(rows, names))
+    rows = seen.withColumn("e", F.zip_with("e", said, lambda x, y: x + y)).withColumn("own", F.when(F.col("trigrams") > 0, 1.0).otherwise(0.0))
+    rows = rows.withColumn("p", F.transform(_normal(F.col("e")), lambda x: x * F.col("own")))
     # a host's counts without the text's own, smoothed towards its domain
-    left = F.greatest(F.col("n") - F.when(F.col("trigrams") > 0, 1.0).otherwise(0.0), F.lit(0.0)) + STRENGTH
-    scores = [F.col(f"e{i}") + said[i] + F.log((F.greatest(F.col(f"c{i}") - F.col(f"p{i}"), F.lit(0.0)) + STRENGTH * F.col(f"up{i}")) / left) for i in range(len(names))]
-    judged = rows.join(priors, "host", "left").select(*keep, "declared", "host", "trigrams", *(p.alias(f"q{i}") for i, p in enumerate(_normal(scores))))
-    best = F.greatest(*(F.col(f"q{i}") for i in range(len(names)))) if len(names) > 1 else F.col("q0")
-    which = F.coalesce(*(F.when(F.col(f"q{i}") == best, F.lit(name)) for i, name in enumerate(names)))
-    sound = (F.col("trigrams") > 0) & (best >= MIN_POSTERIOR)
+    prior = F.zip_with("c", "p", lambda c, p: F.greatest(c - p, F.lit(0.0)))
+    total = F.greatest(F.col("n") - F.col("own"), F.lit(0.0)) + STRENGTH
+    prior = F.zip_with(prior, "up", lambda c, u: F.log((c + STRENGTH * u) / total))
+    judged = rows.join(common.materialize(host_priors(rows, names)), "host", "left")
+    judged = judged.select(*keep, "declared", "host", "trigrams", _normal(F.zip_with("e", prior, lambda x, y: x + y)).alias("q"))
+    best = _with(F.col("q"), lambda q: F.struct(F.array_max(q).alias("p"), F.get(F.array(*map(F.lit, names)), F.array_position(q, F.array_max(q)).cast("int") - 1).alias("language")))
+    judged = judged.withColumn("best", best)
+    sound = (F.col("trigrams") > 0) & (F.col("best.p") >= MIN_POSTERIOR)
     return judged.select(
         *keep,
-        F.when(sound, which).otherwise("und").alias("language"),
-        F.when(F.col("trigrams") > 0, best).otherwise(F.lit(0.0)).alias("posterior"),
+        F.when(sound, F.col("best.language")).otherwise("und").alias("language"),
+        F.when(F.col("trigrams") > 0, F.col("best.p")).otherwise(F.lit(0.0)).alias("posterior"),
         F.nullif("declared", F.lit("")).alias("declared"),
         "host",
         sound.alias("kept"),
@@ -172,26 +175,23 @@ def identify(records: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def host_priors(rows: DataFrame, names: list[str]) -> DataFrame:
-    """host, its texts n and soft counts c0.., and up0..: the smoothed prior of its domain. Three aggregations, each of
-    the one before; the rows themselves are added up on the map side."""
+    """host, its texts n and soft counts c, and up: the smoothed prior of its domain (arrays by language). Three
+    aggregations, each of the one before; the rows themselves are added up on the map side."""
     k = range(len(names))
-    total = lambda by, of: of.groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in k))
-    hosts = rows.select("host", F.when(F.col("trigrams") > 0, 1.0).otherwise(0.0).alias("n"), *(F.col(f"p{i}").alias(f"c{i}") for i in k))
-    hosts = total(["host"], hosts).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
+    sums = lambda of, *by: of.groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(F.col("c")[i]).alias(f"c{i}") for i in k)).select(*by, "n", F.array(*(f"c{i}" for i in k)).alias("c"))
+    hosts = sums(rows.select("host", F.col("own").alias("n"), F.col("p").alias("c")), "host").withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
     hosts = common.materialize(hosts.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)))
-    domains = total(["domain", "suffix"], hosts)
-    suffixes = total(["suffix"], domains)
-    whole = suffixes.agg(F.sum("n").alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in k)).first()
-    n = (whole["n"] or 0.0) + len(names)
-    top = [F.lit(((whole[f"c{i}"] or 0.0) + 1.0) / n) for i in k]
-    country = [F.when(F.col("suffix").isin([s for s, lang in COUNTRY.items() if lang == name]), SUFFIX_COUNT).otherwise(0.0) for name in names]
-    extra = sum(country[1:], country[0])
-    smooth = lambda up, more, extra: [((F.col(f"c{i}") + more[i] + STRENGTH * up[i]) / (F.col("n") + extra + STRENGTH)).alias(f"up{i}") for i in k]
-    none = [F.lit(0.0)] * len(names)
-    suffixes = suffixes.select("suffix", *smooth(top, country, extra))
-    domains = domains.join(suffixes, "suffix", "left")
-    domains = domains.select("domain", *smooth([F.col(f"up{i}") for i in k], none, F.lit(0.0)))
-    return hosts.join(domains, "domain", "left").select("host", "n", *(f"c{i}" for i in k), *(f"up{i}" for i in k))
+    domains = sums(hosts, "domain", "suffix")
+    suffixes = common.materialize(sums(domains, "suffix"))
+    whole = sums(suffixes).first()
+    n, c = whole["n"] or 0.0, [x or 0.0 for x in whole["c"]]
+    top = F.array(*(F.lit((x + 1.0) / (n + len(names))) for x in c))
+    country = F.array(*(F.when(F.col("suffix").isin([s for s, lang in COUNTRY.items() if lang == name]), SUFFIX_COUNT).otherwise(0.0) for name in names))
+    extra = F.aggregate(country, F.lit(0.0), lambda t, x: t + x)
+    smooth = lambda counts, up, size: F.zip_with(counts, up, lambda c, u: (c + STRENGTH * u) / (size + STRENGTH)).alias("up")
+    suffixes = suffixes.select("suffix", smooth(F.zip_with("c", country, lambda x, y: x + y), top, F.col("n") + extra))
+    domains = domains.join(suffixes, "suffix", "left").select("domain", smooth(F.col("c"), F.col("up"), F.col("n")))
+    return hosts.join(domains, "domain", "left").select("host", "n", "c", "up")
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
