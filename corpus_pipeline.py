@@ -31,7 +31,7 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of no language that is known, or of none with enough certainty, go."""
-    rows = _numbered(ship(spark) and docs)
+    rows = _numbered(docs)
     records = rows.select(_ROW, "text", F.lit(False).alias("html"), F.col("lang").alias("declared"), F.col("source").alias("host"))
     return _kept(rows, language.identify(records, language.train(rows), [_ROW]).filter("kept"))
 
@@ -44,7 +44,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of the least doc_id stays, and all documents without words."""
-    rows = _numbered(ship(spark) and docs)
+    rows = _numbered(docs)
     named = jaccard.join(rows.select(F.col(_ROW).alias("doc_id"), "text"))  # row numbers for ids: one row of each component is its name
     named = named.select(F.col("doc_id").alias(_ROW), "component_id")
     first = rows.select(_ROW, "doc_id").join(named, _ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _ROW)).alias("one"))
@@ -64,15 +64,36 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(ship(spark) and docs)
+    return packing.pack(docs)
+
+
+_scratch: list[common.Scratch] = []
+
+
+def _stage(f):
+    """A stage deletes the tables that the stage before it worked with: by then that one's result is written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _scratch:
+            old = _scratch.pop()
+            if old.spark is spark:
+                common.release(spark, old.paths_at_end)
+        with_own = common.Scratch(ship(spark)).__enter__()
+        out = f(spark, docs, sf_dir)
+        with_own.paths_at_end = with_own.paths
+        _scratch.append(with_own)
+        return out
+
+    run.__doc__ = f.__doc__
+    return run
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("toxicity", toxicity_filter),
-    ("near_duplicates", near_duplicates),
-    ("mixing", mixture),
-    ("packing", packed),
+    ("language_id", _stage(language_id)),
+    ("toxicity", _stage(toxicity_filter)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("mixing", _stage(mixture)),
+    ("packing", _stage(packed)),
 ]
 
 #: Trained models, and tokens, aren't expressible in SQL: tests hold the stages against plain versions of them.
@@ -80,7 +101,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, path = common.table(spark, sf_dir, "documents").select(*COLUMNS), None
     for _, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir))
+        common.release(spark, [path] if path else [])
+        path = docs.materialized
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -60,14 +60,38 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized = path
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/factloom-" in path:
-            _hadoop_delete(df.sparkSession, path)
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for path in paths:
+        _hadoop_delete(spark, path)
+        _written.remove((spark, path))
+
+
+class Scratch:
+    """with Scratch(spark) as s: tables materialized inside are deleted at the end, but for those given to s.keep()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Scratch:
+        self.before = {p for _, p in _written}
+        return self
+
+    @property
+    def paths(self) -> list[str]:
+        return [p for s, p in _written if s is self.spark and p not in self.before and p not in self.kept]
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.materialized)
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        release(self.spark, self.paths)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], by: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
