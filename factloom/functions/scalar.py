@@ -97,10 +97,9 @@ def relative_time(seconds: Column) -> Column:
 
 def bounded_text(text: Column, most: int) -> Column:
     """text (cut so that its UTF-8 has `most` bytes at most, never within a character) and whether it was cut."""
-    raw = F.encode(text, "UTF-8")
     cut = F.octet_length(text) > most
-    left = F.decode(F.substring(raw, 1, most), "UTF-8")
-    whole = F.regexp_replace(left, "�+$", "")
+    left = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    whole = F.regexp_replace(left, "\ufffd+$", "")
     return F.struct(F.when(cut, whole).otherwise(text).alias("text"), F.coalesce(cut, F.lit(False)).alias("cut"))
 
 

@@ -130,7 +130,7 @@ def _joined(parts: list[Column | None]) -> Column:
 def classify(listings: DataFrame, r: Rubric = RUBRIC) -> DataFrame:
     """listings with checks, misses, unknowns, status, evidence_status, eligible."""
     found, extra = criteria(r)
-    out = listings.withColumns({"checks": F.array(*(c.check for c in found)), "misses": _joined([c.miss for c in found]), "unknowns": _joined([*(c.unknown for c in found), *extra])})
+    out = listings.withColumns({"checks": F.array(*(c.check for c in found)).cast("array<struct<field:string,status:string,reason:string>>"), "misses": _joined([c.miss for c in found]), "unknowns": _joined([*(c.unknown for c in found), *extra])})
     status = F.when(F.size("misses") > 0, "miss").when(F.size("unknowns") > 0, "unverified").otherwise("match")
     out = out.withColumn("status", status)
     evidence = F.when(F.exists("checks", lambda c: c.status == "fail"), "miss").when(F.exists("checks", lambda c: c.status == "unknown"), "unverified").otherwise(F.col("status"))

@@ -13,9 +13,6 @@ from ..functions.scalar import haversine_km
 from ..model import RUBRIC, Rubric, Scaled
 from .criteria import area_key, classify
 
-_TEXT = F.col
-
-
 def signal(magnitude: Column, fired: Column | None = None, confidence: float = 1.0) -> Column:
     """Null magnitude: no signal."""
     return F.when(magnitude.isNotNull(), F.struct((fired if fired is not None else F.lit(True)).alias("fired"), magnitude.cast("double").alias("magnitude"), F.lit(confidence).alias("confidence")))
@@ -102,6 +99,9 @@ def contribution(weight: float | Scaled, s: Column, shape: Callable[[Column], Co
     return F.when(s.isNotNull() & s.fired, amount).otherwise(F.lit(0.0))
 
 
+TERM = "struct<rule_key:string,category:string,label:string,min_possible:double,max_possible:double,contribution:double>"
+
+
 def _term(key: str, category: str, label: str, lo: float, hi: float, amount: Column) -> Column:
     return F.struct(F.lit(key).alias("rule_key"), F.lit(category).alias("category"), F.lit(label).alias("label"), F.lit(float(lo)).alias("min_possible"), F.lit(float(hi)).alias("max_possible"), amount.alias("contribution"))
 
@@ -132,7 +132,7 @@ def terms(r: Rubric) -> tuple[list[Column], float, float]:
 def score(listings: DataFrame, r: Rubric = RUBRIC) -> DataFrame:
     """Classified listings with breakdown (an array of terms), total, and score (0 to 100; without any span 100)."""
     found, lo, hi = terms(r)
-    out = classify(listings, r).withColumn("breakdown", F.array(*found))
+    out = classify(listings, r).withColumn("breakdown", F.array(*found).cast(f"array<{TERM}>"))
     out = out.withColumn("total", F.aggregate("breakdown", F.lit(0.0), lambda a, t: a + t.contribution))
     return out.withColumn("score", F.lit(100.0) if hi == lo else clamp(100.0 * (F.col("total") - lo) / (hi - lo), 0.0, 100.0))
 

@@ -4,12 +4,13 @@ The batch forms are what the streams have to agree with; tests hold them togethe
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 #: When what was seen is forgotten, leases and attempts of jobs, the longest wait between attempts.
 FORGET_DAYS, LEASE_S, ATTEMPTS, LONGEST_WAIT_S = 90, 300, 3, 30
@@ -27,7 +28,7 @@ def run_available(spark: SparkSession, schema: str, path: str, checkpoint: str,
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """A stream's counts by window and type, late rows dropped past the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_arrivals(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -48,38 +49,33 @@ def dedupe(rows: DataFrame) -> DataFrame:
     return r.select("id", "sig", "at", F.when(F.col("again"), "refresh").when(F.col("taken"), "touch").when(F.col("ok"), "accept").otherwise("exclude").alias("outcome"))
 
 
-class Seen(StatefulProcessor):
-    """Streaming form within one signature: state holds whether it is taken, the ids seen, and forgets after FORGET_DAYS."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = FORGET_DAYS * 86_400_000
-        self.taken = handle.getValueState("taken", "taken boolean", ttl)
-        self.ids = handle.getMapState("ids", "id string", "at long", ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["at", "id"])
-        taken = self.taken.exists() and bool(self.taken.get()[0])
-        out = []
-        for r in pdf.itertuples():
-            if self.ids.containsKey((str(r.id),)):
-                outcome = "refresh"
-            elif taken:
-                outcome = "touch"
-            else:
-                outcome = "accept" if r.ok else "exclude"
-                taken = taken or bool(r.ok)
-            self.ids.updateValue((str(r.id),), (int(r.at),))
-            out.append((r.id, key[0], r.at, outcome))
-        self.taken.update((taken,))
-        yield pd.DataFrame(out, columns=["id", "sig", "at", "outcome"])
-
-    def close(self) -> None:
-        pass
+def _outcomes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Within one signature: the state holds whether it is taken, and the ids seen; idle for FORGET_DAYS, it is dropped."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    taken, seen = state.get if state.exists else (False, "[]")
+    ids = set(json.loads(seen))
+    pdf = pd.concat(list(parts)).sort_values(["at", "id"])
+    out = []
+    for r in pdf.itertuples():
+        if r.id in ids:
+            outcome = "refresh"
+        elif taken:
+            outcome = "touch"
+        else:
+            outcome = "accept" if r.ok else "exclude"
+            taken = bool(r.ok)
+        ids.add(r.id)
+        out.append((r.id, key[0], r.at, outcome))
+    state.update((taken, json.dumps(sorted(ids))))
+    state.setTimeoutDuration(FORGET_DAYS * 86_400_000)
+    yield pd.DataFrame(out, columns=["id", "sig", "at", "outcome"])
 
 
 def dedupe_stream(rows: DataFrame) -> DataFrame:
-    """rows: a stream of id, sig, at, ok. Needs the RocksDB state store."""
-    return rows.groupBy("sig").transformWithStateInPandas(Seen(), "id string, sig string, at long, outcome string", "Append", "ProcessingTime")
+    """Streaming form of dedupe(). rows: a stream of id (string), sig, at, ok, where an id always comes with one signature."""
+    return rows.groupBy("sig").applyInPandasWithState(_outcomes, "id string, sig string, at long, outcome string", "taken boolean, ids string", "append", "ProcessingTimeTimeout")
 
 
 def forget(state: DataFrame, now: str, days: int = FORGET_DAYS) -> DataFrame:
