@@ -49,8 +49,8 @@ def dedupe(rows: DataFrame) -> DataFrame:
     return r.select("id", "sig", "at", F.when(F.col("again"), "refresh").when(F.col("taken"), "touch").when(F.col("ok"), "accept").otherwise("exclude").alias("outcome"))
 
 
-def _outcomes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Within one signature: the state holds whether it is taken, and the ids seen; idle for FORGET_DAYS, it is dropped."""
+def _outcomes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
+    """Within one signature: the state holds whether it is taken, and the ids seen; idle for idle_ms, it is dropped."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -69,13 +69,20 @@ def _outcomes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
         ids.add(r.id)
         out.append((r.id, key[0], r.at, outcome))
     state.update((taken, json.dumps(sorted(ids))))
-    state.setTimeoutDuration(FORGET_DAYS * 86_400_000)
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["id", "sig", "at", "outcome"])
 
 
-def dedupe_stream(rows: DataFrame) -> DataFrame:
-    """Streaming form of dedupe(). rows: a stream of id (string), sig, at, ok, where an id always comes with one signature."""
-    return rows.groupBy("sig").applyInPandasWithState(_outcomes, "id string, sig string, at long, outcome string", "taken boolean, ids string", "append", "ProcessingTimeTimeout")
+def dedupe_stream(rows: DataFrame, forget_days: int | None = None) -> DataFrame:
+    """Streaming form of dedupe(). rows: a stream of id (string), sig, at, ok, where an id always comes with one signature.
+
+    forget_days lets idle state time out by the clock; such a query makes batches for ever, so it suits a processing-time
+    trigger, not availableNow (there, forget() trims a table of what was seen)."""
+    idle = forget_days * 86_400_000 if forget_days else None
+    each = lambda key, parts, state: _outcomes(key, parts, state, idle)
+    timeout = "ProcessingTimeTimeout" if idle else "NoTimeout"
+    return rows.groupBy("sig").applyInPandasWithState(each, "id string, sig string, at long, outcome string", "taken boolean, ids string", "append", timeout)
 
 
 def forget(state: DataFrame, now: str, days: int = FORGET_DAYS) -> DataFrame:
