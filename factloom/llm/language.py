@@ -107,7 +107,7 @@ def train(docs: DataFrame) -> Model:
     counts = np.full(len(names) << _BITS, 0.0)
     found = sample.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most the table's size
     counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    table = counts.reshape(len(names), -1) + 0.1
+    table = counts.reshape(len(names), 1 << _BITS) + 0.1
     table = np.log(table / table.sum(axis=1, keepdims=True)).T if names else np.zeros((1 << _BITS, 0))
     return Model(names, np.ascontiguousarray(table, np.float32))
 
