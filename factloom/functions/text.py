@@ -65,6 +65,12 @@ PATTERNS = {
 }
 
 
+def once(c: Column) -> Column:
+    """c, computed once for each row where it stands: the optimizer doesn't copy an expression with a random part into the
+    filters and projections above it. For what is dear and named often, such as dozens of patterns over one text."""
+    return F.when(F.rand(0) < 2, c)
+
+
 def has(text: Column, *names: str) -> Column:
     out = F.lower(text).rlike(PATTERNS[names[0]])
     for n in names[1:]:
@@ -186,6 +192,15 @@ EXTRACTORS = {
 }
 
 
+#: Marks that rules look for besides the extractors.
+MARKS = ("gym", "gym_near", "grocery_near")
+
+
+def facts(text: Column) -> Column:
+    """All extractors' values and MARKS of a text, as one struct, computed once."""
+    return once(F.struct(*(f(text).alias(name) for name, f in EXTRACTORS.items()), *(has(text, m).alias(m) for m in MARKS)))
+
+
 def parking_reconciled(structured: Column, from_text: Column) -> Column:
     """state, claims: where the source's field and the text disagree, the field is contradictory and both claims stay."""
     clash = structured.isNotNull() & from_text.isNotNull() & (F.lower(structured) != F.lower(from_text))

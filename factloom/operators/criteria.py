@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import RUBRIC, Range, Rubric
+from ..session import per_session
 
 
 def _s(x: str | Column) -> Column:
@@ -61,11 +62,12 @@ def area_key() -> Column:
     return F.nullif(F.trim("area_key"), F.lit(""))
 
 
+@per_session
 def criteria(r: Rubric) -> tuple[list[Criterion], list[Column]]:
     """The criteria in force, and arrays of unknown reasons that stand outside them."""
     out: list[Criterion] = []
     extra: list[Column] = []
-    text = F.col("description")
+    fact = lambda name: F.col(f"facts.{name}")
     if r.rent_max is not None:
         rent = F.col("rent")
         odd = rent.isNotNull() & ((F.col("currency") != r.currency) | (F.col("period") != "month"))
@@ -98,7 +100,7 @@ def criteria(r: Rubric) -> tuple[list[Criterion], list[Column]]:
         out.append(Criterion("neighbourhood", (area_key().isNull(), "unknown", "area unknown"), (~area_key().isin(*r.areas), "fail", "area not in allowed list"), otherwise=("pass", "neighbourhood is in the allowed list")))
     if "basement" in r.exclude:
         # an unknown here is shown, but isn't a reason to doubt the listing
-        out.append(Criterion("basement", (X.basement(text), "fail", "basement unit"), otherwise=("unknown", "basement status unstated"), unknown_counts=False))
+        out.append(Criterion("basement", (fact("basement"), "fail", "basement unit"), otherwise=("unknown", "basement status unstated"), unknown_counts=False))
     if "furnished_only" in r.exclude:
         kind = F.lower(F.trim("furnishing"))
         free = kind.contains("unfurnished") | kind.contains("optional")
@@ -106,18 +108,18 @@ def criteria(r: Rubric) -> tuple[list[Criterion], list[Column]]:
             Criterion("furnishing", (kind.isNull(), "unknown", "furnishing status unstated"), (free, "pass", "not restricted to furnished"), (kind.contains("furnished"), "fail", "furnished only"), otherwise=("unknown", "furnishing status unclear"), unknown_counts=False)
         )
     if r.require_laundry:
-        out.append(Criterion("in_suite_laundry", (X.in_suite_laundry(text).isNull(), "unknown", "in-suite laundry unstated"), otherwise=("pass", "in-suite laundry confirmed")))
+        out.append(Criterion("in_suite_laundry", (fact("in_suite_laundry").isNull(), "unknown", "in-suite laundry unstated"), otherwise=("pass", "in-suite laundry confirmed")))
     if r.require_parking:
-        p = X.parking(text)
+        p = fact("parking")
         out.append(Criterion("parking", (p.isNull(), "unknown", "parking unstated"), (p == "Unavailable", "fail", "parking required"), otherwise=("pass", "parking confirmed")))
     if r.lease_months_min is not None:
-        n = X.lease_months(text)
+        n = fact("lease_months")
         out.append(Criterion("lease_months", (n.isNull(), "unknown", "lease months unstated"), (n < r.lease_months_min, "fail", "lease months outside requirement"), otherwise=("pass", "lease months meets requirement")))
     if r.total_monthly_max is not None:
-        n = X.total_monthly(text)
+        n = fact("total_monthly")
         out.append(Criterion("total_monthly", (n.isNull(), "unknown", "total monthly cost unstated"), (n > r.total_monthly_max, "fail", "total monthly cost outside requirement"), otherwise=("pass", "total monthly cost meets requirement")))
     if r.available_by is not None:
-        d = X.available_date(text)
+        d = fact("available_date")
         out.append(Criterion("available_date", (d.isNull(), "unknown", "availability date unstated"), (d > F.lit(r.available_by).cast("date"), "fail", f"available after {r.available_by}"), otherwise=("pass", "availability date meets requirement")))
     return out, extra
 
@@ -127,10 +129,27 @@ def _joined(parts: list[Column | None]) -> Column:
     return F.concat(empty, *(F.coalesce(p, empty) for p in parts if p is not None))
 
 
-def classify(listings: DataFrame, r: Rubric = RUBRIC) -> DataFrame:
-    """listings with checks, misses, unknowns, status, evidence_status, eligible."""
+@per_session
+def _facts() -> Column:
+    return X.facts(F.col("description"))
+
+
+@per_session
+def _lists(r: Rubric) -> Column:
     found, extra = criteria(r)
-    out = listings.withColumns({"checks": F.array(*(c.check for c in found)).cast("array<struct<field:string,status:string,reason:string>>"), "misses": _joined([c.miss for c in found]), "unknowns": _joined([*(c.unknown for c in found), *extra])})
+    checks = F.array(*(c.check for c in found)).cast("array<struct<field:string,status:string,reason:string>>")
+    return X.once(F.struct(checks.alias("checks"), _joined([c.miss for c in found]).alias("misses"), _joined([*(c.unknown for c in found), *extra]).alias("unknowns")))
+
+
+def with_facts(listings: DataFrame) -> DataFrame:
+    """listings with what their description says, read once."""
+    return listings if "facts" in listings.columns else listings.withColumn("facts", _facts())
+
+
+def classify(listings: DataFrame, r: Rubric = RUBRIC) -> DataFrame:
+    """listings with facts, checks, misses, unknowns, status, evidence_status, eligible."""
+    out = with_facts(listings).withColumn("_v", _lists(r))
+    out = out.withColumns({c: F.col(f"_v.{c}") for c in ("checks", "misses", "unknowns")}).drop("_v")
     status = F.when(F.size("misses") > 0, "miss").when(F.size("unknowns") > 0, "unverified").otherwise("match")
     out = out.withColumn("status", status)
     evidence = F.when(F.exists("checks", lambda c: c.status == "fail"), "miss").when(F.exists("checks", lambda c: c.status == "unknown"), "unverified").otherwise(F.col("status"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.scalar import haversine_km
 from ..model import RUBRIC, Rubric, Scaled
+from ..session import per_session
 from .criteria import area_key, classify
 
 def signal(magnitude: Column, fired: Column | None = None, confidence: float = 1.0) -> Column:
@@ -48,22 +49,22 @@ def rule(key: str, category: str, label: str, shape: Callable[[Column], Column]
     return put
 
 
-def _text() -> Column:
-    return F.col("description")
+def _fact(name: str) -> Column:
+    return F.col(f"facts.{name}")
 
 
-rule("laundry.in_suite", "amenities", "In-suite laundry")(lambda r: signal(_one(X.in_suite_laundry(_text())), confidence=0.6))
-rule("laundry.building", "amenities", "Building laundry")(lambda r: signal(_one(X.building_laundry(_text())), confidence=0.6))
+rule("laundry.in_suite", "amenities", "In-suite laundry")(lambda r: signal(_one(_fact("in_suite_laundry")), confidence=0.6))
+rule("laundry.building", "amenities", "Building laundry")(lambda r: signal(_one(_fact("building_laundry")), confidence=0.6))
 rule("floor.low", "space", "Low floor", shape=lambda m: 1 / (1 + (m - 1) / F.lit(3.0)))(lambda r: signal(F.when(F.col("floor") >= 1, F.col("floor"))))
-rule("walk.score", "proximity", "Walk score")(lambda r: signal(X.walk_score(_text()), confidence=0.6))
-rule("space.den_or_solarium", "space", "Den or solarium")(lambda r: signal(_one(X.den(_text())), confidence=0.6))
-rule("amenities.gym_building", "amenities", "Gym in the building")(lambda r: signal(_one(X.has(_text(), "gym")), confidence=0.6))
-rule("proximity.gym_nearby", "proximity", "Gym nearby")(lambda r: signal(_one(X.has(_text(), "gym_near")), confidence=0.6))
-rule("proximity.grocery_nearby", "proximity", "Grocery nearby")(lambda r: signal(_one(X.has(_text(), "grocery_near")), confidence=0.6))
-rule("density.walkable", "proximity", "Walkable")(lambda r: signal(_one(X.density(_text()) == "walkable"), confidence=0.6))
-rule("density.sparse", "proximity", "Sparse")(lambda r: signal(_one(X.density(_text()) == "sparse"), confidence=0.6))
-rule("parking.available", "amenities", "Parking")(lambda r: signal(F.when(X.parking(_text()).isNotNull(), (X.parking(_text()) != "Unavailable").cast("double")), confidence=0.6))
-rule("pets.allowed", "amenities", "Pets")(lambda r: signal(F.when(X.pets(_text()) == "friendly", 1.0).when(X.pets(_text()) == "conditional", 0.5).when(X.pets(_text()) == "no", 0.0), confidence=0.6))
+rule("walk.score", "proximity", "Walk score")(lambda r: signal(_fact("walk_score"), confidence=0.6))
+rule("space.den_or_solarium", "space", "Den or solarium")(lambda r: signal(_one(_fact("den")), confidence=0.6))
+rule("amenities.gym_building", "amenities", "Gym in the building")(lambda r: signal(_one(_fact("gym")), confidence=0.6))
+rule("proximity.gym_nearby", "proximity", "Gym nearby")(lambda r: signal(_one(_fact("gym_near")), confidence=0.6))
+rule("proximity.grocery_nearby", "proximity", "Grocery nearby")(lambda r: signal(_one(_fact("grocery_near")), confidence=0.6))
+rule("density.walkable", "proximity", "Walkable")(lambda r: signal(_one(_fact("density") == "walkable"), confidence=0.6))
+rule("density.sparse", "proximity", "Sparse")(lambda r: signal(_one(_fact("density") == "sparse"), confidence=0.6))
+rule("parking.available", "amenities", "Parking")(lambda r: signal(F.when(_fact("parking").isNotNull(), (_fact("parking") != "Unavailable").cast("double")), confidence=0.6))
+rule("pets.allowed", "amenities", "Pets")(lambda r: signal(F.when(_fact("pets") == "friendly", 1.0).when(_fact("pets") == "conditional", 0.5).when(_fact("pets") == "no", 0.0), confidence=0.6))
 rule("area.over_minimum", "space", "Area over the minimum")(lambda r: signal(F.when((F.lower("area_unit") == r.area_unit) & (F.col("area") > (r.area_min or 0)), F.col("area") - (r.area_min or 0.0))))
 rule("rent.headroom", "price", "Rent headroom")(lambda r: signal(F.when((F.col("currency") == r.currency) & (F.col("rent") < (r.rent_max or 0)), (r.rent_max or 0.0) - F.col("rent"))))
 rule("photo.present", "evidence", "Photos")(lambda r: signal(_one(F.col("photos") > 0)))
@@ -106,6 +107,7 @@ def _term(key: str, category: str, label: str, lo: float, hi: float, amount: Col
     return F.struct(F.lit(key).alias("rule_key"), F.lit(category).alias("category"), F.lit(label).alias("label"), F.lit(float(lo)).alias("min_possible"), F.lit(float(hi)).alias("max_possible"), amount.alias("contribution"))
 
 
+@per_session
 def terms(r: Rubric) -> tuple[list[Column], float, float]:
     """Every term of a score, and the least and the most that they add up to."""
     out, lo, hi = [], 0.0, 0.0
@@ -129,10 +131,15 @@ def terms(r: Rubric) -> tuple[list[Column], float, float]:
     return out, lo, hi
 
 
+@per_session
+def _breakdown(r: Rubric) -> Column:
+    return X.once(F.array(*terms(r)[0]).cast(f"array<{TERM}>"))
+
+
 def score(listings: DataFrame, r: Rubric = RUBRIC) -> DataFrame:
     """Classified listings with breakdown (an array of terms), total, and score (0 to 100; without any span 100)."""
-    found, lo, hi = terms(r)
-    out = classify(listings, r).withColumn("breakdown", F.array(*found).cast(f"array<{TERM}>"))
+    _, lo, hi = terms(r)
+    out = classify(listings, r).withColumn("breakdown", _breakdown(r))
     out = out.withColumn("total", F.aggregate("breakdown", F.lit(0.0), lambda a, t: a + t.contribution))
     return out.withColumn("score", F.lit(100.0) if hi == lo else clamp(100.0 * (F.col("total") - lo) / (hi - lo), 0.0, 100.0))
 
@@ -143,9 +150,15 @@ def ranked(scored: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def category_rollup(scored: DataFrame) -> DataFrame:
-    """For each listing and category: contributions, what was possible, and their share in hundredths. The breakdown is folded in its row."""
-    one = scored.select("listing_id", F.explode("breakdown").alias("t")).select("listing_id", "t.category", "t.contribution", "t.max_possible")
-    g = one.groupBy("listing_id", "category").agg(F.sum("contribution").alias("score"), F.sum("max_possible").alias("max_score"))
+    """For each listing and category: contributions, what was possible, and their share in hundredths. A listing's terms are
+    all in its row, so they are summed up there and nothing is shuffled."""
+    names = F.array_distinct(F.transform("breakdown", lambda t: t.category))
+
+    def total(c: Column) -> Column:
+        own = lambda f: F.aggregate(F.filter("breakdown", lambda t: t.category == c), F.lit(0.0), lambda a, t: a + f(t))
+        return F.struct(c.alias("category"), own(lambda t: t.contribution).alias("score"), own(lambda t: t.max_possible).alias("max_score"))
+
+    g = scored.select("listing_id", F.explode(X.once(F.transform(names, total))).alias("g")).select("listing_id", "g.category", "g.score", "g.max_score")
     return g.withColumn("pct", F.when(F.col("max_score") > 0, clamp(100 * F.col("score") / F.col("max_score"), 0.0, 100.0)).otherwise(F.lit(0.0)))
 
 
@@ -172,7 +185,7 @@ def explanation(scored: DataFrame) -> DataFrame:
 
 def rubric_diff(listings: DataFrame, before: Rubric, after: Rubric) -> DataFrame:
     """listing_id and change (entered, left) between two rubrics over the same listings. One pass: both verdicts are columns of a row, so nothing is joined."""
-    one = classify(listings, before).select(*listings.columns, F.col("eligible").alias("was"))
+    one = classify(listings, before).select(*listings.columns, "facts", F.col("eligible").alias("was"))
     both = classify(one, after).select("listing_id", "was", F.col("eligible").alias("is"))
     return both.filter("was <> is").select("listing_id", F.when(F.col("is"), "entered").otherwise("left").alias("change"))
 

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+_built: dict = {}
+
+
+def per_session(f):
+    """f's value is kept for each Spark application and repr of its arguments: for expressions of hundreds of parts, each of
+    which is a call to the JVM."""
+
+    @functools.wraps(f)
+    def kept(*args):
+        key = f, SparkContext._active_spark_context.applicationId, repr(args)
+        if key not in _built:
+            _built[key] = f(*args)
+        return _built[key]
+
+    return kept
+
+
 _PACKAGE = Path(__file__).resolve().parent
 
 
