@@ -30,7 +30,7 @@ from .words import MARKS, leads, words
 
 #: The leading bytes of words that are features besides the words themselves.
 STEMS = (4, 5, 6)
-MOST_POSITIVE, MOST_UNLABELLED = 3000, 8000
+MOST_POSITIVE, MOST_UNLABELLED = 2000, 8000
 FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, SPARSE, BETA = 300, 0.1, 3e-4, 0.0
 #: A feature has to be in so many of the toxic texts, and in their share this many times as often as in unlabelled text's.
@@ -170,6 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     hashes = _vectors(docs, by_hash(known.filter("toxic = 1"), MOST_POSITIVE), MOST_POSITIVE)
     vocabulary = candidates(hashes)
     positive = [vocabulary.places(x)[1] for x in hashes]
+    del hashes
     unlabelled = _vectors(docs, by_hash(docs.filter(fold(docs["doc_id"]) != HELD_OUT), MOST_UNLABELLED), MOST_UNLABELLED, vocabulary)
     return train(vocabulary, positive, unlabelled, (count["toxic"] or 0) / count["n"] if count["n"] else 0.0)
 
