@@ -1,12 +1,16 @@
 """Packing documents into windows of WINDOW tokens by lexical retrieval.
 
-Documents are dealt into shards by a hash, about SHARD_DOCS each. A shard is packed alone: its BM25 inverted index over
-token ids returns, for the document that begins a window (the seed), the neighbours that aren't used yet, best first,
-and these fill the window greedily. A document that doesn't fit is cut, and its rest is the seed of the next window;
-where no neighbour shares a term, the next unused document goes in. What is left at a shard's end becomes sequences of
-powers of two, so no sequence needs padding.
+Documents are dealt into shards by what they say, about SHARD_DOCS each: each goes to the nearest of the centres of a
+bounded sample (cosine of hashed, idf-weighted terms), small neighbouring groups share a shard, and large ones are cut by
+the rarest-biased minhash of their terms, so that near copies stay together; only equal keys beyond a shard's size are cut
+by a hash. A shard is packed alone: its BM25 index over token ids, with document frequencies and mean length of all
+documents, returns, for the document that begins a window (the seed), the neighbours that aren't used yet, best first by
+all terms of the seed, and these fill the window greedily. A document that doesn't fit is cut, and its rest is the seed of
+the next window; where no neighbour shares a term, the next unused document goes in. What is left at a shard's end becomes
+sequences of powers of two, so no sequence needs padding.
 
-A task holds the tokens of one part of a shard at a time, PART_DOCS documents or PART_BYTES of text at most.
+A task holds the tokens of one part of a shard at a time, PART_DOCS documents or PART_BYTES of text at most (four bytes a
+token). Documents of other shards are no candidates.
 
 Edge cases: null text counts as empty, and gives a document of the end token alone; repeated rows are packed each, like
 any others (their pieces can't be told apart by doc_id alone); a null doc_id is packed too; documents longer than a
@@ -17,8 +21,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +36,10 @@ from . import common
 WINDOW = 2048
 SHARD_DOCS = 1000
 PART_DOCS, PART_BYTES = 4000, 16 << 20
-#: BM25, and how many of a seed's terms are asked for: those that weigh most.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25, and how many of a seed's terms are asked for: all.
+K1, B, QUERY_TERMS = 1.2, 0.75, None
+#: Affinity: documents that centres are made from, centres at most, hashed dimensions, rounds, keys by which large groups are cut.
+SAMPLE, MOST_CENTRES, WIDTH, ROUNDS, KEYS = 8192, 2048, 256, 5, 64
 END, SPECIAL = 1, "<|endoftext|>"
 #: Files of the vocabulary, by their names in public_tokenizers: for the tokenizers library, and the same as ranks.
 VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
@@ -56,6 +64,7 @@ def _encoder(names: tuple[str, str]):
             return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=())
 
+    encode.size = max(fast.max_token_value, slow().get_vocab_size() - 1, END) + 1
     return encode
 
 
@@ -63,41 +72,61 @@ def tokens(text: str | None, names: tuple[str, str] = VOCABULARY) -> np.ndarray:
     return np.append(_encoder(names)(text), np.uint32(END)).astype("<u4") if text else np.array([END], "<u4")
 
 
+@dataclass
+class Statistics:
+    """Of all documents: their number, their mean length, and each token's idf."""
+
+    docs: int
+    mean: float
+    idf: np.ndarray
+
+
+def _idf(docs: int, held: np.ndarray) -> np.ndarray:
+    return np.log1p((docs - held + 0.5) / (held + 0.5)).astype(np.float32)
+
+
+def _terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different terms of each document, document by document: the term, its document, its times; where each document's begin."""
+    counted = [np.unique(x, return_counts=True) for x in docs]
+    n = [len(c[0]) for c in counted]
+    term, times = (np.concatenate([c[i] for c in counted]) for i in (0, 1))
+    return term.astype(np.int64), np.repeat(np.arange(len(docs)), n), times.astype(np.float32), np.concatenate([[0], np.cumsum(n)])
+
+
 class Index:
-    """BM25 over the token ids of some documents."""
+    """BM25 over the token ids of some documents, with the statistics of all (else of these)."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], whole: Statistics | None = None):
         self.docs = len(docs)
         size = np.array([len(x) for x in docs])
-        counted = [np.unique(x, return_counts=True) for x in docs]
-        term = np.concatenate([c[0] for c in counted]).astype(np.int64)
-        doc = np.repeat(np.arange(self.docs), [len(c[0]) for c in counted])
-        times = np.concatenate([c[1] for c in counted]).astype(np.float32)
-        held = np.bincount(term)
-        idf = np.log1p((self.docs - held + 0.5) / (held + 0.5)).astype(np.float32)
-        weight = idf[term] * times * (K1 + 1) / (times + (K1 * (1 - B + B * size / size.mean())).astype(np.float32)[doc])
-        self.first = np.concatenate([[0], np.cumsum([len(c[0]) for c in counted])])
-        self.term, self.weight = term, weight  # by document
-        order = np.argsort(term, kind="stable")
-        self.list_docs, self.list_weights = doc[order].astype(np.int32), weight[order]  # by term: the inverted lists
-        self.lists = np.concatenate([[0], np.cumsum(held)])
+        self.term, doc, times, self.first = _terms(docs)
+        idf, mean = (whole.idf, whole.mean) if whole else (_idf(self.docs, np.bincount(self.term)), size.mean())
+        self.weight = idf[self.term] * times * (K1 + 1) / (times + (K1 * (1 - B + B * size / mean)).astype(np.float32)[doc])
+        self.wanted = np.zeros(int(self.term.max()) + 1, np.float32)
+        self.live = np.arange(self.docs), self.term, self.weight, self.first[:-1]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, the best first."""
-        a, b = self.first[seed], self.first[seed + 1]
-        own = self.weight[a:b]
-        best = np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS] if b - a > QUERY_TERMS else np.arange(b - a)
-        score = np.zeros(self.docs, np.float32)
-        for t in self.term[a:b][best].tolist():
-            lo, hi = self.lists[t], self.lists[t + 1]
-            score[self.list_docs[lo:hi]] += self.list_weights[lo:hi]
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-def order(docs: list[np.ndarray], window: int = WINDOW) -> list[int]:
+        """Unused documents that share a term with the seed, the best first."""
+        if 2 * np.count_nonzero(unused) < len(self.live[0]):  # those that are used aren't read any more
+            ids, term, weight, first = self.live
+            n = np.diff(np.append(first, len(term)))
+            stay = unused[ids]
+            entries = np.repeat(stay, n)
+            self.live = ids[stay], term[entries], weight[entries], np.concatenate([[0], np.cumsum(n[stay])])[:-1].astype(np.int64)
+        ids, term, weight, first = self.live
+        if not len(ids):
+            return ids
+        own = self.term[self.first[seed] : self.first[seed + 1]]
+        self.wanted[own] = 1
+        score = np.add.reduceat(weight * self.wanted[term], first)
+        self.wanted[own] = 0
+        found = np.flatnonzero((score > 0) & unused[ids])
+        return ids[found[np.argsort(-score[found], kind="stable")]]
+
+
+def order(docs: list[np.ndarray], window: int = WINDOW, whole: Statistics | None = None) -> list[int]:
     """The order in which the documents are laid into windows, one after the other."""
-    index, unused, out, at = Index(docs), np.ones(len(docs), bool), [], 0
+    index, unused, out, at = Index(docs, whole), np.ones(len(docs), bool), [], 0
     ranked: Iterator[int] = iter(())
     others = iter(range(len(docs)))
     for _ in docs:
@@ -130,16 +159,129 @@ def pieces(lengths: list[int], window: int = WINDOW) -> Iterator[tuple[int, int,
                 room = bounds[seq]
 
 
+def statistics(coded: DataFrame, size: int, width: str) -> Statistics:
+    """One aggregation over all documents; a task sends a count for each token of the vocabulary at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size + 2, np.int64)  # at the end: documents, tokens
+        for batch in batches:
+            for x in batch.column("ids").to_pylist():
+                doc = np.frombuffer(x, width)
+                held[np.unique(doc)] += 1
+                held[size:] += 1, len(doc)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
+
+    found = coded.select("ids").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(size + 2, np.int64)
+    held[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    docs, total = held[size:].tolist()
+    return Statistics(docs, total / max(1, docs), _idf(docs, held[:size]))
+
+
+def vectors(docs: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document: a unit vector of its idf-weighted terms, hashed to WIDTH dimensions; a key out of KEYS by the
+    minhash of its terms, in which rare ones come first more often."""
+    term, of, times, first = _terms(docs)
+    every = np.random.default_rng(0)
+    slot, sign, draw, key = every.integers(0, WIDTH, len(idf)), every.choice([-1.0, 1.0], len(idf)), every.exponential(size=len(idf)), every.integers(0, KEYS, len(idf))
+    v = np.bincount(of * WIDTH + slot[term], sign[term] * np.log1p(times) * idf[term], len(docs) * WIDTH).reshape(len(docs), WIDTH)
+    turn = np.argsort(draw / np.maximum(idf, 1e-6) ** 2)
+    rank = np.empty(len(idf), np.int64)
+    rank[turn] = np.arange(len(idf))
+    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32), key[turn[np.minimum.reduceat(rank[term], first[:-1])]]
+
+
+def nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(np.round(v @ centres.T, 4), axis=1)
+
+
+def centres(v: np.ndarray, most: int) -> np.ndarray:
+    """Spherical k-means, begun at documents spread over the sample; in an order in which neighbours are alike."""
+    v = np.unique(v, axis=0)
+    if most < 2 or len(v) < 2:
+        return v[:1]
+    at = v[np.random.default_rng(0).permutation(len(v))[:most]]
+    for _ in range(ROUNDS):
+        of = nearest(v, at)
+        sums = np.zeros_like(at)
+        np.add.at(sums, of, v)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        at = np.where(size > 1e-6, sums / np.maximum(size, 1e-6), at)
+    left, chain = np.ones(len(at), bool), [0]
+    left[0] = False
+    while left.any():
+        chain.append(int(np.argmax(np.where(left, at @ at[chain[-1]], -2))))
+        left[chain[-1]] = False
+    return at[chain]
+
+
+def deal(groups: list[tuple[int, int, int]], shard_docs: int) -> list[tuple[int, int, int, int]]:
+    """groups: (centre, key, documents), in order. (centre, key, first shard, shards): centres stay whole while a shard has
+    room, larger ones are cut between keys, and a key beyond a shard's size over several shards."""
+    most, out, shard, held = shard_docs * 3 // 2, [], 0, 0
+    for _, of in itertools.groupby(groups, key=lambda g: g[0]):
+        of = list(of)
+        whole = sum(n for _, _, n in of)
+        for unit in [of] if whole <= most else [[g] for g in of]:
+            n = sum(g[2] for g in unit)
+            if held and held + n > most:
+                shard, held = shard + 1, 0
+            spread = max(1, n // shard_docs) if n > most else 1
+            out += [(c, k, shard, spread) for c, k, _ in unit]
+            shard, held = (shard + spread, 0) if spread > 1 else (shard, held + n)
+    return out
+
+
+def shards(docs: DataFrame, shard_docs: int, names: tuple[str, str]) -> tuple[DataFrame, Statistics, str]:
+    """doc_id, ids, shard, key; the statistics of all documents; the type of the ids. Texts are encoded once, to a table."""
+    spark = docs.sparkSession
+    size = _encoder(names).size
+    width = "<u2" if size <= 1 << 16 else "<u4"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches, "text"):
+            ids = [tokens(x, names).astype(width).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    coded = common.materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(encode, "doc_id long, ids binary"))
+    whole = statistics(coded, size, width)
+    mark = F.xxhash64("doc_id", "ids")
+
+    def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches, "ids"):
+            v = vectors([np.frombuffer(x, width) for x in batch.column("ids").to_pylist()], whole.idf)[0]
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array([x.tobytes() for x in v], pa.binary())], ["mark", "v"])
+
+    many = min(MOST_CENTRES, -(-whole.docs // shard_docs))
+    at = np.zeros((1, WIDTH), np.float32)
+    if many > 1:
+        some = coded.select(mark.alias("mark"), "ids").filter(F.pmod(mark, F.lit(1 << 30)) < int(min(1.0, SAMPLE / whole.docs) * (1 << 30)))
+        found = sorted((r.mark, bytes(r.v)) for r in some.mapInArrow(vector, "mark long, v binary").collect())  # about SAMPLE rows of 1 KB
+        at = centres(np.array([np.frombuffer(v, np.float32) for _, v in found], np.float32).reshape(-1, WIDTH), many) if found else at
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches, "ids"):
+            v, key = vectors([np.frombuffer(x, width) for x in batch.column("ids").to_pylist()], whole.idf)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(nearest(v, at), pa.int32()), pa.array(key, pa.int32())], ["doc_id", "ids", "centre", "key"])
+
+    placed = common.materialize(coded.mapInArrow(place, "doc_id long, ids binary, centre int, key int"))
+    common.release(spark, [coded.materialized])
+    groups = sorted((r.centre, r.key, r.n) for r in placed.groupBy("centre", "key").agg(F.count(F.lit(1)).alias("n")).collect())
+    plan = spark.createDataFrame(deal(groups, shard_docs), "centre int, key int, first long, spread long")
+    dealt = placed.join(F.broadcast(plan), ["centre", "key"])  # at most MOST_CENTRES * KEYS rows
+    return dealt.select("doc_id", "ids", (F.col("first") + F.pmod(mark, F.col("spread"))).alias("shard"), "key"), whole, width
+
+
 def pack(docs: DataFrame, shard_docs: int = SHARD_DOCS, window: int = WINDOW, names: tuple[str, str] = VOCABULARY) -> DataFrame:
     """_OUT, a row for each piece. Documents are shuffled once, to their shards."""
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.pmod(F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"])), F.lit(shards)).alias("shard"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+    dealt, whole, width = shards(docs, shard_docs, names)
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "key", "doc_id", F.xxhash64("ids"))
     columns = [x.split()[0] for x in _OUT.split(", ")]
 
-    def part(shard: int, first: int, ids: list, texts: list) -> tuple[pa.RecordBatch, int]:
-        docs = [tokens(x, names) for x in texts]
-        laid = order(docs, window)
+    def part(shard: int, first: int, ids: list, coded: list) -> tuple[pa.RecordBatch, int]:
+        docs = [np.frombuffer(x, width).astype("<u4") for x in coded]
+        laid = order(docs, window, whole)
         rows = []
         last = -1
         for d, start, length, seq, offset in pieces([len(docs[d]) for d in laid], window):
@@ -148,21 +290,21 @@ def pack(docs: DataFrame, shard_docs: int = SHARD_DOCS, window: int = WINDOW, na
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], columns), first + last + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, ids, texts, held = None, 0, [], [], 0
-        for batch in common.pieces(batches, "text"):
-            for doc_id, text, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shard")), strict=True):
-                n = len(text or "")
+        now, first, ids, coded, held = None, 0, [], [], 0
+        for batch in common.pieces(batches, "ids"):
+            for doc_id, code, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "shard")), strict=True):
+                n = 4 * len(code) // np.dtype(width).itemsize
                 if ids and (shard != now or len(ids) >= PART_DOCS or held + n > PART_BYTES):
-                    out, first = part(now, first, ids, texts)
+                    out, first = part(now, first, ids, coded)
                     yield out
-                    ids, texts, held = [], [], 0
+                    ids, coded, held = [], [], 0
                 if shard != now:
                     now, first = shard, 0
                 ids.append(doc_id)
-                texts.append(text)
+                coded.append(code)
                 held += n
         if ids:
-            yield part(now, first, ids, texts)[0]
+            yield part(now, first, ids, coded)[0]
 
     return dealt.mapInArrow(run, _OUT)
 

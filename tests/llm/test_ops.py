@@ -450,6 +450,36 @@ def test_neighbours_are_bm25s():
     assert sorted(packing.order(docs, 64)) == list(range(30))
 
 
+def test_packing_searches_by_affinity(spark):
+    """Documents of a topic meet in a shard at any size of the table; frequencies and the mean length are those of all documents."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 26, (40, 30, 5)) + 97
+    rows = [(i, " ".join(bytes(words[i % 40, j].tolist()).decode() for j in rng.integers(0, 30, 60))) for i in range(800)]
+    dealt, whole, width = packing.shards(ship(spark).createDataFrame(rows, "doc_id long, text string").repartition(3), 40, packing.VOCABULARY)
+    where = {r.doc_id: r.shard for r in dealt.collect()}
+    topics = [Counter(where[i] for i in range(t, 800, 40)) for t in range(40)]
+    assert sum(c.most_common(1)[0][1] for c in topics) >= 0.8 * 800
+    assert len(set(where.values())) > 8 and max(Counter(where.values()).values()) <= 60
+    docs = [packing.tokens(t) for _, t in rows]
+    held = Counter(x for d in docs for x in set(d.tolist()))
+    assert whole.docs == 800 and whole.mean == pytest.approx(np.mean([len(d) for d in docs]))
+    assert all(whole.idf[t] == pytest.approx(np.log1p((800 - n + 0.5) / (n + 0.5)), abs=1e-5) for t, n in held.items())
+
+
+def test_packing_asks_with_every_term():
+    """The 30th term of a seed finds a document too."""
+    seed, far = np.arange(100, 130, dtype="<u4"), np.array([129, 500], "<u4")
+    others = [np.array([x, 600], "<u4") for x in range(100, 129)]
+    index = packing.Index([seed, far, *others])
+    assert set(index.neighbours(0, np.arange(31) > 0).tolist()) == set(range(1, 31))
+
+
+def test_packing_deals_large_groups():
+    dealt = packing.deal([(0, 0, 10), (0, 1, 20), (1, 0, 35), (2, 0, 400), (2, 1, 5)], 40)
+    assert [(c, k, s) for c, k, _, s in dealt] == [(0, 0, 1), (0, 1, 1), (1, 0, 1), (2, 0, 10), (2, 1, 1)]
+    assert [f for _, _, f, _ in dealt] == [0, 0, 1, 2, 12]
+
+
 # -- 9 HTML
 
 
