@@ -6,11 +6,13 @@ come from the whole input by grouped aggregation of soft counts: a host's counts
 towards its address suffix's, these towards all texts', each as a Dirichlet prior of strength STRENGTH; country suffixes
 add counts for their languages. A text's own count is taken out of its host's before it is judged.
 
-The trigram models are trained here on a bounded sample of labelled documents, TRAIN_TEXTS for each of the MOST_LANGUAGES
-most frequent labels, those of the least hash of their doc_id.
+The trigram models are trained here on a bounded sample of labelled documents, TRAIN_TEXTS for each of the
+MOST_LANGUAGES most frequent labels, those of the least hash of their doc_id.
 
-Rejected (kept = false): texts without a letter or any byte above ASCII, and those whose best language has a posterior
-under MIN_POSTERIOR; their language is `und`.
+Rejected (kept = false): texts without a letter or any byte above ASCII, those whose best language has a posterior under
+MIN_POSTERIOR, and those that don't fit their best language: whose mean log likelihood for each trigram is more than
+MOST_MISFIT standard errors under what the language's own texts have (each trigram judged by the others of the sample),
+and worse than all but OWN_MISFITS of these texts; their language is `und`. Texts that fit no language don't count for their hosts.
 
 Edge cases: null text counts as empty and is rejected; null or unknown declared languages say nothing; a null address has
 an empty host of its own; without any labelled document every text is `und`; repeated rows are judged each, and each
@@ -36,6 +38,11 @@ STRENGTH, SUFFIX_COUNT = 5.0, 20.0
 MIN_POSTERIOR = 0.5
 #: A text counts as this many independent trigrams at most.
 MOST_TRIGRAMS = 60.0
+#: Standard errors by which a text may be less likely than its language's own, and the least spread of a trigram's log likelihood.
+MOST_MISFIT, LEAST_SPREAD = 5.0, 1.0
+OWN_MISFITS = 0.001
+#: Trigrams times languages that are looked up at once.
+_BLOCK = 4 << 20
 #: How often a declared language is the true one.
 DECLARED_RIGHT = 0.9
 _BITS = 16
@@ -69,21 +76,31 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """languages, and the log probability of each trigram code in each of them (codes x languages)."""
+    """languages, the log probability of each trigram code in each of them (codes x languages), the mean and spread of
+    these in each language's own texts, and the least fit that isn't rejected."""
 
     languages: list[str]
     table: np.ndarray
+    usual: np.ndarray
+    spread: np.ndarray
+    least: np.ndarray | float = -MOST_MISFIT
 
-    def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The number of trigrams of each text, and its log likelihoods, damped (texts x languages; the best is 0)."""
+    def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of trigrams of each text; its log likelihoods, damped (texts x languages; the best is 0); by how many
+        standard errors it is likelier than each language's own texts."""
         code, begin = trigrams(column)
         n = np.diff(begin)
         total = np.zeros((len(n), len(self.languages)))
-        full = np.flatnonzero(n)
-        if len(full):
-            total[full] = np.add.reduceat(self.table[code], begin[full], axis=0)
+        if not self.languages:
+            return n, total, total
+        of, block = np.repeat(np.arange(len(n)), n), max(1, _BLOCK // len(self.languages))
+        for a in range(0, len(code), block):
+            some = of[a : a + block]
+            first = np.flatnonzero(np.diff(some, prepend=-1))
+            total[some[first]] += np.add.reduceat(self.table[code[a : a + block]], first, axis=0)
+        fit = (total / np.maximum(n, 1)[:, None] - self.usual) / self.spread * np.sqrt(n / (1 + n / MOST_TRIGRAMS))[:, None]
         total /= (1 + n / MOST_TRIGRAMS)[:, None]
-        return n, total - total.max(axis=1, keepdims=True) if len(self.languages) else total
+        return n, total - total.max(axis=1, keepdims=True), fit
 
 
 def train(docs: DataFrame) -> Model:
@@ -92,26 +109,41 @@ def train(docs: DataFrame) -> Model:
     known = docs.select("doc_id", "text", label.alias("label")).filter("label <> ''")
     top = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES)
     names = sorted(r.label for r in top.collect())
+    place = {name: i for i, name in enumerate(names)}
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.filter(F.col("label").isin(names)).select("label", "doc_id").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRAIN_TEXTS).drop("r")
-    sample = known.join(F.broadcast(ids), ["label", "doc_id"], "left_semi")  # at most MOST_LANGUAGES * TRAIN_TEXTS ids
+    sample = known.join(F.broadcast(ids), ["label", "doc_id"], "left_semi")  # at most TRAIN_TEXTS ids of each label
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
             code, begin = trigrams(batch.column("text"))
-            text = np.repeat(np.array([names.index(x) for x in batch.column("label").to_pylist()]), np.diff(begin))
-            n = np.bincount(text << _BITS | code, minlength=len(names) << _BITS)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at].astype(np.int64))], ["at", "n"])
+            text = np.repeat(np.array([place[x] for x in batch.column("label").to_pylist()], np.int64), np.diff(begin))
+            at, n = np.unique(text << _BITS | code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["at", "n"])
 
-    counts = np.full(len(names) << _BITS, 0.0)
     found = sample.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most the table's size
-    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    table = counts.reshape(len(names), 1 << _BITS) + 0.1
-    table = np.log(table / table.sum(axis=1, keepdims=True)).T if names else np.zeros((1 << _BITS, 0))
-    return Model(names, np.ascontiguousarray(table, np.float32))
-
+    at, n = found.column("at").to_numpy(), found.column("n").to_numpy()
+    counts = np.full((len(names), 1 << _BITS), 0.1, np.float32)
+    counts.reshape(-1)[at] += n
+    total = counts.sum(axis=1, keepdims=True, dtype=np.float64)
+    # how likely each trigram of the sample is by the others
+    of, times = at >> _BITS, n.astype(float)
+    value = np.log((times - 0.9) / np.maximum(total[of, 0] - 1, 1.0))
+    size = np.maximum(np.bincount(of, times, len(names)), 1)
+    usual = np.bincount(of, times * value, len(names)) / size
+    spread = np.sqrt(np.maximum(np.bincount(of, times * value**2, len(names)) / size - usual**2, LEAST_SPREAD**2))
+    np.log(counts, out=counts)
+    counts -= np.log(total).astype(np.float32)
+    model = Model(names, np.ascontiguousarray(counts.T), usual, spread)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches, "text"):
+            fit = model.evidence(batch.column("text"))[2]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([fit[i, place[x]] for i, x in enumerate(batch.column("label").to_pylist())], pa.float64())], ["label", "fit"])
 
+    lowest = dict(sample.mapInArrow(own, "label string, fit double").groupBy("label").agg(F.percentile_approx("fit", OWN_MISFITS, 10000)).collect())
+    model.least = np.array([min(-MOST_MISFIT, lowest.get(name) or 0.0) for name in names])
+    return model
 
 
 def _with(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -139,34 +171,40 @@ def identify(records: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         F.lower(F.coalesce("host", F.lit(""))).alias("host"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in clean.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, "declared", "host"]) + ", trigrams long, e array<double>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, "declared", "host"]) + ", trigrams long, e array<double>, fits array<boolean>"
+
+    place = {name: i for i, name in enumerate(names)}
+    wrong = float(np.log(max((1 - DECLARED_RIGHT) / max(1, len(names) - 1), 1e-6)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
             text = batch.column("text")
             if any(html := batch.column("html").to_pylist()):
                 text = pa.array([extract(x) if h else x for x, h in zip(text.to_pylist(), html, strict=True)], pa.large_string())
-            n, e = model.evidence(text)
-            lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(names), e.ravel())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "declared", "host"]), pa.array(n), lists], [*keep, "declared", "host", "trigrams", "e"])
+            n, e, fit = model.evidence(text)
+            for i, name in enumerate(batch.column("declared").to_pylist()):
+                if name in place:
+                    e[i] += wrong
+                    e[i, place[name]] += np.log(DECLARED_RIGHT) - wrong
+            first = np.arange(len(n) + 1, dtype=np.int32) * len(names)
+            lists = [pa.ListArray.from_arrays(first, pa.array(x.ravel())) for x in (e, fit >= model.least)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "declared", "host"]), pa.array(n), *lists], [*keep, "declared", "host", "trigrams", "e", "fits"])
 
-    wrong = float(np.log(max((1 - DECLARED_RIGHT) / max(1, len(names) - 1), 1e-6)))
-    said = F.when(F.col("declared").isin(names), F.array(*(F.when(F.col("declared") == name, F.lit(float(np.log(DECLARED_RIGHT)))).otherwise(F.lit(wrong)) for name in names))).otherwise(F.array_repeat(F.lit(0.0), len(names)))
     seen = common.materialize(clean.mapInArrow(read, schema))
-    rows = seen.withColumn("e", F.zip_with("e", said, lambda x, y: x + y)).withColumn("own", F.when(F.col("trigrams") > 0, 1.0).otherwise(0.0))
+    rows = seen.withColumn("own", F.when((F.col("trigrams") > 0) & F.array_contains("fits", True), 1.0).otherwise(0.0))
     rows = rows.withColumn("p", F.transform(_normal(F.col("e")), lambda x: x * F.col("own")))
     # a host's counts without the text's own, smoothed towards its domain
     prior = F.zip_with("c", "p", lambda c, p: F.greatest(c - p, F.lit(0.0)))
     total = F.greatest(F.col("n") - F.col("own"), F.lit(0.0)) + STRENGTH
     prior = F.zip_with(prior, "up", lambda c, u: F.log((c + STRENGTH * u) / total))
     judged = rows.join(common.materialize(host_priors(rows, names)), "host", "left")
-    judged = judged.select(*keep, "declared", "host", "trigrams", _normal(F.zip_with("e", prior, lambda x, y: x + y)).alias("q"))
-    best = _with(F.col("q"), lambda q: F.struct(F.array_max(q).alias("p"), F.get(F.array(*map(F.lit, names)), F.array_position(q, F.array_max(q)).cast("int") - 1).alias("language")))
+    judged = judged.select(*keep, "declared", "host", "trigrams", "fits", _normal(F.zip_with("e", prior, lambda x, y: x + y)).alias("q"))
+    best = _with(F.col("q"), lambda q: F.struct(F.array_max(q).alias("p"), (F.array_position(q, F.array_max(q)).cast("int") - 1).alias("at")))
     judged = judged.withColumn("best", best)
-    sound = (F.col("trigrams") > 0) & (F.col("best.p") >= MIN_POSTERIOR)
+    sound = (F.col("trigrams") > 0) & (F.col("best.p") >= MIN_POSTERIOR) & F.get("fits", F.col("best.at"))
     return judged.select(
         *keep,
-        F.when(sound, F.col("best.language")).otherwise("und").alias("language"),
+        F.when(sound, F.get(F.array(*map(F.lit, names)), F.col("best.at"))).otherwise("und").alias("language"),
         F.when(F.col("trigrams") > 0, F.col("best.p")).otherwise(F.lit(0.0)).alias("posterior"),
         F.nullif("declared", F.lit("")).alias("declared"),
         "host",

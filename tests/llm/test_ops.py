@@ -103,6 +103,24 @@ def test_language_evidence(spark):
     assert (got[103].language, got[103].kept) == ("und", False) and (got[104].language, got[104].kept) == ("und", False)
 
 
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    " ".join("bcdfghjklmnpqrstvwxz"[(7 * i * i + 3 * i) % 20] * (i % 2 + 1) + "qxzkvwjp"[i * i % 8] + "bcdfghjklm"[i * 3 % 10] for i in range(300)),
+    "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[x] for x in np.random.default_rng(3).integers(0, 64, 2000)),
+]
+
+
+def test_language_rejects_what_fits_none(spark, docs):
+    """Foreign languages, other scripts, consonants and base64; the documents themselves stay."""
+    model = language.train(docs)
+    df = ship(spark).createDataFrame(list(enumerate(FOREIGN)), "id long, text string")
+    df = df.select("id", "text", F.lit(False).alias("html"), F.lit(None).cast("string").alias("declared"), F.lit("h").alias("host"))
+    assert not language.identify(df, model, ["id"]).filter("kept or language <> 'und'").count()
+
+
 def test_language_awkward(spark, awkward):
     out = language.identify(language.of_documents(awkward), language.train(awkward), ["doc_id"])
     assert out.count() == len(AWKWARD) and not out.filter("doc_id in (2, 3, 4) and kept").count()
