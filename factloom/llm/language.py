@@ -6,8 +6,8 @@ come from the whole input by grouped aggregation of soft counts: a host's counts
 towards its address suffix's, these towards all texts', each as a Dirichlet prior of strength STRENGTH; country suffixes
 add counts for their languages. A text's own count is taken out of its host's before it is judged.
 
-The trigram models are trained here on a bounded sample of labelled documents, TRAIN_TEXTS for each of the
-MOST_LANGUAGES most frequent labels, those of the least hash of their doc_id.
+The trigram models are trained here on a bounded sample of labelled documents, TRAIN_TEXTS for each label, those of the
+least hash of their doc_id. Every label is learnt; a model takes a quarter of a MB.
 
 Rejected (kept = false): texts without a letter or any byte above ASCII, those whose best language has a posterior under
 MIN_POSTERIOR, and those that don't fit their best language: whose mean log likelihood for each trigram is more than
@@ -33,7 +33,7 @@ from . import common
 from .html_text import extract
 from .words import utf8
 
-TRAIN_TEXTS, MOST_LANGUAGES = 1500, 64
+TRAIN_TEXTS = 1500
 STRENGTH, SUFFIX_COUNT = 5.0, 20.0
 MIN_POSTERIOR = 0.5
 #: A text counts as this many independent trigrams at most.
@@ -107,11 +107,10 @@ def train(docs: DataFrame) -> Model:
     """docs: doc_id, text, lang. Labels are primary language subtags, in lower case."""
     label = F.lower(F.regexp_extract(docs["lang"], "^[A-Za-z]{2,3}", 0))
     known = docs.select("doc_id", "text", label.alias("label")).filter("label <> ''")
-    top = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES)
-    names = sorted(r.label for r in top.collect())
+    names = sorted(r.label for r in known.select("label").distinct().collect())
     place = {name: i for i, name in enumerate(names)}
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.filter(F.col("label").isin(names)).select("label", "doc_id").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRAIN_TEXTS).drop("r")
+    ids = known.select("label", "doc_id").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRAIN_TEXTS).drop("r")
     sample = known.join(F.broadcast(ids), ["label", "doc_id"], "left_semi")  # at most TRAIN_TEXTS ids of each label
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,6 +121,17 @@ def test_language_rejects_what_fits_none(spark, docs):
     assert not language.identify(df, model, ["id"]).filter("kept or language <> 'und'").count()
 
 
+def test_language_learns_every_label(spark):
+    """Also labels past the 64 most frequent."""
+    name = lambda i: "abcdefghij"[i // 10] + "klmnopqrst"[i % 10]
+    word = lambda i: f"{name(i)}{name(i)}a {name(i)}o{name(i)}"
+    df = ship(spark).createDataFrame([(i, word(i % 70), name(i % 70)) for i in range(210)], "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.languages == sorted(name(i) for i in range(70))
+    got = language.identify(df.select("doc_id", "lang", "text", F.lit(False).alias("html"), F.lit(None).cast("string").alias("declared"), F.lit("h").alias("host")), model, ["doc_id", "lang"])
+    assert got.filter("kept and language = lang").count() == 210
+
+
 def test_language_awkward(spark, awkward):
     out = language.identify(language.of_documents(awkward), language.train(awkward), ["doc_id"])
     assert out.count() == len(AWKWARD) and not out.filter("doc_id in (2, 3, 4) and kept").count()
