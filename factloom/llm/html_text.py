@@ -3,7 +3,7 @@
 A page becomes a list of text nodes with their root-to-leaf tag paths. Per path, over the whole page, two ratios are
 aggregated: characters of text for each node, and punctuation marks for each node. Each is smoothed along the page by
 a Gaussian, the two are fused by multiplication, and the paths whose fused mean passes a threshold from the page's own
-spread are content. The smallest element around most of the content text then gives the blocks, so that headings and
+spread are content. The smallest element around all of the content text then gives the blocks, so that headings and
 short paragraphs beside the content paths stay. Elements that say by tag, role, class or id that they are navigation,
 headers, footers, sidebars, notices, adverts, forms or comments never count.
 
@@ -29,8 +29,6 @@ from . import common
 THRESHOLD = 0.5
 #: Nodes by which the ratios are smoothed.
 SIGMA = 1.0
-#: An element is gone into while it holds so much of the content text.
-SHARE = 0.75
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -215,7 +213,7 @@ def extract(html: str | None) -> str:
                 e.content += size
                 e = e.up
     at = root
-    while not (at.tag in ("article", "main") and at.content) and (down := max((x for x in at.below if x.tag in BLOCK), key=lambda x: x.content, default=None)) is not None and down.tag not in HEADINGS | {"p", "li", "tr", "td", "pre", "blockquote"} and total and down.content >= SHARE * total:
+    while not (at.tag in ("article", "main") and at.content) and (down := max((x for x in at.below if x.tag in BLOCK), key=lambda x: x.content, default=None)) is not None and down.tag not in HEADINGS | {"p", "li", "tr", "td", "pre", "blockquote"} and total and down.content == total:
         at = down
 
     def within(e: Element | None) -> bool:
@@ -223,7 +221,12 @@ def extract(html: str | None) -> str:
             e = e.up
         return e is at
 
-    named = at.tag in ("article", "main")
+    def named(e: Element | None) -> bool:
+        """Within an article or main element with content."""
+        while e is not None and not (e.tag in ("article", "main") and e.content):
+            e = e.up
+        return e is not None
+
     out: list[tuple[int, list[Node]]] = []
     for n in nodes:
         if within(n.at):
@@ -236,7 +239,7 @@ def extract(html: str | None) -> str:
         if not line:
             continue
         # outside an element that is named as the article, blocks of links alone and loose text off the content paths are not content
-        if not named and not any(n.at.path in good or n.at.tag in HEADINGS or _in_heading(n.at) for n in run if n.text.strip()):
+        if not named(run[0].at) and not any(n.at.path in good or n.at.tag in HEADINGS or _in_heading(n.at) for n in run if n.text.strip()):
             if all(n.link for n in run if n.text.strip()) or total and len(line) < 25:
                 continue
         lines.append(line)

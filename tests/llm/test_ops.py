@@ -539,6 +539,18 @@ def test_html_cases(html, want):
     assert want is None or got == want
 
 
+BODY = [f"Paragraph {i} of the text, with marks, and enough words to be one." for i in range(10)]
+LEAD = "A lead of two sentences, in short. It stands before the body, alone."
+
+
+def test_html_keeps_content_beside_the_largest():
+    """A lead beside the body, and an article in two parts of 80% and 20%."""
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    assert html_text.extract(f"<body><div class=post>{p([LEAD])}<div class=entry>{p(BODY)}</div></div></body>") == "\n".join([LEAD, *BODY])
+    for tag in ("div", "article"):
+        assert html_text.extract(f"<body><{tag}>{p(BODY[:8])}</{tag}><{tag}>{p(BODY[8:])}</{tag}></body>") == "\n".join(BODY)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/ap'\"=&;!- \n", max_size=60))
 def test_html_never_fails(text):
