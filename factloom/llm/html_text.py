@@ -3,9 +3,11 @@
 A page becomes a list of text nodes with their root-to-leaf tag paths. Per path, over the whole page, two ratios are
 aggregated: characters of text for each node, and punctuation marks for each node. Each is smoothed along the page by
 a Gaussian, the two are fused by multiplication, and the paths whose fused mean passes a threshold from the page's own
-spread are content. The smallest element around all of the content text then gives the blocks, so that headings and
-short paragraphs beside the content paths stay. Elements that say by tag, role, class or id that they are navigation,
-headers, footers, sidebars, notices, adverts, forms or comments never count.
+spread are content. The smallest element around all of the content text then gives the blocks, of any length: those on content paths, headings, all of
+an article or main element with content, and, of other blocks, all but those of links alone, where content stands in the same
+section or before and after them. Elements that say by tag, role, class or id that they are navigation, headers, footers,
+sidebars, notices, adverts, forms or comments never count, but for those that say so by class or id alone and without
+which under LEAST_LEFT of the page's text would be left.
 
 Edge cases: null and empty pages, and pages without text, give an empty text; broken markup is closed as browsers do
 for blocks, an unfinished tag at the end is dropped, an unfinished comment or script reaches to the end; repeated rows
@@ -29,6 +31,8 @@ from . import common
 THRESHOLD = 0.5
 #: Nodes by which the ratios are smoothed.
 SIGMA = 1.0
+#: A class or an id doesn't send an element away if the page has so small a share of its text outside.
+LEAST_LEFT = 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -38,6 +42,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup"
     " hr html legend li main menu nav ol optgroup option p pre section summary table tbody td template tfoot th thead title tr ul".split()
 )
+#: What is part of the section around it.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote address center ul ol li dl dt dd dir table caption thead tbody tfoot tr td th figure figcaption details summary".split())
 DROP = frozenset("head nav footer aside form script style textarea iframe noembed noframes noscript template button select menu dialog svg math object canvas audio video title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes, up to the elements in the second set.
@@ -64,6 +70,7 @@ class Element:
     tag: str
     up: "Element | None"
     away: bool
+    named: bool = False
     block: int = 0
     path: str = ""
     main: bool = False
@@ -81,20 +88,42 @@ class Node:
     link: bool
 
 
-def _away(tag: str, attrs: str, up: Element) -> bool:
+def _away(tag: str, attrs: str, up: Element) -> tuple[bool, bool]:
+    """Whether an element never counts; whether its class or id alone says so."""
     if tag in DROP or up.away:
-        return True
+        return True, False
     if tag == "header" and not up.main:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "main", "article"):
-        return False
+        return False, False
+    named = False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value in _ROLES or name in ("class", "id", "itemprop", "data-role") and _AWAY.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower()):
-            return True
-    return False
+            return True, False
+        if name == "role" and value in _ROLES:
+            return True, False
+        named = named or name in ("class", "id", "itemprop", "data-role") and bool(_AWAY.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower()))
+    return False, named
+
+
+def _counted(nodes: list[Node]) -> list[Node]:
+    """The nodes of elements that aren't sent away."""
+    nodes, held, total = [n for n in nodes if not n.at.away], {}, 0
+    around: dict[Element, list[Element]] = {}
+    for n in nodes:
+        if n.at not in around:
+            e, around[n.at] = n.at, []
+            while e is not None:
+                if e.named:
+                    around[n.at].append(e)
+                e = e.up
+        size = 0 if n.link else len(n.text.strip())
+        total += size
+        for e in around[n.at]:
+            held[e] = held.get(e, 0) + size
+    bad = {e for e, size in held.items() if total - size >= LEAST_LEFT * total}
+    return [n for n in nodes if not any(e in bad for e in around[n.at])] if total else nodes
 
 
 def parse(html: str) -> tuple[Element, list[Node]]:
@@ -157,7 +186,7 @@ def parse(html: str) -> tuple[Element, list[Node]]:
             text("\n")
         if tag in VOID:
             continue
-        new = Element(tag, now, _away(tag, m[3], now), path=f"{now.path}/{tag}", main=now.main or tag in ("article", "main"))
+        new = Element(tag, now, *_away(tag, m[3], now), path=f"{now.path}/{tag}", main=now.main or tag in ("article", "main"))
         now.below.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(html, at)
@@ -201,7 +230,7 @@ def content_paths(nodes: list[Node]) -> set[str]:
 
 def extract(html: str | None) -> str:
     root, nodes = parse(html or "")
-    nodes = [n for n in nodes if not n.at.away]
+    nodes = _counted(nodes)
     good = content_paths([n for n in nodes if n.text.strip()])
     total = 0
     for n in nodes:
@@ -233,19 +262,38 @@ def extract(html: str | None) -> str:
             if not out or out[-1][0] != n.block:
                 out.append((n.block, []))
             out[-1][1].append(n)
+    holders = {_section(n.at) for n in nodes if n.at.path in good and not n.link and n.text.strip()}
+    sure = [i for i, (_, run) in enumerate(out) if any(n.at.path in good and not n.link and n.text.strip() for n in run)]
     lines = []
-    for _, run in out:
+    for i, (_, run) in enumerate(out):
         line = " ".join("".join(n.text for n in run).split())
         if not line:
             continue
-        # outside an element that is named as the article, blocks of links alone and loose text off the content paths are not content
-        if not named(run[0].at) and not any(n.at.path in good or n.at.tag in HEADINGS or _in_heading(n.at) for n in run if n.text.strip()):
-            if all(n.link for n in run if n.text.strip()) or total and len(line) < 25:
+        # outside an article, what is off the content paths and no heading goes if it is links alone or has no content beside it
+        if not named(run[0].at) and not any(n.at.path in good or _in_heading(n.at) for n in run if n.text.strip()):
+            if all(n.link for n in run if n.text.strip()) or sure and not sure[0] < i < sure[-1] and not _beside(run[0].at, at, holders):
                 continue
         lines.append(line)
     return "\n".join(lines)
 
 
+def _section(e: Element) -> Element:
+    while e.up is not None and (e.tag not in BLOCK or e.tag in _PARTS):
+        e = e.up
+    return e
+
+
+def _beside(e: Element | None, top: Element, holders: set[Element]) -> bool:
+    """Whether content stands in the section of e, or in one around it within top."""
+    while e is not None:
+        if e in holders:
+            return True
+        if e is top:
+            return False
+        e = e.up
+    return False
+
+
 def _in_heading(e: Element | None) -> bool:
     while e is not None:
         if e.tag in HEADINGS:

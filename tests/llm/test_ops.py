@@ -551,6 +551,20 @@ def test_html_keeps_content_beside_the_largest():
         assert html_text.extract(f"<body><{tag}>{p(BODY[:8])}</{tag}><{tag}>{p(BODY[8:])}</{tag}></body>") == "\n".join(BODY)
 
 
+def test_html_keeps_short_blocks_beside_content():
+    """List items, cells and code without marks, of any length; not so links alone, and what stands apart."""
+    p = "".join(f"<p>{t}</p>" for t in BODY)
+    short = "<ul><li>Red apples</li><li>Apples of a kind that is longer</li></ul><table><tr><td>One</td></tr></table><div class=code><pre>x = 1</pre></div>"
+    page = f"<body><div><a href=/>Home</a></div><div>{p}{short}</div><div><div>Small print</div></div></body>"
+    assert html_text.extract(page) == "\n".join([*BODY, "Red apples", "Apples of a kind that is longer", "One", "x = 1"])
+
+
+def test_html_class_sends_no_whole_text_away():
+    p = "".join(f"<p>{t}</p>" for t in BODY)
+    assert html_text.extract(f"<body><div class='layout sidebar'>{p}</div><div class=footer>By us, 2024.</div></body>") == "\n".join(BODY)
+    assert html_text.extract(f"<body><div>{p}</div><div class=comments>{p}{p}{p}</div></body>") == "\n".join(BODY)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/ap'\"=&;!- \n", max_size=60))
 def test_html_never_fails(text):
