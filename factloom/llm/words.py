@@ -32,16 +32,24 @@ _CODES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _FOLDED = _CODES.copy()
 _FOLDED[65:91] = _CODES[97:123]
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once; a longer word is hashed alone.
+_WINDOW = 1 << 18
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, below n."""
+    if n <= len(_powers[0]):
+        return _powers
+    out = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return out[0], out[1]
+
+
+_powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+_powers = _power(_WINDOW + 1)
 
 
 @dataclass
@@ -54,7 +62,7 @@ class Words:
     first: np.ndarray
     buf: np.ndarray
     offsets: np.ndarray
-    total: np.ndarray  # running sums, from which any part of a word can be hashed
+    codes: np.ndarray  # what each byte counts as
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +78,10 @@ def words(column: pa.Array, fold: bool = False, apart: np.ndarray = SPACE) -> Wo
     """fold: A-Z count as a-z. apart: the bytes between words."""
     buf, at = utf8(column)
     n = len(buf)
+    codes = _FOLDED if fold else _CODES
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64), buf, at, np.zeros(1, np.uint64))
+        return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64), buf, at, codes)
     solid = ~apart[buf]
     edge = np.zeros(n + 1, bool)  # a text begins here, or all texts end
     edge[at] = True
@@ -84,18 +93,30 @@ def words(column: pa.Array, fold: bool = False, apart: np.ndarray = SPACE) -> Wo
     after[-1] = False
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    power, inverse = _power(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _CODES)[buf] * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _PLACES[63])
-    return Words(hashes, starts, ends, np.searchsorted(starts, at), buf, at, total)
+    del solid, edge, before, after
+    hashes = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # windows of whole words, so that only a word longer than a window needs more than a window's memory
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + _WINDOW, side="right")))
+        size = int(ends[j - 1] - lo)
+        power, inverse = _power(size + 1)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(codes[buf[lo : lo + size]] * power[:size], out=total[1:])
+        a, b = starts[i:j] - lo, ends[i:j] - lo
+        hashes[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * _PLACES[63])
+        i = j
+    return Words(hashes, starts, ends, np.searchsorted(starts, at), buf, at, codes)
 
 
 def leads(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the first k bytes of the words that are longer, and the places of these words among all."""
     at = np.flatnonzero(w.ends - w.starts > k)
     begin = w.starts[at]
-    return mix((w.total[begin + k] - w.total[begin]) * _power(len(w.buf) + 1)[1][begin] + _PLACES[k]), at
+    total = np.zeros(len(at), np.uint64)
+    for i in range(k):
+        total += w.codes[w.buf[begin + i]] * _powers[0][i]
+    return mix(total + _PLACES[k]), at
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
