@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Directionals and street types of addresses, and words that a signature leaves out.
+#: Directions by their letters (in signatures, and in keys for comparing), words that a signature leaves out,
+#: street types that end a key, what separates words (in signatures, and in keys).
 DIRECTIONALS = {"n": "north", "s": "south", "e": "east", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
-STREET_TYPES = ["street", "st", "avenue", "ave", "road", "rd", "boulevard", "blvd", "drive", "dr", "lane", "ln", "court", "ct", "crescent", "cres", "place", "pl", "way"]
-CITY_WORDS = ["toronto", "vancouver", "on", "bc", "ontario", "canada"]
-POSTAL = r"^([a-z]\d[a-z]\d[a-z]\d|[a-z]\d[a-z]|\d[a-z]\d)$"
+KEY_DIRECTIONALS = {"n": "north", "s": "south", "e": "east", "w": "west"}
+STREET_TYPES = ["st", "street", "ave", "avenue", "rd", "road", "dr", "drive", "blvd", "boulevard", "way", "lane", "ln", "court", "ct"]
+PLACE_WORDS = ["vancouver", "bc", "ca", "canada"]
+STREET_ENDINGS = ["street", "st", "avenue", "ave", "road", "rd", "boulevard", "blvd", "drive", "dr", "lane", "ln", "crescent", "cres", "court", "ct", "place", "pl", "highway", "hwy", "terrace", "ter", "way"]
+SIGNATURE_MARKS, KEY_MARKS = r""" ,.;:/\|()[]{}!?#+&*'" """, r""" .,;:()'"/#& """
+POSTAL = r"^(\p{L}\d\p{L}\d\p{L}\d|\p{L}\d\p{L}|\d\p{L}\d)$"
 EARTH_KM = 6371.0
 PRICE_STEP = 25
 
@@ -23,42 +27,56 @@ def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def tokens(text: Column, marks: str) -> Column:
+    """Lower-case words between white space and these marks; hyphens and letters of any alphabet stay."""
+    spaced = F.translate(F.lower(text), marks.strip(), " " * len(marks.strip()))
+    return F.filter(F.split(spaced, r"\s+"), lambda t: t != "")
+
+
 def words(text: Column) -> Column:
-    """Lower-case tokens, punctuation read as space."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "), " "), lambda t: t != "")
+    """Lower-case words of letters and digits of any alphabet."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def directions(tokens: Column) -> Column:
-    names = F.create_map(*(F.lit(x) for kv in DIRECTIONALS.items() for x in kv))
-    return F.transform(tokens, lambda t: F.coalesce(F.element_at(names, t), t))
+def directions(found: Column, names: dict[str, str]) -> Column:
+    full = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return F.transform(found, lambda t: F.coalesce(F.try_element_at(full, t), t))
 
 
 def signature_tokens(text: Column) -> Column:
-    keep = directions(words(text))
-    return F.filter(keep, lambda t: ~t.isin(*STREET_TYPES, *CITY_WORDS) & ~t.rlike(POSTAL))
+    keep = directions(tokens(text, SIGNATURE_MARKS), DIRECTIONALS)
+    return F.filter(keep, lambda t: ~t.isin(*STREET_TYPES, *PLACE_WORDS) & ~F.replace(t, F.lit("-"), F.lit("")).rlike(POSTAL))
+
+
+def lenient_int(value: Column) -> Column:
+    """The whole part of a number or of a text that is one; 0 for anything else."""
+    n = F.try_cast(value.cast("string"), "double") if hasattr(F, "try_cast") else value.cast("string").try_cast("double")
+    return F.coalesce(F.when(F.abs(n) < 9e18, F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("long")), F.lit(0).cast("long"))
 
 
 def price_bucket(price: Column) -> Column:
     """To the nearest step; what is no number is 0."""
-    return (F.round(F.coalesce(price.cast("int"), F.lit(0)) / PRICE_STEP) * PRICE_STEP).cast("long")
+    return (F.bround(lenient_int(price) / PRICE_STEP) * PRICE_STEP).cast("long")
 
 
 def signature(title: Column, price: Column, address: Column) -> Column:
-    """Six tokens of the address, or else of the title, or else `listing`, and the price's bucket."""
-    of = lambda x: F.nullif(F.array_join(F.slice(signature_tokens(x), 1, 6), " "), F.lit(""))
-    return F.concat(F.coalesce(of(address), of(title), F.lit("listing")), F.lit("|"), price_bucket(price))
+    """Six tokens of the address, or of the title where there is no address, or else `listing`, and the price's bucket."""
+    source = F.when(F.trim(address) != "", address).otherwise(title)
+    said = F.nullif(F.array_join(F.slice(signature_tokens(source), 1, 6), " "), F.lit(""))
+    return F.concat(F.coalesce(said, F.lit("listing")), F.lit("|"), price_bucket(price))
 
 
 def match_key(address: Column) -> Column:
-    """For comparing addresses: directions in full, no street type at the end."""
-    tokens = directions(words(address))
-    return F.array_join(F.when(F.element_at(tokens, -1).isin(*STREET_TYPES), F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens), " ")
+    """For comparing addresses: directions in full, no street type at the end; empty for none."""
+    found = directions(tokens(address, KEY_MARKS), KEY_DIRECTIONALS)
+    ended = F.try_element_at(found, F.lit(-1)).isin(*STREET_ENDINGS)
+    return F.coalesce(F.array_join(F.when(ended, F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found), " "), F.lit(""))
 
 
 def canonical_address(*parts: Column) -> Column:
-    """Parts squeezed, without stray punctuation at their ends, joined; empty ones go."""
-    clean = [F.nullif(F.regexp_replace(F.regexp_replace(F.trim(p), r"\s+", " "), r"^[,.;: ]+|[,.;: ]+$", ""), F.lit("")) for p in parts]
-    return F.nullif(F.concat_ws(", ", *clean), F.lit(""))
+    """Parts squeezed, without stray marks at their ends, joined; empty ones and those that say that nothing is known go."""
+    clean = [F.regexp_replace(F.regexp_replace(F.trim(p), r"\s+", " "), r"^[,.;:]+|[,.;:]+$", "") for p in parts]
+    return F.concat_ws(", ", *(F.when(~F.lower(p).isin("", "unknown", "n/a", "na", "-"), p) for p in clean))
 
 
 def slug_text(url: Column) -> Column:
@@ -70,6 +88,12 @@ def content_hash(*fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*fields)), 256)
 
 
+def first_number(text: Column) -> Column:
+    """The first number in a text, thousands apart or not."""
+    found = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"(\d+(?:\.\d+)?)", 1)
+    return F.nullif(found, F.lit("")).cast("double")
+
+
 def lenient_number(text: Column) -> Column:
     """The number in a text that has exactly one."""
     found = F.regexp_extract_all(F.regexp_replace(text, ",", ""), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))

@@ -130,26 +130,20 @@ def _joined(parts: list[Column | None]) -> Column:
 
 
 @per_session
-def _facts() -> Column:
-    return X.facts(F.col("description"))
-
-
-@per_session
-def _lists(r: Rubric) -> Column:
+def _lists(r: Rubric) -> dict[str, Column]:
     found, extra = criteria(r)
     checks = F.array(*(c.check for c in found)).cast("array<struct<field:string,status:string,reason:string>>")
-    return X.once(F.struct(checks.alias("checks"), _joined([c.miss for c in found]).alias("misses"), _joined([*(c.unknown for c in found), *extra]).alias("unknowns")))
+    return {"checks": checks, "misses": _joined([c.miss for c in found]), "unknowns": _joined([*(c.unknown for c in found), *extra])}
 
 
 def with_facts(listings: DataFrame) -> DataFrame:
-    """listings with what their description says, read once."""
-    return listings if "facts" in listings.columns else listings.withColumn("facts", _facts())
+    """listings with what their texts say, read once."""
+    return listings if "facts" in listings.columns else X.with_facts(listings, X.listing_text(listings.columns))
 
 
 def classify(listings: DataFrame, r: Rubric = RUBRIC) -> DataFrame:
     """listings with facts, checks, misses, unknowns, status, evidence_status, eligible."""
-    out = with_facts(listings).withColumn("_v", _lists(r))
-    out = out.withColumns({c: F.col(f"_v.{c}") for c in ("checks", "misses", "unknowns")}).drop("_v")
+    out = with_facts(listings).withColumns(_lists(r))
     status = F.when(F.size("misses") > 0, "miss").when(F.size("unknowns") > 0, "unverified").otherwise("match")
     out = out.withColumn("status", status)
     evidence = F.when(F.exists("checks", lambda c: c.status == "fail"), "miss").when(F.exists("checks", lambda c: c.status == "unknown"), "unverified").otherwise(F.col("status"))

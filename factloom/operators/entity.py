@@ -75,15 +75,17 @@ def area_from_text(texts: DataFrame, keywords: DataFrame, text_col: str, id_col:
     return found.join(keywords.select(F.lower("keyword").alias("word"), "key"), "word").groupBy(id_col).agg(F.min("key").alias("area_key"))
 
 
-def addresses_match(a: Column, b: Column) -> Column:
-    x, y = S.match_key(a), S.match_key(b)
-    return (x == y) | ((x != "") & (y != "") & (x.contains(y) | y.contains(x)))
+def addresses_match(x: Column, y: Column) -> Column:
+    """Of two match keys: one holds the other, and neither is empty."""
+    return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
 def matching_addresses(listings: DataFrame) -> DataFrame:
-    """a, b: pairs whose addresses match, within the same street number."""
-    l = listings.select("listing_id", "address", F.element_at(S.words(F.col("address")), 1).alias("number"))
-    a, b = l.alias("a"), l.alias("b")
-    return a.join(b, (F.col("a.number") == F.col("b.number")) & (F.col("a.listing_id") < F.col("b.listing_id")) & addresses_match(F.col("a.address"), F.col("b.address"))).select(
-        F.col("a.listing_id").alias("a"), F.col("b.listing_id").alias("b")
-    )
+    """a, b: pairs whose addresses match, within the same street number. A listing without an address matches none. Keys are
+    made once a listing, and compared once for all listings that have them."""
+    l = listings.select("listing_id", S.match_key(F.col("address")).alias("key")).filter("key <> ''")
+    keys = l.select("key").distinct().withColumn("number", F.element_at(F.split("key", " "), 1))
+    x, y = keys.alias("x"), keys.alias("y")
+    alike = x.join(y, (F.col("x.number") == F.col("y.number")) & addresses_match(F.col("x.key"), F.col("y.key"))).select(F.col("x.key").alias("key"), F.col("y.key").alias("other"))
+    a = l.select(F.col("listing_id").alias("a"), "key").join(alike, "key")
+    return a.join(l.select(F.col("listing_id").alias("b"), F.col("key").alias("other")), "other").filter("a < b").select("a", "b")

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..functions.scalar import haversine_km
 from ..model import RUBRIC, Rubric, Scaled
 from ..session import per_session
 from .criteria import area_key, classify
 
+
 def signal(magnitude: Column, fired: Column | None = None, confidence: float = 1.0) -> Column:
     """Null magnitude: no signal."""
     return F.when(magnitude.isNotNull(), F.struct((fired if fired is not None else F.lit(True)).alias("fired"), magnitude.cast("double").alias("magnitude"), F.lit(confidence).alias("confidence")))
@@ -53,9 +53,14 @@ def _fact(name: str) -> Column:
     return F.col(f"facts.{name}")
 
 
+def _floor() -> Column:
+    """The source's own, else what the text says."""
+    return F.coalesce(F.col("floor"), _fact("floor").cast("double"))
+
+
 rule("laundry.in_suite", "amenities", "In-suite laundry")(lambda r: signal(_one(_fact("in_suite_laundry")), confidence=0.6))
 rule("laundry.building", "amenities", "Building laundry")(lambda r: signal(_one(_fact("building_laundry")), confidence=0.6))
-rule("floor.low", "space", "Low floor", shape=lambda m: 1 / (1 + (m - 1) / F.lit(3.0)))(lambda r: signal(F.when(F.col("floor") >= 1, F.col("floor"))))
+rule("floor.low", "space", "Low floor", shape=lambda m: 1 / (1 + (m - 1) / F.lit(3.0)))(lambda r: signal(F.when(_floor() >= 1, _floor())))
 rule("walk.score", "proximity", "Walk score")(lambda r: signal(_fact("walk_score"), confidence=0.6))
 rule("space.den_or_solarium", "space", "Den or solarium")(lambda r: signal(_one(_fact("den")), confidence=0.6))
 rule("amenities.gym_building", "amenities", "Gym in the building")(lambda r: signal(_one(_fact("gym")), confidence=0.6))
@@ -64,9 +69,9 @@ rule("proximity.grocery_nearby", "proximity", "Grocery nearby")(lambda r: signal
 rule("density.walkable", "proximity", "Walkable")(lambda r: signal(_one(_fact("density") == "walkable"), confidence=0.6))
 rule("density.sparse", "proximity", "Sparse")(lambda r: signal(_one(_fact("density") == "sparse"), confidence=0.6))
 rule("parking.available", "amenities", "Parking")(lambda r: signal(F.when(_fact("parking").isNotNull(), (_fact("parking") != "Unavailable").cast("double")), confidence=0.6))
-rule("pets.allowed", "amenities", "Pets")(lambda r: signal(F.when(_fact("pets") == "friendly", 1.0).when(_fact("pets") == "conditional", 0.5).when(_fact("pets") == "no", 0.0), confidence=0.6))
+rule("pets.allowed", "amenities", "Pets")(lambda r: signal(F.when(_fact("pets") == "friendly", 1.0).when(_fact("pets") == "conditional", 0.5).when(_fact("pets") == "no_pets", 0.0), confidence=0.6))
 rule("area.over_minimum", "space", "Area over the minimum")(lambda r: signal(F.when((F.lower("area_unit") == r.area_unit) & (F.col("area") > (r.area_min or 0)), F.col("area") - (r.area_min or 0.0))))
-rule("rent.headroom", "price", "Rent headroom")(lambda r: signal(F.when((F.col("currency") == r.currency) & (F.col("rent") < (r.rent_max or 0)), (r.rent_max or 0.0) - F.col("rent"))))
+rule("rent.headroom", "cost", "Rent headroom")(lambda r: signal(F.when((F.col("currency") == r.currency) & (F.col("rent") < (r.rent_max or 0)), (r.rent_max or 0.0) - F.col("rent"))))
 rule("photo.present", "evidence", "Photos")(lambda r: signal(_one(F.col("photos") > 0)))
 
 
@@ -133,7 +138,7 @@ def terms(r: Rubric) -> tuple[list[Column], float, float]:
 
 @per_session
 def _breakdown(r: Rubric) -> Column:
-    return X.once(F.array(*terms(r)[0]).cast(f"array<{TERM}>"))
+    return F.array(*terms(r)[0]).cast(f"array<{TERM}>")
 
 
 def score(listings: DataFrame, r: Rubric = RUBRIC) -> DataFrame:
@@ -158,7 +163,7 @@ def category_rollup(scored: DataFrame) -> DataFrame:
         own = lambda f: F.aggregate(F.filter("breakdown", lambda t: t.category == c), F.lit(0.0), lambda a, t: a + f(t))
         return F.struct(c.alias("category"), own(lambda t: t.contribution).alias("score"), own(lambda t: t.max_possible).alias("max_score"))
 
-    g = scored.select("listing_id", F.explode(X.once(F.transform(names, total))).alias("g")).select("listing_id", "g.category", "g.score", "g.max_score")
+    g = scored.select("listing_id", F.explode(F.transform(names, total)).alias("g")).select("listing_id", "g.category", "g.score", "g.max_score")
     return g.withColumn("pct", F.when(F.col("max_score") > 0, clamp(100 * F.col("score") / F.col("max_score"), 0.0, 100.0)).otherwise(F.lit(0.0)))
 
 

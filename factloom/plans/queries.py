@@ -506,14 +506,16 @@ def except_both_ways(spark, d):
 # -- texts and pages --------------------------------------------------------------------------------------------------
 
 
-def _extractor(name: str, f: Callable, sql: str) -> None:
-    @query(f"extract_{name}", f"SELECT listing_id, {sql} AS value FROM (SELECT listing_id, lower(description) AS t FROM listing) x", "listing")
+def _extractor(name: str) -> None:
+    @query(f"extract_{name}", f"SELECT listing_id, {sqltext.EXTRACTORS[name]} AS value FROM listing", "listing")
     def run(spark, d):
-        return listing(spark, d).select("listing_id", f(F.col("description")).alias("value"))
+        rows = listing(spark, d)
+        read = X.with_facts(rows.select("listing_id", X.listing_text(rows.columns).alias("text")), F.col("text"), name)
+        return read.select("listing_id", F.col(f"facts.{name}").alias("value"))
 
 
-for _name, _sql in sqltext.EXTRACTORS.items():
-    _extractor(_name, X.EXTRACTORS[_name], _sql)
+for _name in X.EXTRACTORS:
+    _extractor(_name)
 
 
 @query("page_title_links", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS BIGINT) AS links, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)[1] AS first_link FROM pages")

@@ -1,60 +1,57 @@
-"""Oracle texts in the dialect of DuckDB, written by hand apart from the patterns they share with the extractors."""
+"""Oracle texts in the dialect of DuckDB, written by hand."""
 
 from __future__ import annotations
 
-from ..functions.scalar import CITY_WORDS, DIRECTIONALS, POSTAL, STREET_TYPES
-from ..functions.text import _ITEM, ORDINALS
-from ..functions.text import PATTERNS as P
-from ..sources.parsers import MASKS
+from .views import SAYINGS
 
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _has(name: str) -> str:
-    return f"regexp_matches(t, {_q(P[name])})"
-
-
-def _first(name: str, t: str = "t") -> str:
-    return f"nullif(regexp_extract({t}, {_q(P[name])}, 1), '')"
-
-
-def _number(name: str, t: str = "t") -> str:
-    return f"CAST(replace({_first(name, t)}, ',', '') AS DOUBLE)"
-
-
-def _case(*pairs: tuple[str, str]) -> str:
-    return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in pairs) + " END"
-
-
-_DATE = f"TRY_CAST({_first('available_on')} AS DATE)"
-_LEASE = f"coalesce(CASE WHEN CAST({_first('lease_months')} AS INT) BETWEEN 1 AND 60 THEN CAST({_first('lease_months')} AS INT) END, CASE WHEN {_has('lease_year')} THEN 12 END)"
-_REST = f"regexp_replace(t, {_q(P['floor_of_beds'])}, ' ', 'g')"
-_FLOOR = f"coalesce(CAST({_first('floor_after', _REST)} AS INT), CAST({_first('floor_before', _REST)} AS INT), CAST(list_position([{', '.join(map(_q, ORDINALS))}], {_first('floor_word', _REST)}) AS INT))"
-
-EXTRACTORS = {
-    "basement": f"CASE WHEN regexp_matches(regexp_replace(t, {_q(P['basement_not'])}, ' ', 'g'), {_q(P['basement'])}) THEN TRUE END",
-    "furnishing": _case((_has("furnished_no"), "'unfurnished'"), (_has("furnished_flexible"), "'furnished optional'"), (_has("unfurnished"), "'unfurnished'"), (_has("furnished"), "'furnished'")),
-    "available_date": _DATE,
-    "available_words": f"CASE WHEN {_DATE} IS NULL THEN {_first('available_words')} END",
-    "lease_months": _LEASE,
-    "utilities": f"coalesce(CASE WHEN {_has('utilities_all')} THEN 'all' END, nullif(array_to_string(list_transform(list_filter(list_zip(regexp_extract_all({_first('utilities_items')}, {_q('(' + _ITEM + ')')}, 1), range(0, 99)), lambda z: list_position(regexp_extract_all({_first('utilities_items')}, {_q('(' + _ITEM + ')')}, 1), z[1]) = z[2] + 1), lambda z: z[1]), ','), ''), CASE WHEN {_has('utilities_some')} THEN 'unspecified' END)",
-    "total_monthly": _number("total_monthly"),
-    "rent": _number("price", f"regexp_replace(t, {_q(P['total_monthly'])}, ' ', 'g')"),
-    "beds": f"CASE WHEN NOT {_has('beds_range')} THEN {_number('beds')} END",
-    "baths": _number("baths"),
-    "area_sqft": f"CASE WHEN NOT {_has('sqft_range')} THEN {_number('sqft')} END",
-    "floor": f"CASE WHEN {_FLOOR} BETWEEN 1 AND 80 THEN {_FLOOR} END",
-    "parking": _case((_has("parking_no"), "'Unavailable'"), (_has("parking_included"), "'Included'"), (_has("parking_available"), "'Available'")),
-    "in_suite_laundry": f"CASE WHEN NOT {_has('laundry_suite_no')} AND {_has('laundry_suite')} THEN TRUE END",
-    "building_laundry": f"CASE WHEN NOT {_has('laundry_building_no')} AND {_has('laundry_building')} THEN TRUE END",
-    "full_unit": _case((_has("room_only"), "FALSE"), (_has("full_unit"), "TRUE")),
-    "walk_score": f"CASE WHEN CAST({_first('walk_score')} AS INT) BETWEEN 0 AND 100 THEN CAST({_first('walk_score')} AS INT) END",
-    "density": _case((_has("walkable"), "'walkable'"), (_has("sparse"), "'sparse'")),
-    "pets": _case((_has("pets_no"), "'no'"), (_has("pets_yes"), "'friendly'"), (_has("pets_maybe"), "'conditional'")),
-    "den": f"CASE WHEN {_has('den')} THEN TRUE END",
-}
+#: What each phrase of the stand-in descriptions states; those that aren't named state nothing.
+_STATES: dict[str, dict[str, str]] = {
+    "in_suite_laundry": {"Bright suite with in-suite laundry.": "TRUE", "W/D in the suite.": "TRUE", "Own laundry.": "TRUE"},
+    "building_laundry": {"Shared laundry in the building.": "TRUE", "Coin-op laundry.": "TRUE"},
+    "parking": {
+        "Parking stall included.": "'Included'", "No parking.": "'Unavailable'", "Parking available.": "'Available'", "Parking & locker included.": "'Included'", "No off-street parking.": "'Unavailable'",
+        "Parking can be rented.": "'Available'", "1 covered car port.": "'Available'", "No dedicated parking included.": "'Unavailable'",
+    },
+    "pets": {"Pet friendly.": "'friendly'", "No pets please.": "'no_pets'", "Pets considered.": "'conditional'", "Dogs welcome.": "'friendly'", "Small animals with approval.": "'conditional'"},
+    "lease_months": {"12 month lease.": "12", "One-year lease.": "12", "4 months lease.": "4"},
+    "available_date": {"Available: 2024-05-01.": "DATE '2024-05-01'", "Available from 2024-07-15.": "DATE '2024-07-15'"},
+    "available_words": {"Available immediately.": "'Available immediately'", "Move-in date March 3.": "'Move-in date March 3'"},
+    "total_monthly": {"Total monthly cost: $3,450 per month.": "3450e0", "Monthly total $2900.": "2900e0"},
+    "rent": {"Rent is $2,150/mo.": "2150e0"},
+    "basement": {"Basement suite with separate entrance.": "TRUE", "Garden-level suite.": "TRUE"},
+    "density": {"Steps from shops, in the heart of town.": "'walkable'", "On a tree-lined street, residential area.": "'sparse'"},
+    "walk_score": {"Walk score: 88.": "88"},
+    "beds": {"2 bedrooms, 1.5 baths, 850 sq ft.": "2e0", "3br / 2ba, 1100 square feet.": "3e0"},
+    "baths": {"2 bedrooms, 1.5 baths, 850 sq ft.": "1.5e0", "3br / 2ba, 1100 square feet.": "2e0"},
+    "area_sqft": {"2 bedrooms, 1.5 baths, 850 sq ft.": "850e0", "3br / 2ba, 1100 square feet.": "1100e0"},
+    "den": {"Den and solarium.": "TRUE"},
+    "gym": {"Building gym.": "TRUE"},
+    "gym_near": {"Next to the gym.": "TRUE"},
+    "grocery_near": {"Close to a grocery store.": "TRUE"},
+    "utilities": {
+        "Heat and water included.": "'heat,water'", "All utilities included.": "'all'", "Utilities included.": "'unspecified'", "Electric included.": "'electricity'", "Rent includes heat and WiFi.": "'heat,internet'",
+        "Heat, water, and hydro included.": "'heat,water,hydro'",
+    },
+    "floor": {"On the 3rd floor.": "3", "Level 9.": "9", "Second floor.": "2", "Eleventh floor.": "11"},
+    "furnishing": {"Fully furnished.": "'Furnished'", "Furnished: no.": "'Unfurnished'", "Can be unfurnished.": "'Unfurnished'"},
+    "full_unit": {"Room for rent.": "FALSE", "Entire apartment.": "TRUE"},
+}
+_TYPES = {"lease_months": "INT", "walk_score": "INT", "floor": "INT"}
+
+
+def _stated(states: dict[str, str], kind: str | None) -> str:
+    """By the place of the phrase in its list: nothing of the text is read."""
+    cases = [f"WHEN listing_id % {len(phrases)} = {i} THEN {states[p]}" for phrases in SAYINGS for i, p in enumerate(phrases) if p in states]
+    case = "CASE " + " ".join(cases) + " END"
+    return f"CAST({case} AS {kind})" if kind else case
+
+
+EXTRACTORS = {name: _stated(states, _TYPES.get(name)) for name, states in _STATES.items()}
 
 # -- verdicts: x has the facts, c a status for each criterion, v the verdicts -------------------------------------------
 
@@ -65,9 +62,7 @@ def _short(c: str) -> str:
     return f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
 
 
-_FACTS = "x AS (SELECT *, nullif(trim(area_key), '') AS ak, lower(trim(furnishing)) AS fk, " + ", ".join(f"{EXTRACTORS[k]} AS x_{k}" for k in ("basement", "in_suite_laundry", "building_laundry", "parking", "lease_months", "total_monthly", "available_date", "walk_score", "density", "pets", "den")) + (
-    f", {_has('gym')} AS x_gym, {_has('gym_near')} AS x_gym_near, {_has('grocery_near')} AS x_grocery FROM (SELECT *, lower(description) AS t FROM listing) y)"
-)
+_FACTS = "x AS (SELECT *, nullif(trim(area_key), '') AS ak, lower(trim(furnishing)) AS fk, " + ", ".join(f"{sql} AS x_{k}" for k, sql in EXTRACTORS.items()) + " FROM listing)"
 
 #: field: (status, reason of a miss, reason of an unknown), in the order of the checks; basement and furnishing give no unknown reason.
 _CRITERIA = {
@@ -121,19 +116,19 @@ def _flag(test: str, weight: float) -> str:
 _TERMS = {
     "laundry.in_suite": ("amenities", 0, 12, _flag("x_in_suite_laundry", 12)),
     "laundry.building": ("amenities", 0, 4, _flag("x_building_laundry", 4)),
-    "floor.low": ("space", 0, 6, "CASE WHEN floor >= 1 THEN 6e0 * greatest(0e0, least(1e0, 1e0 / (1 + (floor - 1) / 3e0))) ELSE 0e0 END"),
+    "floor.low": ("space", 0, 6, "CASE WHEN coalesce(floor, x_floor) >= 1 THEN 6e0 * greatest(0e0, least(1e0, 1e0 / (1 + (coalesce(floor, x_floor) - 1) / 3e0))) ELSE 0e0 END"),
     "walk.score": ("proximity", 0, 5, "CASE WHEN x_walk_score IS NOT NULL THEN 5e0 * greatest(0e0, least(1e0, CAST(x_walk_score AS DOUBLE))) * 0.6e0 ELSE 0e0 END"),
     "space.den_or_solarium": ("space", 0, 5, _flag("x_den", 5)),
     "amenities.gym_building": ("amenities", 0, 3, _flag("x_gym", 3)),
     "proximity.gym_nearby": ("proximity", 0, 2, _flag("x_gym_near", 2)),
-    "proximity.grocery_nearby": ("proximity", 0, 4, _flag("x_grocery", 4)),
+    "proximity.grocery_nearby": ("proximity", 0, 4, _flag("x_grocery_near", 4)),
     "density.walkable": ("proximity", 0, 6, _flag("x_density = 'walkable'", 6)),
     "density.sparse": ("proximity", -3, 0, _flag("x_density = 'sparse'", -3)),
     "parking.available": ("amenities", 0, 8, _flag("x_parking <> 'Unavailable'", 8)),
     "pets.allowed": ("amenities", 0, 5, "CASE x_pets WHEN 'friendly' THEN 5e0 * 1e0 * 0.6e0 WHEN 'conditional' THEN 5e0 * 0.5e0 * 0.6e0 ELSE 0e0 END"),
     "photo.present": ("evidence", 0, 2, "CASE WHEN photos > 0 THEN 2e0 ELSE 0e0 END"),
     "area.over_minimum": ("space", 0, 9, "CASE WHEN area_unit = 'sqft' AND area > 300 THEN greatest(-9e0, least(9e0, (area - 300e0) / 1e2 * 1.5e0)) ELSE 0e0 END"),
-    "rent.headroom": ("price", 0, 6, "CASE WHEN currency = 'CAD' AND rent < 3000 THEN greatest(-6e0, least(6e0, (3000e0 - rent) / 1e2 * 0.5e0)) ELSE 0e0 END"),
+    "rent.headroom": ("cost", 0, 6, "CASE WHEN currency = 'CAD' AND rent < 3000 THEN greatest(-6e0, least(6e0, (3000e0 - rent) / 1e2 * 0.5e0)) ELSE 0e0 END"),
     "location.area_key": ("proximity", -4, 6, "CASE ak WHEN 'harbour' THEN 6e0 WHEN 'midtown' THEN 3e0 WHEN 'old-mill' THEN -4e0 ELSE 0e0 END"),
     "landmark.distance": ("proximity", 0, 7, f"7e0 * coalesce(CASE WHEN lat IS NOT NULL THEN greatest(0e0, 1 - {_km('43.65e0', '-79.38e0')} / 5e0) END, 0e0)"),
     "confidence.unverified": ("amenities", -4, 0, "CASE WHEN status = 'unverified' THEN -4e0 ELSE 0e0 END"),
@@ -154,17 +149,25 @@ def over_terms(sql: str) -> str:
 HAVERSINE = f"""SELECT source, listing_id, km, CAST(place AS INT) AS place FROM (SELECT source, listing_id, round(km, 6) AS km, row_number() OVER (PARTITION BY source ORDER BY round(km, 6), listing_id) AS place
   FROM (SELECT *, {_km('43.65e0', '-79.38e0')} AS km FROM listing WHERE lat IS NOT NULL) x) t WHERE place <= 5"""
 
-# -- signatures ---------------------------------------------------------------------------------------------------------
+# -- signatures: fixed values ---------------------------------------------------------------------------------------------------------
+
 
+#: Fixed values of the stand-in's signatures.
+_FULL = {"n": "north", "s": "south", "e": "east", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
+_LEFT_OUT = "'st', 'street', 'ave', 'avenue', 'rd', 'road', 'dr', 'drive', 'blvd', 'boulevard', 'way', 'lane', 'ln', 'court', 'ct', 'vancouver', 'bc', 'ca', 'canada'"
 
-def _tokens(c: str) -> str:
-    expand = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DIRECTIONALS.items()) + " ELSE w END"
-    drop = ", ".join(map(_q, [*STREET_TYPES, *CITY_WORDS]))
-    return f"nullif(array_to_string(list_slice(list_filter(list_transform(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: {expand}), lambda w: w NOT IN ({drop}) AND NOT regexp_matches(w, {_q(POSTAL)})), 1, 6), ' '), '')"
+
+def _signed(c: str) -> str:
+    expand = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FULL.items()) + " ELSE w END"
+    marks = ",.;:/\\|()[]{}!?#+&*'\""
+    plain = f"translate(lower({c}), {_q(marks)}, '{' ' * len(marks)}')"
+    some = f"list_transform(list_filter(string_split_regex({plain}, '\\s+'), lambda w: w <> ''), lambda w: {expand})"
+    return f"nullif(array_to_string(list_slice(list_filter({some}, lambda w: w NOT IN ({_LEFT_OUT}) AND NOT regexp_matches(replace(w, '-', ''), '^([a-z][0-9][a-z]([0-9][a-z][0-9])?|[0-9][a-z][0-9])$')), 1, 6), ' '), '')"
 
 
 def over_signature(sql: str) -> str:
-    return f", g AS (SELECT *, concat(coalesce({_tokens('address')}, {_tokens('title')}, 'listing'), '|', CAST(round(coalesce(CAST(trunc(rent) AS BIGINT), 0) / 25.0e0) * 25 AS BIGINT)) AS signature FROM listing)\n{sql}"
+    name = f"CASE WHEN trim(coalesce(address, '')) <> '' THEN {_signed('address')} ELSE {_signed('title')} END"
+    return f", g AS (SELECT *, concat(coalesce({name}, 'listing'), '|', CAST(round_even(coalesce(CAST(trunc(rent) AS BIGINT), 0) / 25.0e0, 0) * 25 AS BIGINT)) AS signature FROM listing)\n{sql}"
 
 
 # -- health -------------------------------------------------------------------------------------------------------------
@@ -183,15 +186,19 @@ k AS ({_bands('SELECT * FROM b WHERE r <= 6')}), m AS (SELECT source, max(newest
 d AS (SELECT a.source, now, low, high, candidate, watermark, low IS NULL OR now BETWEEN low AND high AS in_band, watermark IS NULL OR candidate > watermark AS newer FROM a LEFT JOIN k ON k.source = a.source LEFT JOIN m ON m.source = a.source)
 SELECT source, now, in_band, newer, in_band AND newer AS advance, now = 0 AND low > 0 AS alert, CASE WHEN in_band AND newer THEN candidate ELSE watermark END AS next_watermark FROM d"""
 
+#: Row by row: what is accepted holds its signature from then on.
 DEDUPE = """WITH e AS (SELECT event_id % 700 AS id, event_id % 700 % 150 AS sig, event_id AS seq, event_type <> 'error' AS ok FROM events),
-f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) > 1 AS again FROM e),
-h AS (SELECT *, coalesce(max(CASE WHEN ok AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY sig ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS taken FROM f)
-SELECT CASE WHEN again THEN 'refresh' WHEN taken THEN 'touch' WHEN ok THEN 'accept' ELSE 'exclude' END AS outcome, count(*) AS n, CAST(sum(seq) AS BIGINT) AS sum_at FROM h GROUP BY 1"""
+f AS (SELECT sig, min(seq) AS since, arg_min(id, seq) AS holder FROM e WHERE ok GROUP BY sig)
+SELECT CASE WHEN since IS NULL OR seq < since THEN 'exclude' WHEN seq = since THEN 'accept' WHEN id = holder THEN 'refresh' ELSE 'touch' END AS outcome, count(*) AS n, CAST(sum(seq) AS BIGINT) AS sum_at FROM e LEFT JOIN f USING (sig) GROUP BY 1"""
+
+
+#: What is masked, by label, in this order.
+_MASKED = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "phone": "\\+?[0-9]?[ .-]?\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}", "postal": "\\b[A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]\\b"}
 
 
 def _redacted() -> str:
     t, counts = "text", []
-    for label, pattern in MASKS.items():
+    for label, pattern in _MASKED.items():
         counts.append(f"CAST(len(regexp_extract_all({t}, {_q(pattern)})) AS BIGINT) AS {label}")
         t = f"regexp_replace({t}, {_q(pattern)}, '[{label}]', 'g')"
     return f"SELECT doc_id, {', '.join(counts)}, md5({t}) AS masked_md5 FROM documents"

@@ -6,8 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: What listings' descriptions are put together of: of each list, the phrase whose place is the listing's number modulo its length.
+SAYINGS = [
+    ["Bright suite with in-suite laundry.", "Shared laundry in the building.", "No in-suite laundry.", "Quiet home.", "W/D in the suite.", "Coin-op laundry.", "In-suite washer and dryer shared.", "Own laundry."],
+    ["Parking stall included.", "No parking.", "Parking available.", None, "Parking & locker included.", "No off-street parking.", "Parking can be rented.", "1 covered car port.", "A parking spot is not included.", "No dedicated parking included."],
+    ["Pet friendly.", "No pets please.", "Pets considered.", None, "Dogs welcome.", "Small animals with approval."],
+    ["12 month lease.", "One-year lease.", "4 months lease.", None, "A 90-month lease.", None, None],
+    ["Available: 2024-05-01.", "Available from 2024-07-15.", "Available immediately.", "Move-in date March 3.", "Available 2024-02-31.", None, None, None],
+    ["Total monthly cost: $3,450 per month.", "Rent is $2,150/mo.", "Monthly total $2900.", None, None, None, None, None, None],
+    ["Basement suite with separate entrance.", "Basement storage.", "Not a basement.", "Basement is storage only.", "A basement suite can be added for less.", "Garden-level suite.", None, None, None, None],
+    ["Steps from shops, in the heart of town.", "On a tree-lined street, residential area.", "Walk score: 88.", None, None, None, None, None, None, None, None],
+    ["2 bedrooms, 1.5 baths, 850 sq ft.", "1 or 2 bedrooms, 600-750 sqft.", "Den and solarium.", "Building gym.", "Close to a grocery store.", "Next to the gym.", "3br / 2ba, 1100 square feet.", None, None, None, None, None],
+    ["Heat and water included.", "All utilities included.", "Utilities included.", "Electric included.", "Rent includes heat and WiFi.", "Heat, water, and hydro included.", None, None, None, None, None, None, None],
+    ["On the 3rd floor.", "Level 9.", "Second floor.", "Eleventh floor.", None, None, None, None, None, None, None, None, None, None],
+    ["Fully furnished.", "Furnished: no.", "Can be unfurnished.", None, None, None, None, None, None, None, None, None, None, None, None],
+    ["Room for rent.", "Entire apartment.", None, None, None, None, None, None, None, None, None, None, None, None, None, None],
+]
+
+
+def _saying(phrases: list[str | None]) -> str:
+    return f"CASE p_partkey % {len(phrases)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(phrases) if p) + " END"
+
+
+description = "concat_ws(' ',\n    " + ",\n    ".join(map(_saying, SAYINGS)) + ")"
+
 #: Listings, from parts; a seventh of the values of each field is not stated.
-LISTING = """
+LISTING = f"""
 SELECT p_partkey AS listing_id,
   CASE p_partkey % 3 WHEN 0 THEN 'feed_a' WHEN 1 THEN 'feed_b' ELSE 'feed_c' END AS source,
   concat('s', p_partkey % 97) AS source_id, p_name AS title,
@@ -25,20 +49,7 @@ SELECT p_partkey AS listing_id,
   CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(-79.4 AS DOUBLE) + (p_partkey % 50) / CAST(1000 AS DOUBLE) END AS lng,
   CAST(p_partkey % 4 AS BIGINT) AS photos,
   concat(CAST(100 + p_partkey % 50 AS INT), ' ', CASE p_partkey % 4 WHEN 0 THEN 'W. Main Street' WHEN 1 THEN 'Queen St East, Toronto' WHEN 2 THEN 'Mill Rd., ON M5V 2T6' ELSE 'North Harbour Ave' END) AS address,
-  concat_ws(' ',
-    CASE p_partkey % 4 WHEN 0 THEN 'Bright suite with in-suite laundry.' WHEN 1 THEN 'Shared laundry in the building.' WHEN 2 THEN 'No in-suite laundry.' ELSE 'Quiet home.' END,
-    CASE p_partkey % 5 WHEN 0 THEN 'Parking stall included.' WHEN 1 THEN 'No parking.' WHEN 2 THEN 'Parking available.' ELSE NULL END,
-    CASE p_partkey % 6 WHEN 0 THEN 'Pet friendly.' WHEN 1 THEN 'No pets please.' WHEN 2 THEN 'Pets considered case by case.' ELSE NULL END,
-    CASE p_partkey % 7 WHEN 0 THEN '12 month lease.' WHEN 1 THEN 'One year lease.' WHEN 2 THEN '4 months lease.' ELSE NULL END,
-    CASE p_partkey % 8 WHEN 0 THEN 'Available: 2024-05-01.' WHEN 1 THEN 'Available from 2024-07-15.' WHEN 2 THEN 'Available immediately.' WHEN 3 THEN 'Move-in date March 3.' ELSE NULL END,
-    CASE p_partkey % 9 WHEN 0 THEN 'Total monthly cost: $3,450 per month.' WHEN 1 THEN 'Rent is $2,150/mo.' ELSE NULL END,
-    CASE p_partkey % 10 WHEN 0 THEN 'Basement suite with separate entrance.' WHEN 1 THEN 'Basement storage.' WHEN 2 THEN 'Not a basement.' ELSE NULL END,
-    CASE p_partkey % 11 WHEN 0 THEN 'Steps from shops, in the heart of town.' WHEN 1 THEN 'On a tree-lined street, residential area.' WHEN 2 THEN 'Walk score: 88.' ELSE NULL END,
-    CASE p_partkey % 12 WHEN 0 THEN '2 bedrooms, 1.5 baths, 850 sq ft.' WHEN 1 THEN '1 or 2 bedrooms, 600-750 sqft.' WHEN 2 THEN 'Den and solarium.' WHEN 3 THEN 'Building gym.' WHEN 4 THEN 'Close to a grocery store.' ELSE NULL END,
-    CASE p_partkey % 13 WHEN 0 THEN 'Heat and water included.' WHEN 1 THEN 'All utilities included.' WHEN 2 THEN 'Utilities included.' ELSE NULL END,
-    CASE p_partkey % 14 WHEN 0 THEN 'On the 3rd floor.' WHEN 1 THEN 'Level 9.' WHEN 2 THEN 'Second floor.' ELSE NULL END,
-    CASE p_partkey % 15 WHEN 0 THEN 'Fully furnished.' WHEN 1 THEN 'Furnished: no.' WHEN 2 THEN 'Can be unfurnished.' ELSE NULL END,
-    CASE p_partkey % 16 WHEN 0 THEN 'Room for rent.' WHEN 1 THEN 'Entire apartment.' ELSE NULL END) AS description
+  {description} AS description
 FROM part
 """
 

@@ -4,6 +4,7 @@ Built-in functions where a pattern is enough; an Arrow function over html.parser
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -57,10 +58,10 @@ def item_lists(pages: DataFrame, html_col: str = "html") -> DataFrame:
         i.url.alias("url"),
         plain_text(i["name"]).alias("title"),
         plain_text(i.description).alias("description"),
-        i.offers.price.cast("double").alias("price"),
-        i.numberOfBedrooms.cast("double").alias("beds"),
-        i.numberOfBathroomsTotal.cast("double").alias("baths"),
-        i.floorSize.value.cast("double").alias("area"),
+        S.lenient_number(i.offers.price).alias("price"),
+        S.lenient_number(i.numberOfBedrooms).alias("beds"),
+        S.lenient_number(i.numberOfBathroomsTotal).alias("baths"),
+        S.lenient_number(i.floorSize.value).alias("area"),
         i.address.alias("address"),
         F.slice(i.image, 1, 50).alias("photos"),
     )
@@ -74,22 +75,23 @@ def detail_node(html: Column) -> Column:
 
 
 def api_results(documents: DataFrame, json_col: str = "json", city: str = "Toronto") -> DataFrame:
-    """A row for each result of a search API's answer whose address is in the city."""
+    """A row for each result of a search API's answer that has an id and an address of its own page, and is in the city. The API
+    parts street and city by a bar; a number is the first one of its text (`2 + 1` bedrooms are 2)."""
     rows = documents.select(F.explode(F.from_json(json_col, f"struct<Results:array<{API_RESULT}>>").Results).alias("r"))
     p = F.col("r.Property")
     out = rows.select(
         F.col("r.Id").alias("id"),
         F.col("r.PublicRemarks").alias("description"),
-        F.col("r.Building.Bedrooms").cast("double").alias("beds"),
-        F.col("r.Building.BathroomTotal").cast("double").alias("baths"),
-        p.LeaseRentUnformattedValue.cast("double").alias("price"),
-        p.Address.AddressText.alias("address"),
-        p.Address.Latitude.cast("double").alias("lat"),
-        p.Address.Longitude.cast("double").alias("lng"),
-        p.ParkingSpaceTotal.cast("int").alias("parking_spaces"),
+        S.first_number(F.col("r.Building.Bedrooms")).alias("beds"),
+        S.first_number(F.col("r.Building.BathroomTotal")).alias("baths"),
+        S.first_number(p.LeaseRentUnformattedValue).alias("price"),
+        F.replace(p.Address.AddressText, F.lit("|"), F.lit(", ")).alias("address"),
+        p.Address.Latitude.try_cast("double").alias("lat"),
+        p.Address.Longitude.try_cast("double").alias("lng"),
+        S.first_number(p.ParkingSpaceTotal).cast("int").alias("parking_spaces"),
         F.col("r.RelativeDetailsURL").alias("url"),
     )
-    return out.filter(F.col("address").contains(f", {city}"))
+    return out.filter(F.col("id").isNotNull() & F.col("url").isNotNull() & F.col("address").rlike(rf"(?i),\s*{re.escape(city)}\b"))
 
 
 def plain_text(html: Column) -> Column:

@@ -4,7 +4,6 @@ The batch forms are what the streams have to agree with; tests hold them togethe
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,39 +35,40 @@ def first_arrivals(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("r = 1").drop("r")
 
 
-def dedupe(rows: DataFrame) -> DataFrame:
-    """rows: id, sig, at (order), ok (criteria). outcome for each, in the order of arrival:
+def dedupe(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """rows: id, sig, at (order), ok (criteria), where an id always comes with one signature. seen: id, sig of what earlier runs
+    accepted. outcome for each row, in the order of arrival:
 
-    refresh: the id was accepted or excluded before; touch: the signature is taken; accept; exclude (criteria fail; this
-    doesn't take the signature). Windows within a signature, and within an id."""
-    by_id = Window.partitionBy("id").orderBy("at")
-    by_sig = Window.partitionBy("sig").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    r = rows.withColumn("again", F.row_number().over(by_id) > 1)
-    taken = F.coalesce(F.max(F.col("ok") & ~F.col("again")).over(by_sig), F.lit(False))
-    r = r.withColumn("taken", taken)
-    return r.select("id", "sig", "at", F.when(F.col("again"), "refresh").when(F.col("taken"), "touch").when(F.col("ok"), "accept").otherwise("exclude").alias("outcome"))
+    refresh: its id was accepted before; touch: another id of its signature was; accept: neither, and it meets the criteria;
+    exclude: it doesn't, which leaves its id and its signature free. A signature's first acceptance tells all: one aggregation
+    and a join, whatever the length of its history."""
+    order = F.struct("at", "id")
+    first = rows.filter("ok").groupBy("sig").agg(F.min(order).alias("f")).select("sig", "f", F.col("f.id").alias("holder"))
+    if seen is not None:
+        held = seen.groupBy("sig").agg(F.min("id").alias("held"))
+        first = first.join(held, "sig", "full").select("sig", F.when(F.col("held").isNull(), F.col("f")).alias("f"), F.coalesce("held", "holder").alias("holder"))
+    r = rows.join(first, "sig", "left")
+    before = F.col("holder").isNull() | (order < F.col("f"))
+    same = F.when(F.col("id") == F.col("holder"), "refresh").otherwise("touch")
+    return r.select("id", "sig", "at", F.when(F.coalesce(before, F.lit(False)), "exclude").when(order == F.col("f"), "accept").otherwise(same).alias("outcome"))
 
 
 def _outcomes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Within one signature: the state holds whether it is taken, and the ids seen; idle for idle_ms, it is dropped."""
+    """Within one signature: the state is the id that holds it, if one does; idle for idle_ms, it is dropped."""
     if state.hasTimedOut:
         state.remove()
         return
-    taken, seen = state.get if state.exists else (False, "[]")
-    ids = set(json.loads(seen))
+    holder = state.get[0] if state.exists else None
     pdf = pd.concat(list(parts)).sort_values(["at", "id"])
     out = []
     for r in pdf.itertuples():
-        if r.id in ids:
-            outcome = "refresh"
-        elif taken:
-            outcome = "touch"
+        if holder is not None:
+            outcome = "refresh" if r.id == holder else "touch"
         else:
             outcome = "accept" if r.ok else "exclude"
-            taken = bool(r.ok)
-        ids.add(r.id)
+            holder = r.id if r.ok else None
         out.append((r.id, key[0], r.at, outcome))
-    state.update((taken, json.dumps(sorted(ids))))
+    state.update((holder,))
     if idle_ms:
         state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["id", "sig", "at", "outcome"])
@@ -82,7 +82,7 @@ def dedupe_stream(rows: DataFrame, forget_days: int | None = None) -> DataFrame:
     idle = forget_days * 86_400_000 if forget_days else None
     each = lambda key, parts, state: _outcomes(key, parts, state, idle)
     timeout = "ProcessingTimeTimeout" if idle else "NoTimeout"
-    return rows.groupBy("sig").applyInPandasWithState(each, "id string, sig string, at long, outcome string", "taken boolean, ids string", "append", timeout)
+    return rows.groupBy("sig").applyInPandasWithState(each, "id string, sig string, at long, outcome string", "holder string", "append", timeout)
 
 
 def forget(state: DataFrame, now: str, days: int = FORGET_DAYS) -> DataFrame:

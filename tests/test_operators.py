@@ -134,10 +134,62 @@ def test_canonical_by_evidence(spark):
 
 def test_price_buckets_and_signatures(spark):
     assert [value(spark, S.price_bucket(F.lit(p).cast("double"))) for p in (2012.0, 2013.0, None)] == [2000, 2025, 0]
-    assert value(spark, S.signature(F.lit("Nice flat"), F.lit(2000.0), F.lit("12 W. Main St, Toronto ON M5V 2T6"))) == "12 west main|2000"
+    assert value(spark, S.signature(F.lit("Nice flat"), F.lit(2000.0), F.lit("12 W. Main St, Toronto ON M5V 2T6"))) == "12 west main toronto on|2000"
     assert value(spark, S.signature(F.lit(""), F.lit(None).cast("double"), F.lit(""))) == "listing|0"
 
 
+def test_addresses(spark):
+    key = lambda x: value(spark, S.match_key(F.lit(x).cast("string")))
+    assert [key(x) for x in ("1328 W Pender St", "1328 West Pender Street", "315 1st Street East", "1011-66 Cordova Street (corner of X & Y)", "12 Rue Montréal", "St", "", " , ", None)] == [
+        "1328 west pender", "1328 west pender", "315 1st street east", "1011-66 cordova street corner of x y", "12 rue montréal", "", "", "", "",
+    ]
+    sig = lambda t, p, a: value(spark, S.signature(F.lit(t), F.lit(p), F.lit(a).cast("string")))
+    assert sig("Nice-looking Montréal flat", 2000, None) == "nice-looking montréal flat|2000" and sig("title", 2000, "Vancouver BC") == "listing|2000"
+    assert sig("t", "abc", "4189 Halifax St., V5B-1A1 Vancouver") == "4189 halifax|0" and sig("t", "2012.9", "x") == "x|2000"
+    assert [value(spark, S.price_bucket(F.lit(p))) for p in (3e9, "1e30", "", "x", float("nan"), -30)] == [3_000_000_000, 0, 0, 0, 0, -25]
+    x = rows(spark, {"address": ""}, {"address": None}, {"address": ""}, {"address": "12 W Main St"}, {"address": "12 West Main Street, Vancouver"}).select("listing_id", "address", "title", "rent")
+    assert {(r.a, r.b) for r in entity.matching_addresses(x).collect()} == {(4, 5)}
+
+
+def test_landed_rows_survive_odd_values(spark):
+    """Numbers that aren't, in every field that is read as one."""
+    item = '{"item":{"url":"https://k.org/v/1234567890","name":"Flat","offers":{"price":"Please Contact"},"numberOfBedrooms":"1+den","numberOfBathroomsTotal":"1,5x2","floorSize":{"value":"700 sqft"}}}'
+    html = f'<script type="application/ld+json">{{"@type":"ItemList","itemListElement":[{item}]}}</script>'
+    (r,) = parsers.item_lists(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    assert (r.price, r.beds, r.baths, r.area) == (None, 1.0, None, 700.0)
+
+
+def plain_dedupe(data, seen=()):
+    """Row by row: id, sig, at, ok."""
+    ids, sigs, out = {i for i, _ in seen}, {s for _, s in seen}, {}
+    for i, s, at, ok in sorted(data, key=lambda r: (r[2], r[0])):
+        if i in ids:
+            out[i, at] = "refresh"
+        elif s in sigs:
+            out[i, at] = "touch"
+        elif ok:
+            out[i, at] = "accept"
+            ids.add(i)
+            sigs.add(s)
+        else:
+            out[i, at] = "exclude"
+    return out
+
+
+def test_dedupe_is_the_fold(spark):
+    import random
+
+    random.seed(4)
+    data = [("a", "s", 1, False), ("a", "s", 2, True), ("b", "t", 1, True), ("c", "t", 2, True), ("c", "t", 3, True), ("b", "t", 4, False)]
+    data += [(f"i{i}", f"s{i % 9}", n, random.random() < 0.3) for n in range(300) for i in [random.randrange(40)]]
+    df = spark.createDataFrame(data, "id string, sig string, at long, ok boolean")
+    got = {(r.id, r.at): r.outcome for r in incremental.dedupe(df).collect()}
+    assert got == plain_dedupe(data) and [got["a", 1], got["a", 2], got["c", 2], got["c", 3]] == ["exclude", "accept", "touch", "touch"]
+    seen = [("i3", "s3"), ("old", "t")]
+    got = {(r.id, r.at): r.outcome for r in incremental.dedupe(df, spark.createDataFrame(seen, "id string, sig string")).collect()}
+    assert got == plain_dedupe(data, seen)
+
+
 def test_scalars(spark):
     assert value(spark, S.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(20015.0868, abs=1e-3)
     assert value(spark, S.canonical_address(F.lit(" 1  Main St., "), F.lit(None).cast("string"), F.lit("X;"))) == "1 Main St, X"
@@ -149,23 +201,176 @@ def test_scalars(spark):
     assert value(spark, S.published_date(F.lit("3/4/2024"))).isoformat() == "2024-03-04" and value(spark, S.published_date(F.lit("x"))) is None
 
 
-TEXTS = [
-    ("basement", "Basement suite for rent", True), ("basement", "basement storage only", None), ("basement", "This is not a basement.", None),
-    ("furnishing", "not furnished", "unfurnished"), ("furnishing", "comes furnished", "furnished"), ("furnishing", "furnished, can be unfurnished", "furnished optional"),
-    ("lease_months", "one-year lease", 12), ("lease_months", "6 months lease", 6), ("lease_months", "99 month lease", None),
-    ("utilities", "Heat, hot water and heat included", "heat,hot water"), ("utilities", "all utilities are included", "all"), ("utilities", "utilities included", "unspecified"),
-    ("total_monthly", "Total monthly cost: $3,450", 3450.0), ("rent", "Total monthly cost: $3,450. Rent $2,000/mo", 2000.0), ("beds", "1 or 2 bedrooms", None), ("beds", "2 bed 1 bath", 2.0),
-    ("area_sqft", "600-750 sqft", None), ("area_sqft", "850 sq. ft.", 850.0), ("floor", "floor 2 bedroom", None), ("floor", "on the 12th floor", 12), ("floor", "third floor", 3), ("floor", "floor 99", None),
-    ("parking", "No parking. Parking available nearby", "Unavailable"), ("parking", "free parking", "Included"), ("in_suite_laundry", "no in-suite laundry", None), ("in_suite_laundry", "in-suite laundry", True),
-    ("full_unit", "room for rent in entire house", False), ("walk_score", "Walk Score: 95", 95), ("walk_score", "walk score 950", None), ("density", "steps from shops on a tree-lined street", "walkable"),
-    ("pets", "no pets, pet friendly", "no"), ("pets", "pets considered", "conditional"), ("den", "a garden", None), ("den", "one den", True),
-]
-
-
-@pytest.mark.parametrize("name,text,want", TEXTS)
-def test_extractors(spark, name, text, want):
-    assert value(spark, X.EXTRACTORS[name](F.lit(text))) == want
-    assert value(spark, X.EXTRACTORS[name](F.lit(None).cast("string"))) is None
+#: Of each fact, texts and what they state.
+TEXTS = {
+    "basement": [
+        ('Includes basement storage locker and one underground parking stall.', None),
+        ('Free parking under basement garage; in-suite laundry.', None),
+        ('Second-floor apartment; basement is storage only; parking included.', None),
+        ('Main-floor house; basement suite is a separate optional add-on.', None),
+        ('BONUS SPACE OPTION: A separate 2-bedroom basement suite with its own private entrance, kitchen, and bathroom can be added for +$800/month. RENT & AVAILABILITY: Main Floor: $3,499/month.', None),
+        ('Ground level (not a basement); parking included.', None),
+        ('Bsmt B with separate access.', None),
+        ('Basement suite for rent', True),
+        ('Suite in the basement.', True),
+        ('Below-grade unit', True),
+    ],
+    "parking": [
+        ('Includes basement storage locker and one underground parking stall.', 'Available'),
+        ('No parking available for this unit.', 'Unavailable'),
+        ('Parking available for $150/month.', 'Available'),
+        ('One parking stall is included in the rent.', 'Included'),
+        ('Free Parking.', 'Included'),
+        ('Parking & Locker Included.', 'Included'),
+        ('FEATURES: ✔ 2 bedrooms ✔ In-suite laundry ✔ Parking ✔ Quiet', 'Available'),
+        ('1 covered car port and street parking.', 'Available'),
+        ('No dedicated parking included; street parking may be available.', 'Unavailable'),
+        ('Secure garage storage for bicycles.', None),
+        ('A parking spot is not included in the rent.', None),
+        ('No parking spot is included in the rent; parking is available for $150/month.', 'Available'),
+        ('no off-street parking', 'Unavailable'),
+        ('parking can be rented', 'Available'),
+    ],
+    "in_suite_laundry": [
+        ('No shared laundry in the building.', None),
+        ('Washer and dryer hookups may be discussed with the landlord.', None),
+        ('No in-suite laundry; shared laundry is available in the building.', None),
+        ('In-suite washer and dryer shared.', None),
+        ('Private in-suite laundry; no shared laundry.', True),
+        ('Washer and dryer inside the unit.', True),
+        ('In-suite washer and dryer.', True),
+        ('own laundry', True),
+        ('w/d in suite', True),
+        ('Unit has a washer/dryer', True),
+    ],
+    "building_laundry": [
+        ('coin-op laundry', True),
+        ('shared laundry', True),
+        ('No shared laundry', None),
+        ('laundry in the bldg', True),
+        ('Coin laundry', True),
+    ],
+    "furnishing": [
+        ('Furnished: No; basement suite.', 'Unfurnished'),
+        ('Furnished: Yes; move-in ready.', 'Furnished'),
+        ('Furnished - No.', 'Unfurnished'),
+        ('not furnished', 'Unfurnished'),
+        ('can be unfurnished', 'Unfurnished'),
+    ],
+    "floor": [
+        ('TOP-FLOOR 2-BEDROOM with skyline views.', None),
+        ('eleventh floor', 11),
+        ('3rd floor', 3),
+        ('Level 12', 12),
+        ('floor 99', None),
+    ],
+    "beds": [
+        ('Choose from 1 & 2 bedroom apartments.', None),
+        ('2 bed 1.5 bath', 2.0),
+        ('1/2 bedroom', None),
+        ('2–3 bedrooms', None),
+        ('1br', 1.0),
+        ('2-bedroom', 2.0),
+    ],
+    "area_sqft": [
+        ('Several layouts range from 700-900 sqft.', None),
+        ('Approx. 900 sq ft', 900.0),
+        ('850 sq. ft. condo', 850.0),
+        ('700 – 900 square feet', None),
+        ('1100 square feet', 1100.0),
+    ],
+    "utilities": [
+        ('All utilities included.', 'all'),
+        ('Heat and water are included in rent.', 'heat,water'),
+        ('Rent includes hydro and internet.', 'hydro,internet'),
+        ('Utilities are included.', 'unspecified'),
+        ('electric included', 'electricity'),
+        ('rent includes heat and water', 'heat,water'),
+        ('heat, water, and hydro included', 'heat,water,hydro'),
+        ('wifi included', 'internet'),
+        ('Hot water, heat & Wi-Fi included', 'hot water,heat,internet'),
+        ('Wi-Fi is included', 'internet'),
+    ],
+    "lease_months": [
+        ('A 12-month lease is required.', 12),
+        ('A one-year lease is required.', 12),
+        ('90 month lease', None),
+    ],
+    "available_words": [
+        ('Available Oct 1.', 'Available Oct 1'),
+        ('Available 2026-10-15.', None),
+        ('Move-in: immediately', 'Move-in: immediately'),
+        ('available from September 3rd, 2025', 'available from September 3rd, 2025'),
+    ],
+    "total_monthly": [
+        ('Base rent is $3,000. Total monthly cost is $3,100.', 3100.0),
+        ('Rent is $3,000 plus $100 for parking.', None),
+        ('Monthly total: $2,900', 2900.0),
+    ],
+    "rent": [
+        ('Total monthly cost is $3,100.', None),
+        ('Bright unit for $2,650 / month with 2 bed 1.5 bath', 2650.0),
+        ('Base rent is $3,000. Total monthly cost is $3,100.', 3000.0),
+    ],
+    "pets": [
+        ('No pets', 'no_pets'),
+        ('Dogs OK', 'friendly'),
+        ('with approval', 'conditional'),
+        ('Pets welcome', 'friendly'),
+        ('case-by-case', 'conditional'),
+    ],
+    "density": [
+        ('retail strip', 'walkable'),
+        ('quiet neighborhood', 'sparse'),
+        ('heart of; suburban', 'walkable'),
+    ],
+    "walk_score": [
+        ('Walk Score: 92', 92),
+        ('walkscore 101', None),
+        ('WalkScore/88', 88),
+    ],
+    "full_unit": [
+        ('Room for rent', False),
+        ('Entire condo', True),
+        ('shared house; full unit', False),
+    ],
+    "available_date": [
+        ('Available 2026-10-15.', '2026-10-15'),
+        ('Available: 2026-02-31', None),
+        ('move-in date from 2025-01-02', '2025-01-02'),
+    ],
+    "baths": [('2 bed 1.5 bath', 1.5), ('2ba', 2.0)],
+    "den": [('a garden', None), ('one den', True)],
+    "gym": [('Fitness centre', True), ('gym bag', False)],
+    "gym_near": [('close to the gym', True)],
+    "grocery_near": [('next to a supermarket', True), ('grocery', False)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(TEXTS))
+def test_extractors(spark, name):
+    texts = [*TEXTS[name], (None, False if name in X.MARKS else None), ("", False if name in X.MARKS else None)]
+    df = ship(spark).createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "id int, t string")
+    got = {r.id: r.facts[0] for r in X.with_facts(df, F.col("t"), name).collect()}
+    assert [str(got[i]) if hasattr(got[i], "isoformat") else got[i] for i in range(len(texts))] == [w for _, w in texts]
+
+
+def test_every_fact_is_tried():
+    assert set(TEXTS) == set(X.EXTRACTORS) | set(X.MARKS)
+
+
+def test_facts_come_from_all_texts_once(spark):
+    """Title, address and notes too; the plan reads them in one Arrow step, which no filter above copies."""
+    df = rows(spark, {"title": "Second floor", "description": None, "address": "1 Main St. No pets"}).withColumn("notes", F.lit("heat included"))
+    out = criteria.with_facts(df)
+    r = out.first().facts
+    assert (r.floor, r.pets, r.utilities, r.parking) == (2, "no_pets", "heat", None)
+    plan = rank.ranked(rank.score(df), 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_phrases():
+    assert X.phrases("a [b|c d|] e") == ["a c d e", "a b e", "a e"] and X.phrases("x") == ["x"]
 
 
 def test_parking_conflict(spark):
@@ -192,8 +397,8 @@ def test_json_ld(spark):
 
 
 def test_api_and_cards(spark):
-    j = '{"Results":[{"Id":"1","Property":{"LeaseRentUnformattedValue":"2000","Address":{"AddressText":"1 Main|Toronto, Toronto","Latitude":"43.6","Longitude":"-79"}}},{"Id":"2","Property":{"Address":{"AddressText":"Ottawa"}}}]}'
-    assert [(r.id, r.price) for r in parsers.api_results(spark.createDataFrame([(j,)], "json string")).collect()] == [("1", 2000.0)]
+    j = '{"Results":[{"Id":"1","Property":{"LeaseRentUnformattedValue":"2000","Address":{"AddressText":"622 - 585 BLOOR STREET E|Toronto (North St. James Town), Ontario M4W0B3","Latitude":"43.6","Longitude":"-79"}},"Building":{"Bedrooms":"2 + 1"},"RelativeDetailsURL":"/a/1"},{"Id":"2","RelativeDetailsURL":"/a/2","Property":{"Address":{"AddressText":"1 Toronto St|Ottawa"}}},{"Id":"3","Property":{"Address":{"AddressText":"1 Main|Toronto, X"}}}]}'
+    assert [(r.id, r.price, r.beds, r.address) for r in parsers.api_results(spark.createDataFrame([(j,)], "json string")).collect()] == [("1", 2000.0, 2.0, "622 - 585 BLOOR STREET E, Toronto (North St. James Town), Ontario M4W0B3")]
     html = '<ul><li class="card big" title="T1"><a href="/1"><span class="title">One &amp; only</span></a><div class="price">$1</div><div class="location"> Here </div></li><li class="card"><a href="/2">x</a></li></ul>'
     got = parsers.cards(spark.createDataFrame([(7, html), (8, None)], "page_id long, html string"), "card").collect()
     assert [(r.page_id, r.ordinal, r.url, r.title, r.price, r.place) for r in got] == [(7, 0, "/1", "T1", "$1", "Here"), (7, 1, "/2", None, None, None)]
