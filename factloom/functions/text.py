@@ -220,10 +220,21 @@ def rent(raw: pa.Array, t: pa.Array) -> pa.Array:
     return _number(_read(_without(t, _total(f"(?:{_AMOUNT})")), r"\$ (?P<x>[1-9]\d{0,2}(?:,\d{3})+|[1-9]\d{2,3})"))
 
 
+@fact(pa.bool_(), said=False)
+def beds_range(raw: pa.Array, t: pa.Array) -> pa.Array:
+    """Bedrooms of several units: no number is this one's."""
+    return pc.match_substring_regex(t, rf"\b\d(?:\.5)? ?(?:and|or|/|-|to) ?\d(?:\.5)? ?{any_of(BED)}\b")
+
+
+@fact(pa.bool_(), said=False)
+def area_range(raw: pa.Array, t: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(t, r"\b\d{2,5} ?(?:-|to) ?\d{2,5} ?sqft\b")
+
+
 @fact(pa.float64())
 def beds(raw: pa.Array, t: pa.Array) -> pa.Array:
     n = _number(_read(t, rf"\b(?P<x>\d+(?:\.5)?) ?{any_of(BED)}\b"))
-    return pc.if_else(pc.match_substring_regex(t, rf"\b\d(?:\.5)? ?(?:and|or|/|-|to) ?\d(?:\.5)? ?{any_of(BED)}\b"), pa.scalar(None, n.type), n)
+    return pc.if_else(beds_range(raw, t), pa.scalar(None, n.type), n)
 
 
 @fact(pa.float64())
@@ -234,7 +245,7 @@ def baths(raw: pa.Array, t: pa.Array) -> pa.Array:
 @fact(pa.float64())
 def area_sqft(raw: pa.Array, t: pa.Array) -> pa.Array:
     n = _number(_read(t, r"\b(?P<x>[7-9]\d{2}|[1-9]\d{3}) ?sqft\b"))
-    return pc.if_else(pc.match_substring_regex(t, r"\b\d{2,5} ?(?:-|to) ?\d{2,5} ?sqft\b"), pa.scalar(None, n.type), n)
+    return pc.if_else(area_range(raw, t), pa.scalar(None, n.type), n)
 
 
 @fact(pa.int32())

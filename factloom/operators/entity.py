@@ -68,11 +68,22 @@ def candidates(listings: DataFrame, k: int = 2) -> DataFrame:
     return found.distinct().filter(F.col("evidence") >= k)
 
 
-def area_from_text(texts: DataFrame, keywords: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The first key (by name) with a keyword among a text's words. Words are joined with keywords of one word, so the
-    theta join of texts and keywords becomes an equi-join."""
-    found = texts.select(id_col, F.explode(F.array_distinct(S.words(F.col(text_col)))).alias("word"))
-    return found.join(keywords.select(F.lower("keyword").alias("word"), "key"), "word").groupBy(id_col).agg(F.min("key").alias("area_key"))
+def area_from_text(texts: DataFrame, keywords: DataFrame, text_col: str, id_col: str, city: str | None = None) -> DataFrame:
+    """The first key (by name) with a keyword in a text, as whole words; the city's own name is none. Keywords may have several
+    words: texts are joined by their runs of as many words as keywords have, so the theta join becomes an equi-join."""
+    key = lambda c: F.array_join(S.words(c), " ")
+    k = keywords.select(key(F.col("keyword")).alias("said"), "key").filter(F.col("said") != "")
+    if city is not None:
+        k = k.filter(F.col("said") != key(F.lit(city)))
+    lengths = sorted(r.n for r in k.select(F.size(F.split("said", " ")).alias("n")).distinct().collect())  # as many rows as a keyword has words
+    w = texts.select(id_col, S.words(F.col(text_col)).alias("w"))
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(none)
+
+    found = w.select(id_col, F.explode(F.array_distinct(F.concat(none, *map(runs, lengths)))).alias("said"))
+    return found.join(k, "said").groupBy(id_col).agg(F.min("key").alias("area_key"))
 
 
 def addresses_match(x: Column, y: Column) -> Column:

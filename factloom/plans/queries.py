@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import text as X
-from ..model import PRECEDENCE, RUBRIC, Range
+from ..model import PRECEDENCE, RUBRIC, Range, Rubric
 from ..operators import browse, criteria, entity, health, rank, report, resolve
+from ..sources import listings as landing
 from ..sources import parsers, sinks
 from ..streaming import incremental
 from . import sqltext
@@ -36,7 +37,7 @@ def _of(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: view(spark, d, name)
 
 
-listing, claims, records, runs, actions, scores = map(_of, ("listing", "claims", "records", "runs", "actions", "scores"))
+listing, claims, records, runs, actions, scores, landed, fetched = map(_of, ("listing", "claims", "records", "runs", "actions", "scores", "landed", "fetched"))
 AS_OF = "2024-01-15 00:00:00"
 OTHER = replace(RUBRIC, rent_max=2600.0, beds=Range(min=2.0), areas=(), require_parking=False)
 
@@ -408,11 +409,20 @@ def k_of_n_candidates(spark, d):
     return entity.candidates(listing(spark, d))
 
 
-@query("theta_keyword_area", "SELECT listing_id, min(n_name) AS area_key FROM (SELECT l.listing_id, n.n_name FROM listing l JOIN nation n ON contains(' ' || regexp_replace(lower(concat_ws(' ', title, description)), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || lower(CASE n_nationkey % 5 WHEN 0 THEN 'quiet' WHEN 1 THEN 'suite' WHEN 2 THEN 'gym' WHEN 3 THEN 'lease' ELSE 'floor' END) || ' ')) t GROUP BY listing_id", "listing")
+_KEYWORDS = ["quiet", "suite with", "building gym", "lease", "heart of town", "tree-lined street", "part"]
+
+
+@query(
+    "theta_keyword_area",
+    "SELECT listing_id, min(n_name) AS area_key FROM (SELECT l.listing_id, n.n_name FROM listing l JOIN nation n ON n_nationkey % 7 <> 6 AND regexp_matches(lower(concat_ws(' ', title, description)), '\\b' || (["
+    + ", ".join(f"'{k}'" for k in _KEYWORDS)
+    + "])[n_nationkey % 7 + 1] || '\\b')) t GROUP BY listing_id",
+    "listing",
+)
 def theta_keyword_area(spark, d):
-    word = F.element_at(F.array(*map(F.lit, ("quiet", "suite", "gym", "lease", "floor"))), F.col("n_nationkey") % 5 + 1)
+    word = F.element_at(F.array(*map(F.lit, _KEYWORDS)), F.col("n_nationkey") % len(_KEYWORDS) + 1)
     keys = table(spark, d, "nation").select(word.alias("keyword"), F.col("n_name").alias("key"))
-    return entity.area_from_text(listing(spark, d).withColumn("t", F.concat_ws(" ", "title", "description")), keys, "t", "listing_id")
+    return entity.area_from_text(listing(spark, d).withColumn("t", F.concat_ws(" ", "title", "description")), keys, "t", "listing_id", city="Part")
 
 
 @query("haversine_topk", sqltext.HAVERSINE, "listing")
@@ -503,6 +513,91 @@ def except_both_ways(spark, d):
     return c.subtract(s).withColumn("side", F.lit("only_customers")).unionByName(s.subtract(c).withColumn("side", F.lit("only_suppliers")))
 
 
+# -- landed records and pages to rows ---------------------------------------------------------------------------------
+
+_KINDS = {"ads": landing.CLASSIFIED, "market": landing.MARKET, "broker": landing.BROKER}
+_X = sqltext.EXTRACTORS
+_NO_RANGE = "NOT (source = 'ads' AND listing_id % 12 = 1)"
+_TEXT_PARKING, _FIELD_PARKING = f"({_X['parking']})", "CASE WHEN listing_id % 7 = 0 THEN 'Included' END"
+
+
+@query(
+    "landed_listings",
+    f"""SELECT concat(source, ':', source_id) AS listing_id,
+  CASE source WHEN 'ads' THEN concat(name, ' | Site') WHEN 'market' THEN name ELSE CASE WHEN listing_id % 8 <> 0 THEN concat(100 + listing_id % 50, ' Main St') END END AS title,
+  CASE WHEN listing_id % 8 <> 0 THEN concat(100 + listing_id % 50, ' Main St') WHEN source = 'ads' THEN 'Downtown' END AS address,
+  CASE WHEN listing_id % 5 = 0 THEN 2150e0 WHEN listing_id % 5 = 2 AND source <> 'ads' THEN 1900e0 WHEN listing_id % 5 = 3 AND source = 'broker' THEN 1500e0 END AS rent,
+  CASE WHEN {_NO_RANGE} THEN CASE listing_id % 4 WHEN 0 THEN 2e0 WHEN 2 THEN 3e0 END END AS beds,
+  CASE WHEN {_NO_RANGE} THEN CASE WHEN listing_id % 6 = 0 AND source = 'ads' THEN 1050e0 WHEN listing_id % 6 = 1 THEN 777e0 END END AS area,
+  CASE WHEN source = 'ads' THEN CAST({_X['floor']} AS DOUBLE) END AS floor,
+  CASE source WHEN 'ads' THEN {_TEXT_PARKING} WHEN 'market' THEN CASE WHEN {_FIELD_PARKING} <> {_TEXT_PARKING} THEN NULL ELSE coalesce({_FIELD_PARKING}, {_TEXT_PARKING}) END ELSE CASE listing_id % 4 WHEN 0 THEN 'Unavailable' WHEN 1 THEN 'Included' END END AS parking,
+  CASE WHEN source = 'market' THEN CASE WHEN {_FIELD_PARKING} <> {_TEXT_PARKING} THEN 'contradictory' WHEN coalesce({_FIELD_PARKING}, {_TEXT_PARKING}) IS NULL THEN 'not_stated' ELSE 'observed' END END AS parking_state,
+  CASE WHEN source <> 'broker' THEN {_X['furnishing']} END AS furnishing, CASE WHEN source = 'market' THEN {_X['full_unit']} END AS full_unit,
+  CASE WHEN listing_id % 9 <> 0 THEN 43.5e0 END AS lat, CASE WHEN listing_id % 5 < 3 THEN CAST(2 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS photos,
+  CASE WHEN source = 'ads' AND listing_id % 8 <> 0 THEN 'detail_page' ELSE 'source_field' END AS origin,
+  CASE WHEN source = 'broker' THEN CASE WHEN listing_id % 8 <> 0 AND listing_id % 5 IN (0, 2, 3) THEN 'ok' ELSE 'degraded' END WHEN listing_id % 10 = 9 THEN 'failed' WHEN listing_id % 10 = 8 THEN 'degraded' ELSE 'ok' END AS liveness
+FROM landed""",
+    "landed",
+)
+def landed_listings(spark, d):
+    out = landing.to_listings(landed(spark, d).drop("listing_id", "name", "description"), _KINDS)
+    return out.select("listing_id", "title", "address", "rent", "beds", "area", "floor", "parking", "parking_state", "furnishing", "full_unit", "lat", "photos", "origin", "liveness")
+
+
+@query(
+    "landed_scores",
+    "SELECT concat(source, ':', source_id) AS listing_id, CASE WHEN rent > 2000 THEN 'miss' WHEN rent IS NULL THEN 'unverified' ELSE 'match' END AS status, CASE WHEN photos THEN 1e2 ELSE 0e0 END AS score FROM (SELECT source, source_id, listing_id % 5 < 3 AS photos, CASE WHEN listing_id % 5 = 0 THEN 2150e0 WHEN listing_id % 5 = 2 AND source <> 'ads' THEN 1900e0 WHEN listing_id % 5 = 3 AND source = 'broker' THEN 1500e0 END AS rent FROM landed) x",
+    "landed",
+)
+def landed_scores(spark, d):
+    """From landed payloads to verdicts and scores."""
+    out = landing.to_listings(landed(spark, d).drop("listing_id", "name", "description"), _KINDS).withColumn("area_key", F.lit(None).cast("string"))
+    return rank.score(out, Rubric(rent_max=2000.0, weights={"photo.present": 2.0})).select("listing_id", "status", "score")
+
+
+@query("feed_rows", "SELECT page_id, concat(name, ' & more') AS title, CAST(1234500000 + page_id AS VARCHAR) AS id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * (page_id % 9) AS posted, page_id % 9 < 4 AS dropped FROM fetched UNION ALL SELECT page_id, 'none', NULL, TIMESTAMP '1970-01-01 00:00:00', TRUE FROM fetched", "fetched")
+def feed_rows(spark, d):
+    return parsers.feed_items(fetched(spark, d).select("page_id", "feed"), "feed", "2024-01-05 00:00:00").select("page_id", "title", "id", "posted", "dropped")
+
+
+@query("item_list_rows", "SELECT page_id, CAST(0 AS INT) AS ordinal, CAST(1234500000 + page_id AS VARCHAR) AS id, concat(name, ' & more') AS title, CASE page_id % 3 WHEN 1 THEN 1950e0 WHEN 2 THEN 1800.5e0 END AS price, CASE page_id % 2 WHEN 1 THEN 2e0 END AS beds, 700e0 AS area FROM fetched", "fetched")
+def item_list_rows(spark, d):
+    return parsers.item_lists(fetched(spark, d).select("page_id", "page"), "page").select("page_id", "ordinal", "id", "title", "price", "beds", "area")
+
+
+@query("detail_nodes", "SELECT page_id, name, '1 Main' AS street FROM fetched", "fetched")
+def detail_nodes(spark, d):
+    return fetched(spark, d).select("page_id", parsers.detail_node(F.col("page")).alias("n")).select("page_id", "n.name", F.col("n.address.streetAddress").alias("street"))
+
+
+@query(
+    "api_rows",
+    "SELECT CAST(page_id AS VARCHAR) AS id, name AS description, CASE page_id % 2 WHEN 0 THEN 2e0 ELSE 3e0 END AS beds, CASE page_id % 3 WHEN 0 THEN 2500e0 WHEN 1 THEN 2600e0 END AS price, concat(page_id, ' BLOOR STREET E, ', CASE page_id % 4 WHEN 1 THEN 'TORONTO (North), Ontario' ELSE 'Toronto' END) AS address, 43.5e0 AS lat, CAST(NULL AS DOUBLE) AS lng, 1 AS parking_spaces FROM fetched WHERE page_id % 4 IN (1, 3)",
+    "fetched",
+)
+def api_rows(spark, d):
+    return parsers.api_results(fetched(spark, d).select("answer"), "answer").select("id", "description", "beds", "price", "address", "lat", "lng", "parking_spaces")
+
+
+@query("card_rows", "SELECT page_id, CAST(0 AS BIGINT) AS ordinal, concat('/c/', page_id) AS url, CASE page_id % 2 WHEN 0 THEN name ELSE name END AS title, concat('$', 1000 + page_id % 100) AS price FROM fetched", "fetched")
+def card_rows(spark, d):
+    return parsers.cards(fetched(spark, d).select("page_id", "cards"), "card", html_col="cards").select("page_id", "ordinal", "url", "title", "price")
+
+
+@query(
+    "ad_pages",
+    f"""SELECT page_id, CASE page_id % 2 WHEN 0 THEN name ELSE 't' END AS title, '2024-01-02T00:00:00Z' AS posted,
+  concat(description, ' ', CASE page_id % 5 WHEN 0 THEN 'Address: please contact' WHEN 1 THEN 'Address: 77 Queen Blvd' WHEN 2 THEN '12 Harbour Street near x' ELSE 'bye' END) AS description, '1br' AS source_attributes,
+  CASE page_id % 3 WHEN 0 THEN 2150e0 WHEN 2 THEN 900e0 END AS price, CASE WHEN page_id % 4 = 0 THEN '9 King St' WHEN page_id % 5 = 1 THEN '77 Queen Blvd' WHEN page_id % 5 = 2 THEN '12 Harbour Street near x' END AS address,
+  43.5e0 AS lat, CASE WHEN page_id % 6 <> 0 THEN -79.25e0 END AS lng, CAST(2 AS INT) AS photos, CASE WHEN page_id % 12 = 1 THEN NULL ELSE coalesce({_X['beds'].replace('listing_id', 'page_id')}, 1e0) END AS beds,
+  {_X['parking'].replace('listing_id', 'page_id')} AS parking FROM fetched""",
+    "fetched",
+)
+def ad_pages(spark, d):
+    out = landing.classified_details(fetched(spark, d).select("page_id", F.col("ad").alias("html")))
+    return out.select("page_id", "title", "posted", "description", "source_attributes", "price", "address", "lat", "lng", F.size("photos").alias("photos"), "beds", "parking")
+
+
 # -- texts and pages --------------------------------------------------------------------------------------------------
 
 

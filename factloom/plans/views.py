@@ -82,7 +82,42 @@ SELECT ps_listing AS listing_id, CAST(profile AS INT) AS profile_id, round(score
   SELECT l_partkey AS ps_listing, l_linenumber % 3 AS profile, sum(l_quantity) AS score FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY l_partkey, l_linenumber % 3) s
 """
 
-VIEWS = {"listing": LISTING, "claims": CLAIMS, "records": RECORDS, "runs": RUNS, "actions": ACTIONS, "scores": SCORES}
+#: What landed from three sources, of parts: payloads in JSON with gaps, odd numbers and states of pages.
+LANDED = f"""
+SELECT p_partkey AS listing_id, CASE p_partkey % 3 WHEN 0 THEN 'ads' WHEN 1 THEN 'market' ELSE 'broker' END AS source, CAST(p_partkey AS STRING) AS source_id, concat('https://x.example/', CAST(p_partkey AS STRING)) AS url,
+  TIMESTAMP '2024-01-10 00:00:00' AS fetched_at, p_name AS name, {description} AS description,
+  concat('{{"title":"', p_name, ' | Site","description":"', {description}, '"',
+    CASE p_partkey % 5 WHEN 0 THEN ',"price":2150' WHEN 1 THEN ',"price":"Please Contact"' WHEN 2 THEN ',"price":"$1,900"' WHEN 3 THEN ',"price":"1500 or 1600"' ELSE '' END,
+    CASE p_partkey % 4 WHEN 0 THEN ',"beds":"2","parking_spaces":0' WHEN 1 THEN ',"beds":"2 + 1","parking_spaces":"2 spaces"' WHEN 2 THEN ',"beds":3' ELSE '' END,
+    CASE p_partkey % 6 WHEN 0 THEN ',"source_attributes":"1050 sqft, cats ok"' WHEN 1 THEN ',"sqft":777' ELSE '' END,
+    CASE WHEN p_partkey % 7 = 0 THEN ',"parking":"Included"' ELSE '' END,
+    CASE WHEN p_partkey % 8 = 0 THEN ',"location":"Downtown"' ELSE concat(',"address":" ', CAST(100 + p_partkey % 50 AS STRING), ' Main St "') END,
+    CASE WHEN p_partkey % 9 = 0 THEN '' ELSE ',"point":{{"lat":43.5,"lng":-79.25}}' END,
+    CASE WHEN p_partkey % 5 < 3 THEN ',"photos":["https://x/1","https://x/1","ftp://y","https://x/2"]' ELSE '' END,
+    CASE p_partkey % 10 WHEN 9 THEN ',"detail_status":"removed"' WHEN 8 THEN ',"detail_status":"blocked"' ELSE '' END, '}}') AS payload
+FROM part
+"""
+
+#: Pages that landed, of parts: a feed, an item list, an API's answer, cards of a search, an ad's page.
+FETCHED = f"""
+SELECT p_partkey AS page_id, p_name AS name, {description} AS description,
+  concat('<rss><channel><item><title><![CDATA[', p_name, ' & more]]></title><link>https://x.example/d/', CAST(1234500000 + p_partkey AS STRING), '.html</link><dc:date>2024-01-0', CAST(1 + p_partkey % 9 AS STRING),
+    'T00:00:00Z</dc:date></item><item><title>none</title><link>x</link></item></channel></rss>') AS feed,
+  concat('<script type="application/ld+json">{{"@type":"Organization","name":"o"}}</script><script type="application/ld+json">{{"@type":"ItemList","itemListElement":[{{"item":{{"url":"https://k.example/v/', CAST(1234500000 + p_partkey AS STRING),
+    '","name":"', p_name, ' &amp; more","offers":{{"price":"', CASE p_partkey % 3 WHEN 0 THEN 'Please Contact' WHEN 1 THEN '1,950' ELSE '1800.5' END, '"}},"numberOfBedrooms":"', CASE p_partkey % 2 WHEN 0 THEN '1 + 1' ELSE '2' END,
+    '","floorSize":{{"value":"700"}}}}}},{{"item":{{"url":"https://k.example/v/12"}}}}]}}</script><script type="application/ld+json">{{"@type":"Apartment","name":"', p_name, '","address":{{"streetAddress":"1 Main"}}}}</script>') AS page,
+  concat('{{"Results":[{{"Id":"', CAST(p_partkey AS STRING), '","RelativeDetailsURL":"/p/', CAST(p_partkey AS STRING), '","PublicRemarks":"', p_name, '","Building":{{"Bedrooms":"', CASE p_partkey % 2 WHEN 0 THEN '2 + 1' ELSE '3' END,
+    '","BathroomTotal":"1"}},"Property":{{"LeaseRentUnformattedValue":"', CASE p_partkey % 3 WHEN 0 THEN '2500' WHEN 1 THEN '$2,600' ELSE '' END, '","ParkingSpaceTotal":"1","Address":{{"AddressText":"',
+    CAST(p_partkey AS STRING), ' BLOOR STREET E|', CASE p_partkey % 4 WHEN 0 THEN 'Ottawa (Toronto Road)' WHEN 1 THEN 'TORONTO (North), Ontario' WHEN 2 THEN 'Torontoville' ELSE 'Toronto' END, '","Latitude":"43.5","Longitude":"x"}}}}}}]}}') AS answer,
+  concat('<ul><li class="card wide" title="', p_name, '"><a href="/c/', CAST(p_partkey AS STRING), '">', CASE p_partkey % 2 WHEN 0 THEN '<span class="title">Nice &amp; bright</span>' ELSE 'x' END, '</a><div class="price">$', CAST(1000 + p_partkey % 100 AS STRING), '</div></li><li class="other">no</li></ul>') AS cards,
+  concat('<html><head><title>t</title>', CASE p_partkey % 2 WHEN 0 THEN concat('<meta property="og:title" content="', p_name, '">') ELSE '' END, '</head><body><span class="price">', CASE p_partkey % 3 WHEN 0 THEN '$2,150' WHEN 1 THEN 'free' ELSE '$900 / mo' END, '</span>',
+    CASE p_partkey % 4 WHEN 0 THEN '<div class="mapaddress">9 King St</div>' WHEN 1 THEN '<div class="mapaddress">(google map)</div>' ELSE '' END, '<time datetime="2024-01-02T00:00:00Z">x</time><section id="postingbody">', {description}, chr(10),
+    CASE p_partkey % 5 WHEN 0 THEN 'Address: please contact' WHEN 1 THEN 'Address: 77 Queen Blvd' WHEN 2 THEN '12 Harbour Street near x' ELSE 'bye' END, chr(10), '</section><p class="attrgroup"><b>1br</b></p><div id="map" data-latitude="43.5" data-longitude="', CASE p_partkey % 6 WHEN 0 THEN 'x' ELSE '-79.25' END,
+    '"></div><div id="thumbs"><a href="https://x/1"></a><a href="https://x/2"></a><a href="https://x/1"></a></div></body></html>') AS ad
+FROM part
+"""
+
+VIEWS = {"listing": LISTING, "claims": CLAIMS, "records": RECORDS, "runs": RUNS, "actions": ACTIONS, "scores": SCORES, "landed": LANDED, "fetched": FETCHED}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +126,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
+    text = text.replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if f" {t}" in text and f"FROM {t}" in text]
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")

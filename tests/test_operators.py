@@ -343,6 +343,8 @@ TEXTS = {
     "den": [('a garden', None), ('one den', True)],
     "gym": [('Fitness centre', True), ('gym bag', False)],
     "gym_near": [('close to the gym', True)],
+    "beds_range": [('Choose from 1 & 2 bedroom apartments.', True), ('2 bedrooms', False)],
+    "area_range": [('700-900 sqft', True), ('900 sqft', False)],
     "grocery_near": [('next to a supermarket', True), ('grocery', False)],
 }
 
