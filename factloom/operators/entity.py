@@ -22,12 +22,12 @@ def canonical_ids(listings: DataFrame) -> DataFrame:
     """listing_id, canonical_id. Within a signature, in the order of source and id, the first listing names the group;
     the first of each other source joins it, further ones of a source stay alone: units of one building look alike.
 
-    Both windows share their partitioning, so rows are shuffled once."""
-    by_sig = Window.partitionBy("signature").orderBy("source", "listing_id")
-    by_source = Window.partitionBy("signature", "source").orderBy("listing_id")
-    w = with_signature(listings).select("listing_id", "source", "signature").repartition("signature")
-    w = w.withColumns({"lead": F.first("listing_id").over(by_sig), "k": F.row_number().over(by_source)})
-    return w.select("listing_id", F.when(F.col("k") == 1, F.col("lead")).otherwise(F.col("listing_id")).alias("canonical_id"))
+    Both firsts are aggregates, and the join with them is one that Spark can split: no signature is ordered in one task."""
+    w = with_signature(listings).select("listing_id", "source", "signature")
+    first = w.groupBy("signature", "source").agg(F.min("listing_id").alias("first"))
+    lead = first.groupBy("signature").agg(F.min_by("first", "source").alias("lead"))
+    joins = first.join(lead, "signature").select(F.col("first").alias("listing_id"), "lead")
+    return w.select("listing_id").join(joins, "listing_id", "left").select("listing_id", F.coalesce("lead", "listing_id").alias("canonical_id"))
 
 
 def resolve_ids(new: DataFrame, known_sources: DataFrame, fingerprints: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -86,17 +86,13 @@ def area_from_text(texts: DataFrame, keywords: DataFrame, text_col: str, id_col:
     return found.join(k, "said").groupBy(id_col).agg(F.min("key").alias("area_key"))
 
 
-def addresses_match(x: Column, y: Column) -> Column:
-    """Of two match keys: one holds the other, and neither is empty."""
-    return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
-
-
 def matching_addresses(listings: DataFrame) -> DataFrame:
-    """a, b: pairs whose addresses match, within the same street number. A listing without an address matches none. Keys are
-    made once a listing, and compared once for all listings that have them."""
+    """a, b: a listing and another whose address matches its own. Of listings with the same key, and of keys of one street number
+    that hold one another, the one of the least id stands for all: each other member is paired with it, and these with each
+    other, so a key of m listings gives m - 1 pairs. A listing without an address matches none."""
     l = listings.select("listing_id", S.match_key(F.col("address")).alias("key")).filter("key <> ''")
-    keys = l.select("key").distinct().withColumn("number", F.element_at(F.split("key", " "), 1))
+    keys = l.groupBy("key").agg(F.min("listing_id").alias("least")).withColumn("number", F.element_at(F.split("key", " "), 1))
+    members = l.join(keys, "key").filter("listing_id <> least").select(F.col("least").alias("a"), F.col("listing_id").alias("b"))
     x, y = keys.alias("x"), keys.alias("y")
-    alike = x.join(y, (F.col("x.number") == F.col("y.number")) & addresses_match(F.col("x.key"), F.col("y.key"))).select(F.col("x.key").alias("key"), F.col("y.key").alias("other"))
-    a = l.select(F.col("listing_id").alias("a"), "key").join(alike, "key")
-    return a.join(l.select(F.col("listing_id").alias("b"), F.col("key").alias("other")), "other").filter("a < b").select("a", "b")
+    held = x.join(y, (F.col("x.number") == F.col("y.number")) & (F.col("x.key") != F.col("y.key")) & F.col("x.key").contains(F.col("y.key")))
+    return members.union(held.select(F.least("x.least", "y.least"), F.greatest("x.least", "y.least")))

@@ -74,10 +74,12 @@ def latest(rows: DataFrame, *key: str, by: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("x")).select(*key, *(F.col(f"x.{c}").alias(c) for c in rest))
 
 
-def best_claim(claims: Column) -> Column:
-    """Of an array of claims (origin, value): the highest precedence, the first of equals."""
-    ranked = F.transform(claims, lambda c, i: F.struct(precedence(c.origin).alias("p"), (-i).alias("first"), c.alias("c")))
-    return F.array_max(ranked).c
+def best_by_precedence(claims: DataFrame, *key: str) -> DataFrame:
+    """Of each key's claims the one of the highest precedence, the first of equals: an aggregate, reduced on the map side, so a
+    key's history never stands in one place."""
+    order = F.struct(precedence(F.col("origin")).alias("p"), (-F.col("claim_id")).alias("first"))
+    rest = [c for c in claims.columns if c not in key]
+    return claims.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*key, "x.*")
 
 
 def change_counts(claims: DataFrame) -> DataFrame:

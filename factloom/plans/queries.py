@@ -124,9 +124,7 @@ def fact_diff(spark, d):
     "claims",
 )
 def best_claim_array(spark, d):
-    c = F.array_sort(F.collect_list(F.struct("claim_id", "origin", "value")))
-    g = claims(spark, d).filter("field = 'f1'").groupBy("listing_id").agg(c.alias("c"))
-    return g.select("listing_id", resolve.best_claim(F.col("c")).value.alias("best"))
+    return resolve.best_by_precedence(claims(spark, d).filter("field = 'f1'"), "listing_id").select("listing_id", F.col("value").alias("best"))
 
 
 @query(
@@ -247,8 +245,8 @@ def search_urls(spark, d):
 @query("source_enablement", "SELECT n_name AS source, CASE WHEN n_regionkey = 0 THEN 'off in profile' WHEN n_nationkey % 3 = 0 THEN 'disabled' WHEN n_nationkey % 5 = 0 THEN 'missing credentials' END AS off FROM nation")
 def source_enablement(spark, d):
     n = table(spark, d, "nation")
-    wanted = [r.n_name for r in n.filter("n_regionkey <> 0").select("n_name").collect()]  # a catalog of sources is small by nature
-    return parsers.enabled_sources(n.select(F.col("n_name").alias("source"), (F.col("n_nationkey") % 3 != 0).alias("enabled"), (F.col("n_nationkey") % 5 == 0).alias("needs_credentials")), wanted, [])
+    catalog = n.select(F.col("n_name").alias("source"), (F.col("n_nationkey") % 3 != 0).alias("enabled"), (F.col("n_nationkey") % 5 == 0).alias("needs_credentials"))
+    return parsers.enabled_sources(catalog, n.filter("n_regionkey <> 0").select(F.col("n_name").alias("source")), [])
 
 
 # -- criteria and ranking ---------------------------------------------------------------------------------------------
@@ -292,7 +290,14 @@ def rule_rows(spark, d):
     return rank.score(listing(spark, d)).select("listing_id", F.explode("breakdown").alias("t")).select("listing_id", "t.rule_key", F.round("t.contribution", 6).alias("contribution"))
 
 
-@query("explanation")
+_TOLD = "string_agg(CASE WHEN contribution {0} THEN label END, ', ' ORDER BY {1}, label)"
+
+
+@query(
+    "explanation",
+    sqltext.over_terms(f"SELECT listing_id, coalesce({_TOLD.format('> 0', '-contribution')}, '') AS helped, coalesce({_TOLD.format('< 0', 'contribution')}, '') AS hurt, coalesce({_TOLD.format('= 0', '1')}, '') AS neutral FROM (SELECT *, {sqltext.LABEL} AS label FROM t) y GROUP BY listing_id"),
+    "listing",
+)
 def explanation(spark, d):
     return rank.explanation(rank.score(listing(spark, d)))
 
@@ -438,12 +443,17 @@ def price_buckets(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.price_bucket(F.col("p_retailprice")).alias("bucket"))
 
 
-@query("canonical_addresses")
+@query(
+    "canonical_addresses",
+    """SELECT listing_id, concat(100 + listing_id % 50, CASE listing_id % 4 WHEN 0 THEN ' W. Main Street' WHEN 1 THEN ' Queen St East, Toronto' WHEN 2 THEN ' Mill Rd., ON M5V 2T6' ELSE ' North Harbour Ave' END, ', ', title) AS address,
+  concat(100 + listing_id % 50, CASE listing_id % 4 WHEN 0 THEN ' west main' WHEN 1 THEN ' queen st east toronto' WHEN 2 THEN ' mill rd on m5v 2t6' ELSE ' north harbour' END) AS match_key FROM listing""",
+    "listing",
+)
 def canonical_addresses(spark, d):
     return listing(spark, d).select("listing_id", S.canonical_address(F.col("address"), F.col("title")).alias("address"), S.match_key(F.col("address")).alias("match_key"))
 
 
-@query("matching_addresses")
+@query("matching_addresses", "SELECT min(listing_id) OVER (PARTITION BY listing_id % 100) AS a, listing_id AS b FROM listing QUALIFY a <> b", "listing")
 def matching_addresses(spark, d):
     return entity.matching_addresses(listing(spark, d))
 
@@ -474,8 +484,7 @@ def counts_document(spark, d):
 @query("first_arrivals", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) t WHERE r = 1")
 def first_arrivals(spark, d):
     # the hash is grouped, not the text: a sort of texts for every row is spared
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sig"))
-    return docs.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return incremental.first_arrivals(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sig")), "sig", "doc_id").select("doc_id")
 
 
 @query("stateful_dedupe", sqltext.DEDUPE)
@@ -489,7 +498,18 @@ def late_rows(spark, d):
     return table(spark, d, "events").filter(F.col("ts") < F.lit("2024-01-10 00:00:00").cast("timestamp")).groupBy("event_type").agg(F.count(F.lit(1)).alias("dropped"))
 
 
-@query("job_states")
+_KIND = "(['queued', 'claimed', 'failed', 'claimed', 'done'])[CAST(event_id % 5 AS INT) + 1]"
+
+
+@query(
+    "job_states",
+    f"""WITH RECURSIVE e AS (SELECT user_id AS job, event_id AS seq, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT job, CAST(0 AS BIGINT) AS r, 'queued' AS state, CAST(0 AS INT) AS attempts FROM (SELECT DISTINCT job FROM e) j UNION ALL
+  SELECT e.job, e.r, CASE WHEN state IN ('succeeded', 'failed', 'cancelled') THEN state WHEN kind = 'claimed' AND state = 'queued' THEN 'running' WHEN kind = 'done' AND state = 'running' THEN 'succeeded'
+    WHEN kind = 'failed' AND state = 'running' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE state END,
+    CASE WHEN state = 'queued' AND kind = 'claimed' THEN attempts + 1 ELSE attempts END FROM s JOIN e ON e.job = s.job AND e.r = s.r + 1)
+SELECT job, arg_max(state, r) AS state, arg_max(attempts, r) AS attempts, CASE WHEN arg_max(state, r) = 'queued' AND arg_max(attempts, r) > 0 THEN least(30, CAST(power(2, arg_max(attempts, r)) AS INT)) END AS wait_s FROM s GROUP BY job""",
+)
 def job_states(spark, d):
     kinds = F.element_at(F.array(*map(F.lit, ("queued", "claimed", "failed", "claimed", "done"))), (F.col("event_id") % 5 + 1).cast("int"))
     return incremental.job_states(table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), kinds.alias("kind")))
@@ -507,9 +527,9 @@ def union_sources(spark, d):
     return c.unionByName(table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("place"))).groupBy("kind", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("except_both_ways", "(SELECT c_nationkey AS place, 'only_customers' AS side FROM customer EXCEPT SELECT s_nationkey, 'only_customers' FROM supplier) UNION ALL (SELECT s_nationkey, 'only_suppliers' FROM supplier EXCEPT SELECT c_nationkey, 'only_suppliers' FROM customer)")
+@query("except_both_ways", "(SELECT c_custkey % 40 AS place, 'only_customers' AS side FROM customer EXCEPT SELECT s_suppkey % 60 + 7, 'only_customers' FROM supplier) UNION ALL (SELECT s_suppkey % 60 + 7, 'only_suppliers' FROM supplier EXCEPT SELECT c_custkey % 40, 'only_suppliers' FROM customer)")
 def except_both_ways(spark, d):
-    c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("place")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("place"))
+    c, s = table(spark, d, "customer").select((F.col("c_custkey") % 40).alias("place")), table(spark, d, "supplier").select((F.col("s_suppkey") % 60 + 7).alias("place"))
     return c.subtract(s).withColumn("side", F.lit("only_customers")).unionByName(s.subtract(c).withColumn("side", F.lit("only_suppliers")))
 
 
@@ -618,9 +638,12 @@ def page_title_links(spark, d):
     return parsers.title_and_links(table(spark, d, "pages"))
 
 
-@query("page_outcomes", "SELECT page_id, 'ok' AS outcome FROM pages")
+@query("page_outcomes", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'removed' WHEN page_id % 5 = 0 THEN 'blocked' ELSE 'ok' END AS outcome FROM pages")
 def page_outcomes(spark, d):
-    return table(spark, d, "pages").select("page_id", parsers.outcome(F.col("html")).alias("outcome"))
+    """Pages with notices put before them; some only in a script, where no reader sees them."""
+    notice = F.when(F.col("page_id") % 7 == 0, "<p>This posting has been <b>deleted</b></p>").otherwise("") 
+    wall = F.when(F.col("page_id") % 5 == 0, "<div>Are you a robot?</div>").when(F.col("page_id") % 3 == 0, "<script>captcha()</script><!-- access denied -->").otherwise("")
+    return table(spark, d, "pages").select("page_id", parsers.outcome(F.concat(notice, wall, "html")).alias("outcome"))
 
 
 @query("redact_counts", sqltext.REDACT)
@@ -634,9 +657,16 @@ def url_slugs(spark, d):
     return table(spark, d, "pages").select("page_id", S.slug_text(F.col("url")).alias("slug"))
 
 
-@query("bounded_text", "SELECT doc_id, octet_length(encode(text)) > 1000 AS cut FROM documents")
+_NEXT = "substr(h, 2 * {0} + 1, 1) NOT IN ('8', '9', 'A', 'B')"
+
+
+@query(
+    "bounded_text",
+    f"""SELECT doc_id, length(h) > 2000 AS cut, md5(CASE WHEN length(h) <= 2000 THEN text ELSE decode(unhex(left(h, 2 * CASE WHEN {_NEXT.format(1000)} THEN 1000 WHEN {_NEXT.format(999)} THEN 999 WHEN {_NEXT.format(998)} THEN 998 ELSE 997 END))) END) AS text_md5
+FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents) x""",
+)
 def bounded_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.bounded_text(F.col("text"), 1000)["cut"].alias("cut"))
+    return table(spark, d, "documents").select("doc_id", S.bounded_text(F.col("text"), 1000).alias("b")).select("doc_id", "b.cut", F.md5("b.text").alias("text_md5"))
 
 
 def _results(spark, d):
@@ -660,13 +690,11 @@ def research_coverage(spark, d):
     return report.coverage(report.claims(report.accepted(_results(spark, d), "2024-01-15")))
 
 
-@query("row_json", "SELECT n_nationkey AS id, '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS json FROM nation")
+@query("row_json", "SELECT '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS json FROM nation")
 def row_json(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return n.select("id", F.to_json(F.struct("id", "name")).alias("json"))
+    return sinks.as_json(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
 
 
 @query("event_windows", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return incremental.windowed_counts(table(spark, d, "events")).select("event_type", F.col("w.start").alias("hour"), "n")

@@ -133,6 +133,13 @@ _TERMS = {
     "landmark.distance": ("proximity", 0, 7, f"7e0 * coalesce(CASE WHEN lat IS NOT NULL THEN greatest(0e0, 1 - {_km('43.65e0', '-79.38e0')} / 5e0) END, 0e0)"),
     "confidence.unverified": ("amenities", -4, 0, "CASE WHEN status = 'unverified' THEN -4e0 ELSE 0e0 END"),
 }
+#: What the terms are called.
+LABEL = "CASE rule_key " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {
+    "laundry.in_suite": "In-suite laundry", "laundry.building": "Building laundry", "floor.low": "Low floor", "walk.score": "Walk score", "space.den_or_solarium": "Den or solarium",
+    "amenities.gym_building": "Gym in the building", "proximity.gym_nearby": "Gym nearby", "proximity.grocery_nearby": "Grocery nearby", "density.walkable": "Walkable", "density.sparse": "Sparse",
+    "parking.available": "Parking", "pets.allowed": "Pets", "photo.present": "Photos", "area.over_minimum": "Area over the minimum", "rent.headroom": "Rent headroom", "location.area_key": "Area preference",
+    "landmark.distance": "Near Central station", "confidence.unverified": "Missing criteria facts",
+}.items()) + " END"
 _LO, _HI = sum(t[1] for t in _TERMS.values()), sum(t[2] for t in _TERMS.values())
 
 

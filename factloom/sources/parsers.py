@@ -216,10 +216,10 @@ def search_box(areas: DataFrame) -> DataFrame:
     return areas.agg(F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
 
 
-def enabled_sources(catalog: DataFrame, wanted: list[str], credentials: list[str]) -> DataFrame:
-    """source and why it is off (null: on): the profile's choice before the catalog's before missing credentials."""
-    c = catalog.select("source", "enabled", "needs_credentials")
+def enabled_sources(catalog: DataFrame, wanted: DataFrame, credentials: list[str]) -> DataFrame:
+    """source and why it is off (null: on): the profile's choice (wanted: source) before the catalog's before missing credentials."""
+    c = catalog.select("source", "enabled", "needs_credentials").join(wanted.select("source", F.lit(True).alias("_wanted")).distinct(), "source", "left")
     return c.select(
         "source",
-        F.when(~F.col("source").isin(*wanted), "off in profile").when(~F.coalesce("enabled", F.lit(False)), "disabled").when(F.col("needs_credentials") & ~F.col("source").isin(*credentials), "missing credentials").alias("off"),
+        F.when(F.col("_wanted").isNull(), "off in profile").when(~F.coalesce("enabled", F.lit(False)), "disabled").when(F.col("needs_credentials") & ~F.col("source").isin(*credentials), "missing credentials").alias("off"),
     )

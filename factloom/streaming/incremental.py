@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -91,27 +92,47 @@ def forget(state: DataFrame, now: str, days: int = FORGET_DAYS) -> DataFrame:
     return state.filter(at.isNull() | (at >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")))
 
 
+def _job_step(state: str, attempts: int, kind: str) -> tuple[str, int]:
+    if state in ("succeeded", "failed", "cancelled"):
+        return state, attempts
+    if kind == "cancelled":
+        return "cancelled", attempts
+    if kind == "claimed" and state == "queued":
+        return "running", attempts + 1
+    if state == "running" and kind == "done":
+        return "succeeded", attempts
+    if state == "running" and kind == "failed":
+        return ("failed" if attempts >= ATTEMPTS else "queued"), attempts
+    return state, attempts
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """events: job, seq, kind (queued, claimed, failed, done, cancelled). The state that they leave, folded in the order of seq:
-    done and cancelled end a job; a failure queues it again until ATTEMPTS claims are used up."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind")))
-    start = F.struct(F.lit("queued").alias("state"), F.lit(0).alias("attempts"))
-
-    def step(s, e):
-        ended = s.state.isin("succeeded", "failed", "cancelled")
-        attempts = F.when(~ended & (e.kind == "claimed") & (s.state == "queued"), s.attempts + 1).otherwise(s.attempts)
-        state = (
-            F.when(ended, s.state)
-            .when(e.kind == "cancelled", F.lit("cancelled"))
-            .when((e.kind == "claimed") & (s.state == "queued"), F.lit("running"))
-            .when((e.kind == "done") & (s.state == "running"), F.lit("succeeded"))
-            .when((e.kind == "failed") & (s.state == "running"), F.when(s.attempts >= ATTEMPTS, F.lit("failed")).otherwise(F.lit("queued")))
-            .otherwise(s.state)
-        )
-        return F.struct(state.alias("state"), attempts.alias("attempts"))
-
-    g = events.groupBy("job").agg(F.aggregate(ordered, start, step).alias("s"))
-    return g.select("job", "s.state", "s.attempts", F.when((F.col("s.state") == "queued") & (F.col("s.attempts") > 0), F.least(F.lit(LONGEST_WAIT_S), F.pow(F.lit(2), F.col("s.attempts")).cast("int"))).alias("wait_s"))
+    done and cancelled end a job; a failure queues it again until ATTEMPTS claims are used up. Each task streams over its jobs'
+    events in order and holds one job's state."""
+    kind = events.schema["job"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, started, job_type = None, ("queued", 0), False, None
+        for batch in batches:
+            job_type, ended = batch.schema.field(0).type, []
+            for job, what in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if started and job != now:
+                    ended.append((now, *state))
+                    state = "queued", 0
+                now, started = job, True
+                state = _job_step(*state, what)
+            yield _jobs(ended, job_type)
+        if started:
+            yield _jobs([(now, *state)], job_type)
+
+    def _jobs(rows: list[tuple], job_type: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (job_type, pa.string(), pa.int32()), strict=True)], ["job", "state", "attempts"])
+
+    ordered = events.repartition("job").sortWithinPartitions("job", "seq").select("job", "kind")
+    g = ordered.mapInArrow(run, f"job {kind}, state string, attempts int")
+    return g.withColumn("wait_s", F.when((F.col("state") == "queued") & (F.col("attempts") > 0), F.least(F.lit(LONGEST_WAIT_S), F.pow(F.lit(2), F.col("attempts")).cast("int"))))
 
 
 def claimable(jobs: DataFrame, now: str, n: int = 1) -> DataFrame:
