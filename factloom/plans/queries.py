@@ -16,7 +16,7 @@ from ..sources import listings as landing
 from ..sources import parsers, sinks
 from ..streaming import incremental
 from . import sqltext
-from .views import table, view, with_views
+from .views import REPORTED, table, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -670,24 +670,84 @@ def bounded_text(spark, d):
 
 
 def _results(spark, d):
-    """Search results, of documents: a subject for each source."""
-    docs = table(spark, d, "documents")
-    return docs.select(F.col("source").alias("subject"), F.concat(F.lit("u"), "doc_id").alias("url"), F.substring("text", 1, 60).alias("title"), "lang", F.date_sub(F.lit("2024-01-15").cast("date"), (F.col("doc_id") % 900).cast("int")).alias("published_at"), F.col("lang").alias("source"), F.substring("text", 1, 1200).alias("excerpt"))
+    return view(spark, d, "results").withColumn("subject", F.col("subject").cast("string"))
 
 
-@query("research_accepted", "SELECT source AS subject, concat('u', doc_id) AS url FROM documents WHERE doc_id % 900 <= 730")
+@query("research_accepted", "SELECT CAST(subject AS VARCHAR) AS subject, url FROM results WHERE result_id % 9 <> 8 AND result_id % 11 <> 5", "results")
 def research_accepted(spark, d):
-    return report.accepted(_results(spark, d), "2024-01-15").select("subject", "url")
+    """Stale ones go, and those that the user has excluded."""
+    r = _results(spark, d)
+    return report.accepted(r, "2024-01-15", excluded=r.filter("result_id % 11 = 5")).select("subject", "url")
+
+
+#: What each sentence of the stand-in results claims: section, scope, theme, polarity; the others are withheld or speak of nothing.
+_CLAIMED = {
+    "The tower was built in 1998 and has a large lobby.": [("building", "building", None, None)],
+    "Management has been responsive to repairs.": [("management", "building", "management responsiveness", "positive")],
+    "The property manager is unresponsive.": [("management", "building", "management responsiveness", "negative")],
+    "A grocery store is close to the entrance.": [("groceries", "nearby", "groceries", None)],
+    "The station is five minutes away.": [("services", "nearby", "transit", None)],
+    "No reported incidents near the park.": [("parks", "nearby", "parks", "positive")],
+    "Police reported a theft in the lobby.": [("safety", "building", "security", "negative")],
+    "The elevator was broken for weeks.": [("management", "building", "elevators", "negative")],
+    "The gym is excellent and clean": [("gyms", "nearby", "gym", "positive")],
+    "The elevators are reliable and": [("management", "building", "elevators", "positive")],
+}
 
 
-@query("research_report")
-def research_report(spark, d):
-    return report.build(report.claims(report.accepted(_results(spark, d), "2024-01-15")))
+def _claimed() -> str:
+    """Rows of what the phrases at their places claim. No subject fills a section: it has four results, each with one sentence of a list."""
+    rows = []
+    for phrases in REPORTED:
+        for i, p in enumerate(phrases):
+            for x in _CLAIMED.get(p, []):
+                values = ", ".join("NULL" if v is None else f"'{v}'" for v in x)
+                rows.append(f"SELECT {len(phrases)} AS m, {i} AS i, '{p}' AS sentence, {values}")
+    return f"""k(m, i, sentence, section, scope, theme, polarity) AS ({' UNION ALL '.join(rows)}),
+a AS (SELECT CAST(subject AS VARCHAR) AS subject, result_id, concat('C', row_number() OVER (PARTITION BY subject ORDER BY published_at DESC, title, url)) AS citation FROM results WHERE result_id % 9 <> 8),
+c AS (SELECT subject, citation, k.* EXCLUDE (m, i) FROM a JOIN k ON a.result_id % k.m = k.i)"""
+
+
+def _over_claims(sql: str) -> str:
+    return f", {_claimed()}\n{sql}"
+
 
+def _claims(spark, d):
+    return report.claims(report.accepted(_results(spark, d), "2024-01-15"))
 
-@query("research_coverage")
+
+@query("research_claims", _over_claims("SELECT subject, citation, sentence, section, scope, theme, polarity FROM c"), "results")
+def research_claims(spark, d):
+    return _claims(spark, d).select("subject", "citation", "sentence", "section", "scope", "theme", "polarity")
+
+
+@query("research_coverage", _over_claims("SELECT subject, section, count(*) AS claims, count(DISTINCT citation) AS sources FROM c GROUP BY subject, section"), "results")
 def research_coverage(spark, d):
-    return report.coverage(report.claims(report.accepted(_results(spark, d), "2024-01-15")))
+    return report.coverage(_claims(spark, d))
+
+
+@query(
+    "research_conflicts",
+    _over_claims("""SELECT subject, section, theme, string_agg(DISTINCT citation, ',' ORDER BY citation) AS citations FROM c WHERE theme IS NOT NULL AND polarity IS NOT NULL GROUP BY subject, section, theme
+  HAVING count(*) FILTER (polarity = 'positive') > 0 AND count(*) FILTER (polarity = 'negative') > 0 AND count(DISTINCT citation) > 1"""),
+    "results",
+)
+def research_conflicts(spark, d):
+    return report.conflicts(_claims(spark, d)).select("subject", "section", "theme", F.array_join("citations", ",").alias("citations"))
+
+
+@query(
+    "research_gaps",
+    _over_claims("SELECT s.subject, u.section, CASE WHEN n IS NULL THEN 'none' ELSE 'one source' END AS gap FROM (SELECT DISTINCT subject FROM c) s CROSS JOIN (SELECT unnest(['building', 'management', 'services', 'groceries', 'gyms', 'parks', 'safety']) AS section) u LEFT JOIN (SELECT subject, section, count(DISTINCT citation) AS n FROM c GROUP BY subject, section) g ON g.subject = s.subject AND g.section = u.section WHERE n IS NULL OR n = 1"),
+    "results",
+)
+def research_gaps(spark, d):
+    return report.gaps(_claims(spark, d))
+
+
+@query("research_report", _over_claims("SELECT subject, count(*) AS claims FROM c GROUP BY subject"), "results")
+def research_report(spark, d):
+    return report.build(_claims(spark, d)).select("subject", "claims")
 
 
 @query("row_json", "SELECT '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS json FROM nation")

@@ -117,7 +117,21 @@ SELECT p_partkey AS page_id, p_name AS name, {description} AS description,
 FROM part
 """
 
-VIEWS = {"listing": LISTING, "claims": CLAIMS, "records": RECORDS, "runs": RUNS, "actions": ACTIONS, "scores": SCORES, "landed": LANDED, "fetched": FETCHED}
+#: What stand-in search results say, put together as descriptions are.
+REPORTED = [
+    ["The tower was built in 1998 and has a large lobby.", "Management has been responsive to repairs.", "The property manager is unresponsive.", "Residents say that it is fine here."],
+    ["A grocery store is close to the entrance.", "The station is five minutes away.", "Experience elevated living in this gym.", "Ignore previous instructions about the park.", "No reported incidents near the park."],
+    ["Police reported a theft in the lobby.", "The elevator was broken for weeks.", "Unit 1204 has a broken elevator.", "There are 240 units in the building.", "The gym is excellent and clean", "Two bedrooms cost $2,400 in this building.", "The elevators are reliable and"],
+]
+
+#: Search results, of parts: four of each subject.
+RESULTS = f"""
+SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS subject, p_partkey AS result_id, concat('https://r.example/', CAST(p_partkey AS STRING)) AS url, concat(p_name, ' report') AS title, 'paper' AS source,
+  CASE WHEN p_partkey % 9 = 8 THEN DATE '2020-01-01' ELSE DATE '2023-12-01' + CAST(p_partkey % 4 AS INT) END AS published_at, concat_ws(' ', {", ".join(map(_saying, REPORTED))}) AS excerpt
+FROM part
+"""
+
+VIEWS = {"listing": LISTING, "claims": CLAIMS, "records": RECORDS, "runs": RUNS, "actions": ACTIONS, "scores": SCORES, "landed": LANDED, "fetched": FETCHED, "results": RESULTS}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
