@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import text as X
 from ..model import PRECEDENCE, RUBRIC, Range, Rubric
-from ..operators import browse, criteria, entity, health, rank, report, resolve
+from ..operators import browse, criteria, display, entity, health, rank, report, resolve, review
 from ..sources import listings as landing
 from ..sources import parsers, sinks
 from ..streaming import incremental
@@ -533,6 +533,225 @@ def except_both_ways(spark, d):
     return c.subtract(s).withColumn("side", F.lit("only_customers")).unionByName(s.subtract(c).withColumn("side", F.lit("only_suppliers")))
 
 
+# -- corrections, revisions, jobs, stages -----------------------------------------------------------------------------
+
+_CHECKED_CORRECTIONS = """c AS (SELECT *, CASE WHEN field = 'colour' THEN 'unknown field' WHEN seq % 11 = 7 THEN 'no value' WHEN field IN ('rent', 'floor') THEN CASE seq % 11 WHEN 1 THEN 'negative' WHEN 0 THEN NULL WHEN 8 THEN NULL
+    WHEN 2 THEN CASE WHEN field = 'floor' THEN 'not a whole number' END ELSE 'not a number' END
+  WHEN field = 'furnishing' AND seq % 11 <> 3 THEN 'not a choice' WHEN field = 'basement' AND seq % 11 <> 4 THEN 'not a choice' WHEN field = 'available_date' AND seq % 11 <> 5 THEN 'not a date' END AS error FROM corrections),
+k AS (SELECT *, CASE field WHEN 'colour' THEN NULL WHEN 'basement' THEN 'attributes.basement' WHEN 'available_date' THEN 'attributes.available_date' WHEN 'research_address' THEN 'attributes.research_address' ELSE field END AS stored,
+  CASE WHEN error IS NULL THEN CASE field WHEN 'rent' THEN CASE seq % 11 WHEN 0 THEN '1500.0' WHEN 8 THEN '7.0' ELSE '4.5' END WHEN 'floor' THEN CASE seq % 11 WHEN 0 THEN '1500' ELSE '7' END
+    WHEN 'furnishing' THEN 'unfurnished' WHEN 'basement' THEN 'true' ELSE trim(value) END END AS parsed FROM c)"""
+
+
+@query("checked_corrections", f", {_CHECKED_CORRECTIONS} SELECT seq, stored, parsed, error FROM k", "corrections")
+def checked_corrections(spark, d):
+    return review.checked_corrections(view(spark, d, "corrections")).select("seq", "stored", "parsed", "error")
+
+
+@query("corrections_in_force", f", {_CHECKED_CORRECTIONS} SELECT listing_id, field, parsed, seq FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, field ORDER BY seq DESC) AS r FROM k WHERE clear OR error IS NULL) t WHERE r = 1 AND NOT clear", "corrections")
+def corrections_in_force(spark, d):
+    return review.corrections(view(spark, d, "corrections"))
+
+
+_OUTCOMES = """o AS (SELECT q.listing_id, q.revision, q.seq, CASE WHEN q.revision < 0 THEN 'missing' WHEN q.hash = 'old' THEN 'stale' WHEN r.state = 'superseded' THEN 'superseded' WHEN r.state = 'applied' OR (q.seq > 100000000 AND q.revision % 3 = 0) THEN 'repeated' ELSE 'applied' END AS outcome
+FROM requests q LEFT JOIN revisions r ON r.revision = q.revision)"""
+
+
+@query("applied_revisions", f", {_OUTCOMES} SELECT * FROM o", "revisions", "requests")
+def applied_revisions(spark, d):
+    return review.applied_revisions(view(spark, d, "revisions"), view(spark, d, "requests"))
+
+
+@query(
+    "merged_revisions",
+    f""", {_OUTCOMES}, n AS (SELECT listing_id, max(revision) AS force FROM o WHERE outcome = 'applied' GROUP BY listing_id)
+SELECT r.listing_id, r.revision, r.hash, CASE WHEN r.revision = force THEN 'applied' WHEN r.revision IN (SELECT revision FROM o WHERE outcome = 'applied') OR (force IS NOT NULL AND state = 'applied') THEN 'superseded' ELSE state END AS state
+FROM revisions r LEFT JOIN n ON n.listing_id = r.listing_id""",
+    "revisions",
+    "requests",
+)
+def merged_revisions(spark, d):
+    r = view(spark, d, "revisions")
+    return review.merged_revisions(r, review.applied_revisions(r, view(spark, d, "requests")))
+
+
+@query("saved_last", "SELECT listing_id, max(revision) AS revision FROM revisions GROUP BY listing_id", "revisions")
+def saved_last(spark, d):
+    return review.saved_last(view(spark, d, "revisions").withColumn("seq", F.col("revision")))
+
+
+@query(
+    "enqueued_jobs",
+    """, q AS (SELECT user_id AS listing_id, event_id AS seq FROM events WHERE event_type = 'purchase'),
+a AS (SELECT listing_id, job FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY requested_at DESC, job DESC) AS r FROM jobs WHERE state <> 'failed' AND listing_id % 3 = 0) t WHERE r = 1),
+n AS (SELECT listing_id, max(record_id) AS record_id FROM saved GROUP BY listing_id), f AS (SELECT *, min(seq) OVER (PARTITION BY listing_id) AS first FROM q)
+SELECT f.listing_id, f.seq, CASE WHEN a.job IS NOT NULL THEN 'joined' WHEN n.record_id IS NULL THEN 'refused' WHEN f.seq = first THEN 'queued' ELSE 'joined' END AS outcome,
+  coalesce(a.job, CASE WHEN n.record_id IS NOT NULL THEN concat('job-', f.listing_id, '-', first) END) AS job, n.record_id FROM f LEFT JOIN a ON a.listing_id = f.listing_id LEFT JOIN n ON n.listing_id = f.listing_id""",
+    "jobs",
+    "saved",
+)
+def enqueued_jobs(spark, d):
+    asked = table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("listing_id"), F.col("event_id").alias("seq"))
+    return review.enqueued(asked, view(spark, d, "jobs").filter("listing_id % 3 = 0"), view(spark, d, "saved"))
+
+
+@query(
+    "published_results",
+    """SELECT w.job, j.listing_id, CASE WHEN w.token <> 't' OR j.state <> 'running' THEN 'dropped' WHEN w.source_id = 'x' OR s.record_id IS NULL THEN 'identity_mismatch' WHEN n.newest <> j.record_id THEN 'stale_source'
+  WHEN status IN ('blocked', 'removed') THEN status WHEN status = 'odd' THEN 'failed' WHEN w.hash = s.hash THEN 'unchanged' ELSE 'published' END AS outcome
+FROM returned w JOIN jobs j ON j.job = w.job LEFT JOIN saved s ON s.record_id = j.record_id LEFT JOIN (SELECT listing_id, max(record_id) AS newest FROM saved GROUP BY listing_id) n ON n.listing_id = j.listing_id""",
+    "jobs",
+    "saved",
+    "returned",
+)
+def published_results(spark, d):
+    return review.published(view(spark, d, "returned"), view(spark, d, "jobs"), view(spark, d, "saved"))
+
+
+@query("persisted_rows", "SELECT record_id AS listing_id, NOT (source = 'src1' AND source_id < 'k3') AS is_new FROM records WHERE NOT (record_id % 2 = 0 AND source = 'src1' AND source_id < 'k3')", "records")
+def persisted_rows(spark, d):
+    r = records(spark, d)
+    known = r.filter("source = 'src1' AND source_id < 'k3'").select("source", "source_id")
+    return review.persisted(r.select(F.col("record_id").alias("listing_id"), "source", "source_id", (F.col("record_id") % 2 == 0).alias("discovery_only")), known)
+
+
+@query("scores_kept", sqltext.over_verdict("SELECT s.* FROM scores s WHERE s.listing_id NOT IN (SELECT listing_id FROM v WHERE NOT eligible)"), "listing", "scores")
+def scores_kept(spark, d):
+    return review.scores_kept(scores(spark, d), criteria.classify(listing(spark, d)))
+
+
+_STATES = "CASE WHEN event_type = 'error' THEN concat('e', event_id % 3) WHEN event_id % 4 = 1 THEN 'skipped' WHEN event_id % 4 = 2 THEN 'prefiltered' ELSE 'ok' END"
+_SNAPSHOT = f"""p AS (SELECT event_type AS source, {_STATES} AS state FROM events UNION ALL SELECT concat(event_type, '_2'), CASE WHEN event_id % 5 = 0 THEN 'e9' ELSE 'ok' END FROM events),
+n AS (SELECT source, count(*) FILTER (state = 'ok') AS persisted, count(*) FILTER (state = 'skipped') AS skipped, count(*) FILTER (state = 'prefiltered') AS prefiltered, count(*) FILTER (state LIKE 'e%') AS errors, min(CASE WHEN state LIKE 'e%' THEN state END) AS error FROM p GROUP BY source),
+g AS (SELECT *, persisted + skipped + prefiltered AS tracked, CASE WHEN errors = 0 THEN 'ok' WHEN persisted + skipped + prefiltered = 0 THEN 'failed' ELSE 'degraded' END AS status FROM n)"""
+
+
+def _snapshot(spark, d):
+    e = table(spark, d, "events")
+    one = e.select(F.col("event_type").alias("source"), F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("event_id") % 3)).when(F.col("event_id") % 4 == 1, "skipped").when(F.col("event_id") % 4 == 2, "prefiltered").otherwise("ok").alias("state"))
+    two = e.select(F.concat("event_type", F.lit("_2")).alias("source"), F.when(F.col("event_id") % 5 == 0, "e9").otherwise("ok").alias("state"))
+    return review.snapshots(one.unionByName(two))
+
+
+@query("source_snapshots", f"WITH {_SNAPSHOT} SELECT * FROM g")
+def source_snapshots(spark, d):
+    return _snapshot(spark, d)
+
+
+@query("source_reports", sqltext.WATERMARK.replace("SELECT source, now,", f", {_SNAPSHOT}, w AS (SELECT source, now,").rstrip() + ") SELECT g.source, tracked, status, advance, alert FROM g LEFT JOIN w ON w.source = g.source", "runs")
+def source_reports(spark, d):
+    return review.source_reports(_snapshot(spark, d), health.watermark_decision(runs(spark, d))).select("source", "tracked", "status", "advance", "alert")
+
+
+_ROOM = f"(({sqltext.EXTRACTORS['full_unit']}) IS NOT DISTINCT FROM FALSE AND listing_id % 5 <> 0)"
+_BEDS = "(CASE listing_id % 12 WHEN 0 THEN beds IS NOT NULL AND beds <> 2 WHEN 6 THEN beds IS NOT NULL AND beds <> 3 WHEN 1 THEN TRUE ELSE FALSE END AND listing_id % 3 <> 0)"
+
+
+@query("evidence_issues", f"SELECT listing_id, concat_ws(',', CASE WHEN {_ROOM} THEN 'full_unit' END, CASE WHEN {_BEDS} THEN 'beds' END) AS issues FROM listing", "listing")
+def evidence_issues(spark, d):
+    return _doubts(spark, d).select("listing_id", F.array_join("issues", ",").alias("issues"))
+
+
+def _doubts(spark, d):
+    said = criteria.with_facts(listing(spark, d)).withColumns({"full_unit_origin": F.when(F.col("listing_id") % 5 == 0, "user"), "beds_origin": F.when(F.col("listing_id") % 3 == 0, "user")})
+    return review.evidence_issues(said)
+
+
+@query("doubted_verdicts", sqltext.over_verdict(f"SELECT listing_id, CASE WHEN greatest(s_rent = 'fail', s_beds = 'fail' AND NOT {_BEDS}, " + ", ".join(f"s_{k} = 'fail'" for k in sqltext.CRITERIA if k not in ("rent", "beds")) + f") THEN 'miss' WHEN greatest({_ROOM}, {_BEDS}, " + ", ".join(f"s_{k} = 'unknown'" for k in sqltext.CRITERIA) + ") THEN 'unverified' ELSE status END AS evidence_status FROM v"), "listing")
+def doubted_verdicts(spark, d):
+    return review.doubted(criteria.classify(_doubts(spark, d))).select("listing_id", "evidence_status")
+
+
+# -- what is shown ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "list_rows",
+    sqltext.over_verdict(
+        """, f AS (SELECT listing_id, max(CASE WHEN kind = 'star' THEN 1 ELSE 0 END) = 1 AS star, max(CASE WHEN kind = 'excluded' THEN 1 ELSE 0 END) = 1 AS excluded FROM actions GROUP BY listing_id)
+SELECT v.listing_id, CASE WHEN rent IS NULL THEN 'unknown' ELSE format('{:.2f} {}', rent, currency) END AS rent_text, CASE WHEN rent IS NOT NULL THEN format('${:,}', CAST(rent AS BIGINT)) END AS rent_short, CASE WHEN coalesce(excluded, FALSE) THEN 'excluded' ELSE evidence_status END AS match_status, coalesce(star, FALSE) AS starred, ak AS area_key FROM v LEFT JOIN f ON f.listing_id = v.listing_id"""
+    ),
+    "listing",
+    "actions",
+)
+def list_rows(spark, d):
+    return display.list_rows(criteria.classify(listing(spark, d)), browse.action_flags(actions(spark, d))).select("listing_id", "rent_text", "rent_short", "match_status", "starred", "area_key")
+
+
+@query("look_ahead", "SELECT listing_id, rent FROM listing WHERE rent IS NOT NULL ORDER BY rent, listing_id LIMIT 37 OFFSET 36", "listing")
+def look_ahead(spark, d):
+    return display.look_ahead(listing(spark, d).filter("rent IS NOT NULL").select("listing_id", "rent"), F.col("rent"), F.col("listing_id"), page=2)
+
+
+@query("listing_detail", "SELECT l.listing_id, l.title, r.record_id, s.score, f.star FROM listing l JOIN (SELECT listing_id, max(record_id) AS record_id FROM records GROUP BY listing_id) r ON r.listing_id = l.listing_id LEFT JOIN scores s ON s.listing_id = l.listing_id AND s.profile_id = 1 LEFT JOIN (SELECT listing_id, max(CASE WHEN kind = 'star' THEN 1 ELSE 0 END) = 1 AS star FROM actions GROUP BY listing_id) f ON f.listing_id = l.listing_id WHERE l.listing_id = 7", "listing", "records", "scores", "actions")
+def listing_detail(spark, d):
+    one = display.detail(7, listing(spark, d), records(spark, d), scores(spark, d).filter("profile_id = 1"), browse.action_flags(actions(spark, d)))
+    return one.select("listing_id", "title", "record.record_id", "score", "star")
+
+
+@query("saved_breakdowns", "SELECT listing_id, 'r' AS rule_key, CAST(listing_id AS DOUBLE) / 4 AS contribution FROM listing WHERE listing_id % 3 <> 0 AND listing_id % 2 = 0", "listing")
+def saved_breakdowns(spark, d):
+    l = listing(spark, d).select("listing_id", F.when(F.col("listing_id") % 3 == 0, "{broken").otherwise(F.concat(F.lit('[{"rule_key":"r","contribution":'), (F.col("listing_id") / 4).cast("string"), F.lit("}]"))).alias("breakdown"))
+    b = display.breakdowns(l, l.filter("listing_id % 2 = 0"), "array<struct<rule_key:string,contribution:double>>")
+    return b.select("listing_id", F.explode("breakdown").alias("t")).select("listing_id", "t.rule_key", "t.contribution")
+
+
+@query(
+    "display_texts",
+    """SELECT listing_id, concat('https://maps.example/dir?api=1&origin=', replace(replace(address, ' ', '+'), ',', '%2C'), '&destination=43.65%2C-79.38&travelmode=walking') AS directions,
+  CASE listing_id % 4 WHEN 0 THEN '+5' WHEN 1 THEN '-2.5' WHEN 2 THEN '+1.5 per 100, cap 9' ELSE '—' END AS weight,
+  CASE listing_id % 5 WHEN 0 THEN 'Unstated' WHEN 1 THEN 'Conflicting evidence' WHEN 2 THEN 'Not applicable' WHEN 3 THEN 'Yes' ELSE 'heat, hot water' END AS fact,
+  left(concat('said ', title), 9) AS outside, listing_id % 2 = 0 AS in_city, concat('1|toronto|', lower(title)) AS report_key, listing_id % 3 = 1 AS current FROM listing""",
+    "listing",
+)
+def display_texts(spark, d):
+    i = F.col("listing_id")
+    number = lambda *cases: F.when(i % 4 == cases[0], cases[1]).cast("double") if len(cases) == 2 else F.when(i % 4 == cases[0], cases[1]).when(i % 4 == cases[2], cases[3]).cast("double")
+    saved = F.when(i % 3 == 0, "2024-01-13 00:00:00").when(i % 3 == 1, "2024-01-14 12:00:00").otherwise("2024-01-16 00:00:00").cast("timestamp")
+    key = display.report_key(F.col("title"), F.lit(" Toronto "))
+    return listing(spark, d).select(
+        "listing_id",
+        display.directions_url("https://maps.example/dir", F.col("address"), F.lit(43.65), F.lit(-79.38)).alias("directions"),
+        display.weight_text(number(0, 5, 1, -2.5), number(2, 1.5), number(2, 9), F.lit("100")).alias("weight"),
+        display.fact_text(F.when(i % 5 == 3, "true").when(i % 5 == 4, "heat,hot_water"), F.when(i % 5 == 1, "contradictory").when(i % 5 == 2, "not_applicable")).alias("fact"),
+        display.external_text(F.concat(F.lit("<<<begin>>> said\n "), "title", F.lit("[/external text]")), 9).alias("outside"),
+        display.holds_run(F.when(i % 2 == 0, "near New  Westminster, BC").otherwise("New of Westminster"), F.lit("new-westminster")).alias("in_city"),
+        key.alias("report_key"),
+        display.report_current(key, key, saved, AS_OF).alias("current"),
+    )
+
+
+@query(
+    "posted_times",
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN TIMESTAMP '2024-01-05 06:00:00' WHEN 1 THEN TIMESTAMP '2024-01-14 21:00:00' WHEN 2 THEN TIMESTAMP '2024-01-14 23:30:00' WHEN 3 THEN TIMESTAMP '2023-11-16 00:00:00' WHEN 4 THEN TIMESTAMP '2024-01-01 00:00:00'
+  WHEN 5 THEN TIMESTAMP '2023-12-25 00:00:00' WHEN 6 THEN TIMESTAMP '2024-01-10 00:00:00' END AS posted FROM events""",
+)
+def posted_times(spark, d):
+    """As stated, 3 hours, 30 minutes, 2 months and 2 weeks ago, days of last year and of this, and nothing."""
+    label = F.element_at(F.array(*map(F.lit, ("x", "3h ago", "<30 mins ago", "2 mo ago", "2 weeks ago", "12/25", "1-10", "soon"))), (F.col("event_id") % 8 + 1).cast("int"))
+    posted = F.when(F.col("event_id") % 8 == 0, "2024-01-05T06:00:00Z").otherwise("")
+    return table(spark, d, "events").select("event_id", display.posted_at(posted, label, AS_OF).alias("posted"))
+
+
+@query("merged_patches", "SELECT listing_id, CASE WHEN listing_id % 2 = 0 THEN 'b=' || title || ',c=3' ELSE 'a=1,b=' || title END AS merged FROM listing", "listing")
+def merged_patches(spark, d):
+    now = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
+    patch = F.when(F.col("listing_id") % 2 == 0, F.create_map(F.lit("a"), F.lit(None).cast("string"), F.lit("b"), F.col("title"), F.lit("c"), F.lit("3"))).otherwise(F.create_map(F.lit("b"), F.col("title")))
+    merged = F.transform(F.array_sort(F.map_entries(display.merge_patch(now, patch))), lambda e: F.concat(e.key, F.lit("="), e.value))
+    return listing(spark, d).select("listing_id", F.array_join(merged, ",").alias("merged"))
+
+
+@query("attribute_categories", "SELECT listing_id, field AS category, confidence AS score, confidence * 100 AS pct FROM claims", "claims")
+def attribute_categories(spark, d):
+    return display.attribute_categories(claims(spark, d).withColumn("field", F.concat("field", F.lit(".x"))))
+
+
+@query("photo_candidates", "SELECT min(listing_id) OVER (PARTITION BY listing_id % 37) AS a, listing_id AS b, CAST(1 AS BIGINT) AS photos FROM listing QUALIFY a <> b", "listing")
+def photo_candidates(spark, d):
+    urls = F.array(F.concat(F.lit("https://x/"), F.col("listing_id") % 37, F.lit("?w="), F.col("listing_id")), F.concat(F.lit("https://own/"), "listing_id"))
+    return display.photo_candidates(listing(spark, d).select("listing_id", urls.alias("photo_urls")))
+
+
 # -- landed records and pages to rows ---------------------------------------------------------------------------------
 
 _KINDS = {"ads": landing.CLASSIFIED, "market": landing.MARKET, "broker": landing.BROKER}

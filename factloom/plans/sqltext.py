@@ -65,7 +65,7 @@ def _short(c: str) -> str:
 _FACTS = "x AS (SELECT *, nullif(trim(area_key), '') AS ak, lower(trim(furnishing)) AS fk, " + ", ".join(f"{sql} AS x_{k}" for k, sql in EXTRACTORS.items()) + " FROM listing)"
 
 #: field: (status, reason of a miss, reason of an unknown), in the order of the checks; basement and furnishing give no unknown reason.
-_CRITERIA = {
+CRITERIA = {
     "rent": ("CASE WHEN rent IS NULL THEN 'unknown' WHEN currency <> 'CAD' OR period <> 'month' THEN 'unknown' WHEN rent < 1600 OR rent > 3000 THEN 'fail' ELSE 'pass' END",
              f"CASE WHEN rent > 3000 THEN concat('rent $', {_NUM.replace('{0}', 'rent')}, ' > max $3,000') WHEN rent < 1600 THEN concat('rent $', {_NUM.replace('{0}', 'rent')}, ' < min $1,600') END", "CASE WHEN rent IS NULL THEN 'rent unstated' END"),
     "beds": ("CASE WHEN beds IS NULL THEN 'unknown' WHEN beds < 1 OR beds > 3 THEN 'fail' ELSE 'pass' END", f"CASE WHEN beds < 1 THEN concat('beds ', {_short('beds')}, ' < min 1') WHEN beds > 3 THEN concat('beds ', {_short('beds')}, ' > max 3') END", "CASE WHEN beds IS NULL THEN 'beds unstated' END"),
@@ -82,10 +82,10 @@ _CRITERIA = {
     "available_date": ("CASE WHEN x_available_date IS NULL THEN 'unknown' WHEN x_available_date > DATE '2024-06-30' THEN 'fail' ELSE 'pass' END", "CASE WHEN x_available_date > DATE '2024-06-30' THEN 'available after 2024-06-30' END", "CASE WHEN x_available_date IS NULL THEN 'availability date unstated' END"),
 }
 _ODD = "CASE WHEN rent IS NOT NULL AND (currency <> 'CAD' OR period <> 'month') THEN 'rent currency or period needs verification' END"
-_CHECKED = f"""c AS (SELECT *, {', '.join(f"{s} AS s_{k}" for k, (s, _, _) in _CRITERIA.items())},
-  concat_ws('|', {', '.join(m for _, m, _ in _CRITERIA.values())}) AS misses, concat_ws('|', {', '.join(u for _, _, u in _CRITERIA.values())}, {_ODD}) AS unknowns FROM x),
-w AS (SELECT *, concat_ws('|', {', '.join(f"'{k}:' || s_{k}" for k in _CRITERIA)}) AS checks, CASE WHEN misses <> '' THEN 'miss' WHEN unknowns <> '' THEN 'unverified' ELSE 'match' END AS status FROM c),
-v AS (SELECT *, CASE WHEN 'fail' IN ({', '.join(f"s_{k}" for k in _CRITERIA)}) THEN 'miss' WHEN 'unknown' IN ({', '.join(f"s_{k}" for k in _CRITERIA)}) THEN 'unverified' ELSE status END AS evidence_status, status <> 'miss' AS eligible FROM w)
+_CHECKED = f"""c AS (SELECT *, {', '.join(f"{s} AS s_{k}" for k, (s, _, _) in CRITERIA.items())},
+  concat_ws('|', {', '.join(m for _, m, _ in CRITERIA.values())}) AS misses, concat_ws('|', {', '.join(u for _, _, u in CRITERIA.values())}, {_ODD}) AS unknowns FROM x),
+w AS (SELECT *, concat_ws('|', {', '.join(f"'{k}:' || s_{k}" for k in CRITERIA)}) AS checks, CASE WHEN misses <> '' THEN 'miss' WHEN unknowns <> '' THEN 'unverified' ELSE 'match' END AS status FROM c),
+v AS (SELECT *, CASE WHEN 'fail' IN ({', '.join(f"s_{k}" for k in CRITERIA)}) THEN 'miss' WHEN 'unknown' IN ({', '.join(f"s_{k}" for k in CRITERIA)}) THEN 'unverified' ELSE status END AS evidence_status, status <> 'miss' AS eligible FROM w)
 """
 
 

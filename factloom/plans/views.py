@@ -131,7 +131,37 @@ SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS subject, p_partkey AS result_id,
 FROM part
 """
 
-VIEWS = {"listing": LISTING, "claims": CLAIMS, "records": RECORDS, "runs": RUNS, "actions": ACTIONS, "scores": SCORES, "landed": LANDED, "fetched": FETCHED, "results": RESULTS}
+#: Corrections by users, from events: good ones, bad ones and clearances.
+CORRECTIONS = """
+SELECT user_id AS listing_id, event_id AS seq, event_type = 'error' AS clear,
+  CASE event_id % 7 WHEN 0 THEN 'rent' WHEN 1 THEN 'floor' WHEN 2 THEN 'furnishing' WHEN 3 THEN 'basement' WHEN 4 THEN 'available_date' WHEN 5 THEN 'research_address' ELSE 'colour' END AS field,
+  CASE event_id % 11 WHEN 0 THEN ' 1500 ' WHEN 1 THEN '-3' WHEN 2 THEN '4.5' WHEN 3 THEN 'Unfurnished' WHEN 4 THEN 'YES' WHEN 5 THEN '2024-05-01' WHEN 6 THEN '2024-02-31' WHEN 7 THEN '' WHEN 8 THEN '7' WHEN 9 THEN 'nan' ELSE '12 Main St' END AS value
+FROM events
+"""
+
+#: Revisions of extractions, and requests to apply them: some stale, some made twice, some of none.
+REVISIONS = """
+SELECT o_custkey AS listing_id, o_orderkey AS revision, concat('h', CAST(o_orderkey % 10 AS STRING)) AS hash, CASE o_orderstatus WHEN 'F' THEN 'applied' WHEN 'O' THEN 'preview' ELSE 'superseded' END AS state FROM orders
+"""
+REQUESTS = """
+SELECT o_custkey AS listing_id, o_orderkey AS revision, CASE WHEN o_orderkey % 5 = 0 THEN 'old' ELSE concat('h', CAST(o_orderkey % 10 AS STRING)) END AS hash, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_custkey, o_orderkey, concat('h', CAST(o_orderkey % 10 AS STRING)), o_orderkey + 100000000 FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 5 <> 0
+UNION ALL SELECT o_custkey, -o_orderkey - 1, 'h', o_orderkey + 200000000 FROM orders WHERE o_orderkey % 15 = 0
+"""
+
+#: Refresh jobs and the records that they were made for, and what workers bring back.
+JOBS = """
+SELECT CAST(o_orderkey AS STRING) AS job, o_custkey AS listing_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'queued' ELSE 'running' END AS state, 't' AS token, o_orderkey AS record_id, o_orderdate AS requested_at FROM orders
+"""
+SAVED = """
+SELECT o_orderkey AS record_id, o_custkey AS listing_id, 'a' AS source, CAST(o_custkey AS STRING) AS source_id, 'u' AS url, CAST(o_orderkey % 4 AS STRING) AS hash FROM orders WHERE o_custkey % 8 <> 0
+"""
+RETURNED = """
+SELECT CAST(o_orderkey AS STRING) AS job, CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE 't' END AS token, 'a' AS source, CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE CAST(o_custkey AS STRING) END AS source_id, 'u' AS url,
+  CAST(o_orderkey % 3 AS STRING) AS hash, CASE o_orderkey % 13 WHEN 0 THEN 'removed' WHEN 1 THEN 'blocked' WHEN 2 THEN 'odd' WHEN 3 THEN 'partial' ELSE 'complete' END AS status FROM orders
+"""
+
+VIEWS = {"listing": LISTING, "claims": CLAIMS, "records": RECORDS, "runs": RUNS, "actions": ACTIONS, "scores": SCORES, "landed": LANDED, "fetched": FETCHED, "results": RESULTS, "corrections": CORRECTIONS, "revisions": REVISIONS, "requests": REQUESTS, "jobs": JOBS, "saved": SAVED, "returned": RETURNED}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,8 +11,9 @@ from pathlib import Path
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
-#: Of rows that a Python worker gets at once: Spark's own bound is 64 MB, for each of an executor's workers.
-ARROW_BYTES = 4 << 20
+#: Of rows that a Python worker gets at once (Spark's own bound is 64 MB, for each of an executor's workers), and rows that a
+#: scan decodes at once (texts of that many rows are one array).
+ARROW_BYTES, SCAN_ROWS = 1 << 20, 1024
 
 _built: dict = {}
 
@@ -36,7 +37,7 @@ _PACKAGE = Path(__file__).resolve().parent
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once for each application: Spark's file server gives it to each of them, also
-    to those that start later, so that nothing need be installed there. Arrow batches of this session are bounded."""
+    to those that start later, so that nothing need be installed there. The batches of this session are bounded."""
     sc = spark.sparkContext
     if getattr(sc, "_factloom_shipped", None) is None:
         to = os.path.join(tempfile.mkdtemp(prefix="factloom-code-"), "factloom.zip")
@@ -46,4 +47,5 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(to)
         sc._factloom_shipped = to
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
     return spark

@@ -1,15 +1,25 @@
 """A table source for landed JSON-lines files, by Spark's Python data source API: one partition a file, with the filters
-that the files' names can answer pushed down to the choice of files."""
+that the files' names can answer pushed down to the choice of files. Files are listed and opened by their URI, through
+Arrow's file systems, so the folder may be in any store that these reach. A line that is no JSON object becomes a row
+with its text as payload and the error, rather than ending the job."""
 
 from __future__ import annotations
 
+import io
 import json
-import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
-SCHEMA = "source string, source_id string, url string, fetched_at string, payload string"
+SCHEMA = "source string, source_id string, url string, fetched_at string, payload string, error string"
+
+
+def _store(uri: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if re.match(r"[A-Za-z][\w+.-]*://", uri) else f"file://{uri}")
 
 
 class _File(InputPartition):
@@ -30,16 +40,28 @@ class LandedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(x for x in os.listdir(self.folder) if x.endswith(".jsonl"))
-        return [_File(os.path.join(self.folder, x), x.split("__")[0]) for x in names if self.source in (None, x.split("__")[0])] or [_File("", "")]
+        from pyarrow import fs
+
+        store, base = _store(self.folder)
+        names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(base)) if x.is_file and x.base_name.endswith(".jsonl"))
+        return [_File(f"{self.folder.rstrip('/')}/{x}", x.split("__")[0]) for x in names if self.source in (None, x.split("__")[0])] or [_File("", "")]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         if not partition.path:
             return
-        with open(partition.path, encoding="utf-8") as f:
-            for line in f:
-                x = json.loads(line)
-                yield partition.source, x.get("source_id"), x.get("url"), x.get("fetched_at"), json.dumps(x.get("payload"), sort_keys=True)
+        store, path = _store(partition.path)
+        with store.open_input_stream(path) as raw:
+            for line in io.TextIOWrapper(raw, encoding="utf-8"):
+                if not line.strip():
+                    continue
+                try:
+                    x = json.loads(line)
+                    if not isinstance(x, dict):
+                        raise ValueError("not a record")
+                except ValueError as e:
+                    yield partition.source, None, None, None, line.rstrip("\n"), str(e)
+                else:
+                    yield partition.source, x.get("source_id"), x.get("url"), x.get("fetched_at"), json.dumps(x.get("payload"), sort_keys=True), None
 
 
 class LandedSource(DataSource):

@@ -529,6 +529,9 @@ def test_landed_source_pushes_down(spark, tmp_path):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = spark.read.format("landed_records").option("path", str(tmp_path)).load()
     assert df.count() == 6 and {r.source_id for r in df.filter("source = 'b'").collect()} == {"b0", "b1", "b2"}
+    (tmp_path / "c__1.jsonl").write_text('{"source_id": "c0"}\n\nbroken {\n[1]\n')
+    df = spark.read.format("landed_records").option("path", f"file://{tmp_path}").load().filter("source = 'c'")
+    assert [(r.source_id, r.error is None) for r in df.collect()] == [("c0", True), (None, False), (None, False)]
 
 
 def test_empty_tables(spark):
