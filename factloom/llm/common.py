@@ -17,7 +17,10 @@ from factloom.session import ship
 WORD = r"[^ \t\n\x0B\f\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes handled at once in a Python worker. A single longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+#: Rows of a file, where it is known how many there will be.
+FILE_ROWS = 20_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -27,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests, local
-    mode) a temporary folder of this machine is set instead."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, and driver and executors are
+    one process (tests, local mode), a temporary folder of this machine is set instead."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -52,19 +57,26 @@ def _clean() -> None:
             return
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy", files: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts the lineage, and survives lost
     executors, because every reader takes the files rather than one executor's blocks. The files go when the
-    driver ends."""
+    driver ends. files: at most so many, where the writer knows that its rows are few."""
+    if files is not None:
+        df = df.coalesce(files)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialized = path
     return out
 
 
+def files_for(spark: SparkSession, rows: int) -> int:
+    """How many files rows of the size of a document's id and hashes fill, and a task for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete materialized tables that nothing reads any more."""
     for path in paths:
