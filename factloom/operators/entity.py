@@ -48,10 +48,11 @@ def unit_fingerprint(photo_url: Column, price: Column, beds: Column, baths: Colu
 
 
 def candidates(listings: DataFrame, k: int = 2) -> DataFrame:
-    """a, b, evidence: pairs that agree in at least k of: point, (rent, beds, baths), signature, and never only in fewer.
+    """a, b, evidence: listings that agree in at least k of: point, (rent, beds, baths), signature.
 
-    Pairs come from equi-joins on two kinds at a time, of which k = 2 need one pair at least, so no pair of rows is tried
-    without two values in common."""
+    Of the listings that share two kinds of evidence, the one of the least id (a) stands for all: each other one (b) is paired
+    with it, so a key of m listings gives m - 1 pairs, and what they all share is in these. k = 3 keeps those of them that
+    agree in all. No pair is tried without two values in common, and no key is ordered or crossed."""
     l = with_signature(listings).select("listing_id", F.concat_ws("|", F.round("lat", 4), F.round("lng", 4)).alias("point"), F.col("lat").isNotNull().alias("placed"), "rent", "beds", "baths", "signature")
     point = F.when(F.col("placed"), F.col("point"))
     size = F.when(F.col("rent").isNotNull() & F.col("beds").isNotNull() & F.col("baths").isNotNull(), F.concat_ws("|", "rent", "beds", "baths"))
@@ -61,9 +62,9 @@ def candidates(listings: DataFrame, k: int = 2) -> DataFrame:
     for i, x in enumerate(kinds):
         for y in kinds[i + 1 :]:
             some = l.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-            pairs = some.alias("a").join(some.alias("b"), (F.col(f"a.{x}") == F.col(f"b.{x}")) & (F.col(f"a.{y}") == F.col(f"b.{y}")) & (F.col("a.listing_id") < F.col("b.listing_id")))
-            agree = sum((F.coalesce((F.col(f"a.{c}") == F.col(f"b.{c}")).cast("int"), F.lit(0)) for c in kinds), F.lit(0))
-            pairs = pairs.select(F.col("a.listing_id").alias("a"), F.col("b.listing_id").alias("b"), agree.alias("evidence"))
+            lead = some.groupBy(x, y).agg(F.min(F.struct("listing_id", *kinds)).alias("lead"))
+            agree = sum((F.coalesce((F.col(c) == F.col(f"lead.{c}")).cast("int"), F.lit(0)) for c in kinds), F.lit(0))
+            pairs = some.join(lead, [x, y]).filter(F.col("listing_id") != F.col("lead.listing_id")).select(F.col("lead.listing_id").alias("a"), F.col("listing_id").alias("b"), agree.alias("evidence"))
             found = pairs if found is None else found.union(pairs)
     return found.distinct().filter(F.col("evidence") >= k)
 

@@ -399,14 +399,14 @@ def canonical_ids(spark, d):
     return entity.canonical_ids(listing(spark, d))
 
 
-_POINT = "round(a.lat, 4) = round(b.lat, 4) AND round(a.lng, 4) = round(b.lng, 4)"
-_SIZE = "a.rent = b.rent AND a.beds = b.beds AND a.baths = b.baths"
+_KINDS_OF = "CASE WHEN lat IS NOT NULL THEN concat(round(lat, 4), '|', round(lng, 4)) END AS point, CASE WHEN rent IS NOT NULL AND beds IS NOT NULL AND baths IS NOT NULL THEN concat(rent, '|', beds, '|', baths) END AS size"
+_LEADS = " UNION ".join(f"SELECT min(listing_id) OVER (PARTITION BY {x}, {y}) AS a, listing_id AS b FROM l WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for x, y in (("point", "size"), ("point", "signature"), ("size", "signature")))
 
 
 @query(
     "k_of_n_candidates",
     sqltext.over_signature(
-        f"SELECT * FROM (SELECT a.listing_id AS a, b.listing_id AS b, CASE WHEN {_POINT} THEN 1 ELSE 0 END + CASE WHEN {_SIZE} THEN 1 ELSE 0 END + CASE WHEN a.signature = b.signature THEN 1 ELSE 0 END AS evidence FROM g a JOIN g b ON a.listing_id < b.listing_id) t WHERE evidence >= 2"
+        f", l AS (SELECT listing_id, signature, {_KINDS_OF} FROM g), p AS ({_LEADS}) SELECT p.a, p.b, CASE WHEN x.point = y.point THEN 1 ELSE 0 END + CASE WHEN x.size = y.size THEN 1 ELSE 0 END + CASE WHEN x.signature = y.signature THEN 1 ELSE 0 END AS evidence FROM p JOIN l x ON x.listing_id = p.a JOIN l y ON y.listing_id = p.b WHERE p.a <> p.b"
     ),
     "listing",
 )
@@ -867,8 +867,8 @@ def page_outcomes(spark, d):
 
 @query("redact_counts", sqltext.REDACT)
 def redact_counts(spark, d):
-    r = table(spark, d, "documents").select("doc_id", parsers.redact(F.col("text")).alias("r"))
-    return r.select("doc_id", "r.email", "r.phone", "r.postal", F.md5("r.text").alias("masked_md5"))
+    r = parsers.redacted(table(spark, d, "documents"), "doc_id", "text")
+    return r.select("doc_id", "email", "phone", "postal", F.md5("text").alias("masked_md5"))
 
 
 @query("url_slugs", r"SELECT page_id, trim(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://[^/]+([^?#]*)', 1)), '[/_-]+', ' ', 'g')) AS slug FROM pages")

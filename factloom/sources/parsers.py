@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,13 +149,20 @@ MASKS = {
 }
 
 
-def redact(text: Column) -> Column:
-    """text with masks, and how often each was put."""
-    counts = []
-    for label, pattern in MASKS.items():
-        counts.append(F.regexp_count(text, F.lit(pattern)).cast("long").alias(label))
-        text = F.regexp_replace(text, pattern, f"[{label}]")
-    return F.struct(text.alias("text"), *counts)
+def redacted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, the text with masks, and how often each was put. Each mask is found and put once over a whole column, by
+    Arrow's RE2, whose time is linear in the text whatever it holds."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, counts = batch.column(1), []
+            for label, pattern in MASKS.items():
+                counts.append(pc.count_substring_regex(text, pattern).cast(pa.int64()))
+                text = pc.replace_substring_regex(text, pattern, f"[{label}]")
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, *counts], [id_col, "text", *MASKS])
+
+    return rows.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, text string, " + ", ".join(f"{m} long" for m in MASKS))
 
 
 class _Cards(HTMLParser):
