@@ -214,3 +214,42 @@ def doubted(classified: DataFrame) -> DataFrame:
     out = classified.withColumn("checks", F.concat(changed, added))
     verdict = F.when(F.exists("checks", lambda c: c.status == "fail"), "miss").when(F.exists("checks", lambda c: c.status == "unknown"), "unverified").otherwise(F.col("status"))
     return out.withColumn("evidence_status", verdict)
+
+
+# -- runs, profiles, feedback -------------------------------------------------------------------------------------------
+
+
+def run_rows(events: DataFrame) -> DataFrame:
+    """events: run, kind (start, finish), at, counts (JSON, of a finish). A row for each run: started, finished (null while it runs,
+    or where it broke off), counts, seconds. A finish that is written twice counts once, the later one."""
+    at = lambda k: F.when(F.col("kind") == k, F.col("at"))
+    g = events.groupBy("run").agg(F.min(at("start")).alias("started"), F.max(at("finish")).alias("finished"), F.max_by(F.when(F.col("kind") == "finish", F.col("counts")), at("finish")).alias("counts"))
+    return g.withColumn("seconds", F.unix_timestamp("finished") - F.unix_timestamp("started"))
+
+
+def revision_of(profile: Column) -> Column:
+    """A profile's revision: the hash of its JSON."""
+    return F.sha2(profile, 256)
+
+
+def profile_writes(current: DataFrame, requests: DataFrame) -> DataFrame:
+    """current: profile_id, profile (JSON), city. requests: profile_id, expected (revision), profile, city, seq. outcome of each:
+    unknown, conflict (what is current isn't what was expected, or an earlier request was written), other_city, or written."""
+    r = requests.alias("q").join(current.select("profile_id", revision_of(F.col("profile")).alias("now"), F.col("city").alias("of")), "profile_id", "left")
+    fits = (F.col("now") == F.col("expected")) & (F.col("city") == F.col("of"))
+    first = F.min(F.when(fits, F.col("seq"))).over(Window.partitionBy("profile_id"))
+    out = F.when(F.col("now").isNull(), "unknown").when(F.col("now") != F.col("expected"), "conflict").when(F.col("city") != F.col("of"), "other_city").when(F.col("seq") > F.col("first"), "conflict").otherwise("written")
+    return r.withColumn("first", first).select("profile_id", "seq", out.alias("outcome"), F.when(out == "written", revision_of(F.col("profile"))).alias("revision"))
+
+
+def history(log: DataFrame, profile_id: str, n: int = 30) -> DataFrame:
+    """The newest n saved revisions of a profile."""
+    return log.filter(F.col("profile_id") == profile_id).orderBy(F.desc("seq")).limit(n)
+
+
+def feedback(events: DataFrame, current_keys: DataFrame) -> DataFrame:
+    """events: subject, url, key, verdict (null: taken back), seq. The latest verdict on each source, if it isn't taken back and was
+    given on the report that is current (current_keys: subject, key)."""
+    e = events.join(current_keys.select("subject", "key"), ["subject", "key"], "left_semi")
+    g = e.groupBy("subject", "url").agg(F.max_by(F.struct("verdict", "seq"), "seq").alias("x"))
+    return g.select("subject", "url", "x.verdict").filter("verdict IS NOT NULL")
