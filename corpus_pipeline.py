@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of `documents`; the last
 returns the pieces of the packed sequences. Between stages the documents are a table in the shared folder.
 
-Every stage takes nulls in any column, empty tables, repeated rows and texts of any length, as its operator does.
+Every stage takes nulls in any column, empty tables, repeated rows and texts of any length, as its operator does; further
+columns are dropped, whatever they are called.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is repeated as often as the mix takes it: whole times, and once more by chance, at the odds of the
-    part of it that the mix takes besides (decided by a hash, so that reruns agree). Documents without words stay."""
+    part of it that the mix takes besides (decided by a hash, so that reruns agree). So a source's words come near its target,
+    but for what whole copies are more or less than the words taken. Documents without words stay."""
     rows = _numbered(docs)
     taken = mixing.mix(rows, keep=(_ROW,))[0]
     share = F.col("taken") / F.col("size")
