@@ -154,6 +154,11 @@ def ranked(scored: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
+def rescored(listings: DataFrame, r: Rubric = RUBRIC) -> DataFrame:
+    """listing_id, score of the eligible listings, the best first: what takes the place of all scores of a rubric that has changed."""
+    return ranked(score(listings, r)).select("listing_id", "score")
+
+
 def category_rollup(scored: DataFrame) -> DataFrame:
     """For each listing and category: contributions, what was possible, and their share in hundredths. A listing's terms are
     all in its row, so they are summed up there and nothing is shuffled."""

@@ -7,7 +7,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import address, review
+from factloom import config
+from factloom.model import Range, Scaled
+from factloom.operators import address, report, review
 from factloom.plans import chain
 
 
@@ -82,3 +84,35 @@ def test_runs_profiles_feedback(spark):
     assert [r.seq for r in review.history(asked, "p", 2).collect()] == [4, 3]
     f = spark.createDataFrame([("s", "u1", "k", "bad", 1), ("s", "u1", "k", None, 2), ("s", "u2", "k", "bad", 1), ("s", "u3", "old", "bad", 9)], "subject string, url string, key string, verdict string, seq int")
     assert {(r.url, r.verdict) for r in review.feedback(f, f.filter("key = 'k'")).collect()} == {("u2", "bad")}
+
+
+def test_profiles():
+    r = config.rubric('{"city": "t", "rent_max": 2000, "beds": {"min": 1}, "weights": {"photo.present": 2, "rent.headroom": {"rate": 1, "cap": 5}}, "areas": ["a"], "require_parking": true}')
+    assert (r.rent_max, r.beds, r.weights, r.areas, r.require_parking) == (2000.0, Range(min=1.0), {"photo.present": 2.0, "rent.headroom": Scaled(1.0, 5.0)}, ("a",), True)
+    for text, at in (("[", "<root>"), ("[]", "<root>"), ('{"rent_max": "x"}', "rent_max"), ('{"beds": {"most": 1}}', "beds"), ('{"weights": {"a": {"rate": 1}}}', "weights.a.cap"), ('{"rentmax": 1}', "rentmax")):
+        with pytest.raises(ValueError, match=f"at {at}"):
+            config.rubric(text)
+    assert config.weights_of_answers({"gym": "nice", "pets": "indifferent", "quiet": "avoid"}, {"gym": "g", "pets": "p", "quiet": "q"}) == {"g": 6.0, "q": -8.0}
+    assert config.consistent('{"city": "T ", "area_key_weights": {"x": 1, "y": 2}}', "t", {"x"}) == ["no area y"]
+    with pytest.raises(ValueError):
+        config.consistent('{"city": "u"}', "t", set())
+
+
+def test_areas(spark):
+    name, boxes, words = config.areas(spark, '{"name": "T", "areas": [{"key": "a", "bbox": [1, 2, 3, 4], "keywords": ["liberty village", " "]}]}')
+    assert name == "T" and tuple(boxes.first()) == ("a", "a", 2.0, 1.0, 4.0, 3.0) and [tuple(r) for r in words.collect()] == [("liberty village", "a")]
+    with pytest.raises(ValueError, match="areas.0.bbox"):
+        config.areas(spark, '{"name": "T", "areas": [{"key": "a", "bbox": [3, 2, 1, 4]}]}')
+
+
+def test_galleries(spark):
+    g = spark.createDataFrame([("a", ["https://1", "https://1", "http://2", "https://3"]), ("b", []), ("c", ["https://4"]), ("d", ["https://5"])], "listing_id string, photo_urls array<string>")
+    one = spark.createDataFrame([("a", "https://3"), ("c", "https://9")], "listing_id string, selected string")
+    assert {(r.listing_id, r.at, r.photo) for r in report.scanned(g, one).collect()} == {("a", 0, "https://3"), ("d", 0, "https://5")}
+    assert report.scanned(g, most=1).count() == 3
+    p = spark.createDataFrame([("a", "https://1", "not_candidate"), ("a", "https://3", "candidate"), ("c", "https://4", "unavailable")], "listing_id string, photo string, status string")
+    assert {r.listing_id: (r.status, r.truncated) for r in report.gallery_status(g, p).collect()} == {"a": ("candidate", True), "b": ("empty", False), "c": ("unavailable", False), "d": ("error", True)}
+    an = spark.createDataFrame([("a", 1, True, "h1", ["p1"]), ("a", 2, False, "h2", []), ("b", 1, False, "h", ["p"])], "listing_id string, at int, usable boolean, gallery_hash string, hashes array<string>")
+    de = spark.createDataFrame([("a", "yes", "h1", "p1"), ("b", "no", "old", "gone"), ("z", "no", "h", None)], "listing_id string, decision string, gallery_hash string, selected string")
+    got = {r.listing_id: (r.gallery_hash, r.newer_outcome, r.gallery_changed, r.selection_changed) for r in report.floor_plan_state(an, de).collect()}
+    assert got == {"a": ("h1", True, False, False), "b": ("h", False, True, True), "z": (None, None, True, False)}
