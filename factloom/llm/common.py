@@ -20,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_BYTES = 1 << 20
 
 #: Rows of a file, where it is known how many there will be.
-FILE_ROWS = 20_000
+FILE_ROWS = 8_000
 
 _written: list[tuple[SparkSession, str]] = []
 
