@@ -1,20 +1,20 @@
 """Packing documents into windows of WINDOW tokens by lexical retrieval.
 
-Documents are dealt into shards by what they say, about SHARD_DOCS each: each goes to the nearest of the centres of a
-bounded sample (cosine of hashed, idf-weighted terms), small neighbouring groups share a shard, and large ones are cut by
-the rarest-biased minhash of their terms, so that near copies stay together; only equal keys beyond a shard's size are cut
-by a hash. A shard is packed alone: its BM25 index over token ids, with document frequencies and mean length of all
+Documents are dealt into shards by what they say: each goes to the nearest of the centres of a bounded sample (cosine of
+hashed, idf-weighted terms), small neighbouring groups share a shard, and large ones are cut by the rarest-biased minhash
+of their terms, so that near copies stay together; only equal keys beyond a shard's size are cut by a hash, and equal rows
+among them are counted off. A shard's size is what its documents weigh: their tokens, and OWN_WEIGHT for each. A shard is packed alone: its BM25 index over token ids, with document frequencies and mean length of all
 documents, returns, for the document that begins a window (the seed), the neighbours that aren't used yet, best first by
 all terms of the seed, and these fill the window greedily. A document that doesn't fit is cut, and its rest is the seed of
 the next window; where no neighbour shares a term, the next unused document goes in. What is left at a shard's end becomes
 sequences of powers of two, so no sequence needs padding.
 
-A task holds the tokens of one part of a shard at a time, PART_DOCS documents or PART_BYTES of text at most (four bytes a
-token). Documents of other shards are no candidates.
+A task holds one shard at a time. Documents of other shards are no candidates.
 
 Edge cases: null text counts as empty, and gives a document of the end token alone; repeated rows are packed each, like
 any others (their pieces can't be told apart by doc_id alone); a null doc_id is packed too; documents longer than a
-window run through as many as they need; an empty table gives an empty result; further columns are dropped.
+window run through as many as they need; documents of equal scores follow in the order of key, doc_id and tokens; an
+empty table gives an empty result; further columns are dropped, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import base64
 import functools
 import itertools
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 2048
-SHARD_DOCS = 1000
-PART_DOCS, PART_BYTES = 4000, 16 << 20
-#: BM25, and how many of a seed's terms are asked for: all.
-K1, B, QUERY_TERMS = 1.2, 0.75, None
+#: What a shard weighs: about 1,000 documents of 500 tokens.
+SHARD_WEIGHT, OWN_WEIGHT = 1_000_000, 500
+#: Shards that a task packs, one after the other.
+TASK_SHARDS = 4
+#: BM25.
+K1, B = 1.2, 0.75
 #: Affinity: documents that centres are made from, centres at most, hashed dimensions, rounds, keys by which large groups are cut.
 SAMPLE, MOST_CENTRES, WIDTH, ROUNDS, KEYS = 8192, 2048, 256, 5, 64
 END, SPECIAL = 1, "<|endoftext|>"
@@ -216,10 +219,10 @@ def centres(v: np.ndarray, most: int) -> np.ndarray:
     return at[chain]
 
 
-def deal(groups: list[tuple[int, int, int]], shard_docs: int) -> list[tuple[int, int, int, int]]:
-    """groups: (centre, key, documents), in order. (centre, key, first shard, shards): centres stay whole while a shard has
+def deal(groups: list[tuple[int, int, int]], shard_weight: int) -> list[tuple[int, int, int, int]]:
+    """groups: (centre, key, weight), in order. (centre, key, first shard, shards): centres stay whole while a shard has
     room, larger ones are cut between keys, and a key beyond a shard's size over several shards."""
-    most, out, shard, held = shard_docs * 3 // 2, [], 0, 0
+    most, out, shard, held = shard_weight * 3 // 2, [], 0, 0
     for _, of in itertools.groupby(groups, key=lambda g: g[0]):
         of = list(of)
         whole = sum(n for _, _, n in of)
@@ -227,17 +230,18 @@ def deal(groups: list[tuple[int, int, int]], shard_docs: int) -> list[tuple[int,
             n = sum(g[2] for g in unit)
             if held and held + n > most:
                 shard, held = shard + 1, 0
-            spread = max(1, n // shard_docs) if n > most else 1
+            spread = max(1, n // shard_weight) if n > most else 1
             out += [(c, k, shard, spread) for c, k, _ in unit]
             shard, held = (shard + spread, 0) if spread > 1 else (shard, held + n)
     return out
 
 
-def shards(docs: DataFrame, shard_docs: int, names: tuple[str, str]) -> tuple[DataFrame, Statistics, str]:
-    """doc_id, ids, shard, key; the statistics of all documents; the type of the ids. Texts are encoded once, to a table."""
+def shards(docs: DataFrame, shard_weight: int, names: tuple[str, str]) -> tuple[DataFrame, int, Statistics, str]:
+    """doc_id, ids, shard, key; the number of shards; the statistics of all documents; the type of the ids. Texts are encoded once, to a table."""
     spark = docs.sparkSession
     size = _encoder(names).size
     width = "<u2" if size <= 1 << 16 else "<u4"
+    each = np.dtype(width).itemsize
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
@@ -246,65 +250,70 @@ def shards(docs: DataFrame, shard_docs: int, names: tuple[str, str]) -> tuple[Da
 
     coded = common.materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(encode, "doc_id long, ids binary"))
     whole = statistics(coded, size, width)
-    mark = F.xxhash64("doc_id", "ids")
+    marked = coded.select("*", F.xxhash64("doc_id", "ids").alias("mark"))
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "ids"):
             v = vectors([np.frombuffer(x, width) for x in batch.column("ids").to_pylist()], whole.idf)[0]
             yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array([x.tobytes() for x in v], pa.binary())], ["mark", "v"])
 
-    many = min(MOST_CENTRES, -(-whole.docs // shard_docs))
+    many = min(MOST_CENTRES, -(-(whole.docs * OWN_WEIGHT + round(whole.docs * whole.mean)) // shard_weight))
     at = np.zeros((1, WIDTH), np.float32)
     if many > 1:
-        some = coded.select(mark.alias("mark"), "ids").filter(F.pmod(mark, F.lit(1 << 30)) < int(min(1.0, SAMPLE / whole.docs) * (1 << 30)))
-        found = sorted((r.mark, bytes(r.v)) for r in some.mapInArrow(vector, "mark long, v binary").collect())  # about SAMPLE rows of 1 KB
-        at = centres(np.array([np.frombuffer(v, np.float32) for _, v in found], np.float32).reshape(-1, WIDTH), many) if found else at
+        marks = marked.select("mark").distinct().orderBy(F.xxhash64("mark"), "mark").limit(SAMPLE).select(F.col("mark").alias("some"))
+        some = marked.join(F.broadcast(marks), F.col("mark") == F.col("some"), "left_semi")  # SAMPLE numbers
+        some = some.groupBy("mark").agg(F.first("ids").alias("ids"))  # equal marks have equal ids
+        found = sorted((r.mark, bytes(r.v)) for r in some.mapInArrow(vector, "mark long, v binary").collect())  # SAMPLE rows of 1 KB
+        at = centres(np.array([np.frombuffer(v, np.float32) for _, v in found], np.float32).reshape(-1, WIDTH), many)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "ids"):
-            v, key = vectors([np.frombuffer(x, width) for x in batch.column("ids").to_pylist()], whole.idf)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(nearest(v, at), pa.int32()), pa.array(key, pa.int32())], ["doc_id", "ids", "centre", "key"])
-
-    placed = common.materialize(coded.mapInArrow(place, "doc_id long, ids binary, centre int, key int"))
+            ids = [np.frombuffer(x, width) for x in batch.column("ids").to_pylist()]
+            v, key = vectors(ids, whole.idf)
+            seen: Counter[int] = Counter()
+            turn = []
+            for m in batch.column("mark").to_pylist():  # equal rows are counted off, so that they don't all go to one shard
+                turn.append(m + seen[m] & (1 << 62) - 1)
+                seen[m] += 1
+            weight = pa.array([len(x) + OWN_WEIGHT for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "ids")), pa.array(nearest(v, at), pa.int32()), pa.array(key, pa.int32()), pa.array(turn, pa.int64()), weight], ["doc_id", "ids", "centre", "key", "turn", "weight"])
+
+    placed = common.materialize(marked.mapInArrow(place, "doc_id long, ids binary, centre int, key int, turn long, weight long"))
     common.release(spark, [coded.materialized])
-    groups = sorted((r.centre, r.key, r.n) for r in placed.groupBy("centre", "key").agg(F.count(F.lit(1)).alias("n")).collect())
-    plan = spark.createDataFrame(deal(groups, shard_docs), "centre int, key int, first long, spread long")
-    dealt = placed.join(F.broadcast(plan), ["centre", "key"])  # at most MOST_CENTRES * KEYS rows
-    return dealt.select("doc_id", "ids", (F.col("first") + F.pmod(mark, F.col("spread"))).alias("shard"), "key"), whole, width
+    groups = sorted((r.centre, r.key, r.n) for r in placed.groupBy("centre", "key").agg(F.sum("weight").alias("n")).collect())
+    dealt = deal(groups, shard_weight)
+    plan = spark.createDataFrame(dealt, "centre int, key int, first long, spread long")
+    out = placed.join(F.broadcast(plan), ["centre", "key"])  # at most MOST_CENTRES * KEYS rows
+    return out.select("doc_id", "ids", (F.col("first") + F.pmod("turn", "spread")).alias("shard"), "key"), max((f + k for _, _, f, k in dealt), default=0), whole, width
 
 
-def pack(docs: DataFrame, shard_docs: int = SHARD_DOCS, window: int = WINDOW, names: tuple[str, str] = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, shard_weight: int = SHARD_WEIGHT, window: int = WINDOW, names: tuple[str, str] = VOCABULARY) -> DataFrame:
     """_OUT, a row for each piece. Documents are shuffled once, to their shards."""
-    dealt, whole, width = shards(docs, shard_docs, names)
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "key", "doc_id", F.xxhash64("ids"))
+    dealt, many, whole, width = shards(docs, shard_weight, names)
+    dealt = dealt.repartition(max(1, -(-many // TASK_SHARDS)), "shard").sortWithinPartitions("shard", "key", "doc_id", F.xxhash64("ids"))
     columns = [x.split()[0] for x in _OUT.split(", ")]
 
-    def part(shard: int, first: int, ids: list, coded: list) -> tuple[pa.RecordBatch, int]:
+    def packed(shard: int, ids: list, coded: list) -> pa.RecordBatch:
         docs = [np.frombuffer(x, width).astype("<u4") for x in coded]
         laid = order(docs, window, whole)
         rows = []
-        last = -1
         for d, start, length, seq, offset in pieces([len(docs[d]) for d in laid], window):
-            d, last = laid[d], seq
-            rows.append((ids[d], start, length, zlib.crc32(docs[d][start : start + length]), len(docs[d]), (shard << 32) + first + seq, offset))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], columns), first + last + 1
+            d = laid[d]
+            rows.append((ids[d], start, length, zlib.crc32(docs[d][start : start + length]), len(docs[d]), (shard << 32) + seq, offset))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, ids, coded, held = None, 0, [], [], 0
+        now, ids, coded = None, [], []
         for batch in common.pieces(batches, "ids"):
             for doc_id, code, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "shard")), strict=True):
-                n = 4 * len(code) // np.dtype(width).itemsize
-                if ids and (shard != now or len(ids) >= PART_DOCS or held + n > PART_BYTES):
-                    out, first = part(now, first, ids, coded)
-                    yield out
-                    ids, coded, held = [], [], 0
-                if shard != now:
-                    now, first = shard, 0
+                if ids and shard != now:
+                    yield packed(now, ids, coded)
+                    ids, coded = [], []
+                now = shard
                 ids.append(doc_id)
                 coded.append(code)
-                held += n
         if ids:
-            yield part(now, first, ids, coded)[0]
+            yield packed(now, ids, coded)
 
     return dealt.mapInArrow(run, _OUT)
 
