@@ -2,7 +2,7 @@
 images, and written as NPY tiles with difference hashes.
 
 Edge cases: a null or empty payload is an image of one row of zero bytes; equal payloads give equal values in every
-column; repeated rows are treated each; an empty table gives an empty result; a payload of any length is one image, as
+column; neighbours of equal brightness give a hash bit of 0; repeated rows are treated each; further columns are dropped; an empty table gives an empty result; a payload of any length is one image, as
 high as it needs. A file that is neither Netpbm nor BMP raises ValueError.
 """
 
@@ -167,17 +167,18 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of the stored bytes, read back."""
+    """Of the stored bytes, read back: the payload's digests, those of the stored form, the tile as NPY, its difference hash, and
+    a digest of both (feature)."""
     kind = stored.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, dhash string"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def one(media: bytes) -> tuple:
         a = decode(media)
         payload, (_, _, tile, dhash) = a.tobytes(), tile_of(media)
         feature = f"{dhash}:{hashlib.sha256(tile).hexdigest()[:16]}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature, tile, dhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "media"):
@@ -188,5 +189,5 @@ def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored images are a column between two steps of one task, so nothing has to be kept on disk for them."""
-    return features(store_payloads(common.table(spark, sf_dir, "documents")))
+    """The images are a table in the shared folder, from which the features are read back."""
+    return features(common.materialize(store_payloads(common.table(spark, sf_dir, "documents")), compression="zstd"))
