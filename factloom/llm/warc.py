@@ -5,7 +5,7 @@ An archive is a row of a binary column (bounded in size, see ARCHIVE_BYTES), whi
 store takes; ``archive_files`` writes such rows as files.
 
 Records with equal payloads of at least MIN_REVISIT bytes: the one with the largest page_id is a response, others are
-revisits of it; smaller ones are all responses. Equality is that of length, SHA-1 and SHA-256.
+revisits of it; smaller ones are all responses. Equality is that of length, SHA-1 and xxHash64 together.
 
 Edge cases: a null payload counts as empty; repeated rows of one page_id are written each, and are responses all where
 that page_id is the largest; a null page_id is least, and is a response where no other has the payload; an empty table
@@ -112,10 +112,10 @@ def read_archive(raw: bytes) -> Iterator[bytes]:
 
 
 def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload (binary), its length n, digest (SHA-1) and strong (SHA-256)."""
+    """page_id, url, payload (binary), its length n, digest (SHA-1) and other (xxHash64)."""
     payload = F.encode(F.coalesce(pages[payload_col], F.lit("")), "UTF-8")
     p = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), payload.alias("payload"))
-    return p.withColumns({"digest": F.sha1("payload"), "n": F.length("payload").cast("long"), "strong": F.sha2("payload", 256)})
+    return p.withColumns({"digest": F.sha1("payload"), "n": F.length("payload").cast("long"), "other": F.xxhash64("payload")})
 
 
 def with_kinds(p: DataFrame) -> DataFrame:
@@ -123,21 +123,25 @@ def with_kinds(p: DataFrame) -> DataFrame:
     side; the payloads are shuffled once, by a join whose large partitions Spark can split."""
     groups = (
         p.filter(F.col("n") >= MIN_REVISIT)
-        .groupBy("digest", "n", "strong")
+        .groupBy("digest", "n", "other")
         .agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1")
         .drop("copies")
     )
-    return p.join(groups, ["digest", "n", "strong"], "left").select(
+    return p.join(groups, ["digest", "n", "other"], "left").select(
         "page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")).alias("refers_to")
     )
 
 
 def dictionary_of(p: DataFrame) -> bytes:
-    """Trained on a bounded sample: at most SAMPLE_RECORDS records of at most SAMPLE_BYTES each."""
-    some = p.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "digest")
-    some = some.orderBy(F.xxhash64("page_id", "digest"), "digest").limit(SAMPLE_RECORDS)
-    return train([record(r.page_id, r.url, bytes(r.payload), r.digest, "response", None) for r in some.collect()])
+    """Trained on a bounded sample: at most SAMPLE_RECORDS records of at most SAMPLE_BYTES each. They are chosen by page_id and
+    url, and only theirs are read and sent."""
+    chosen = p.select("page_id", "url").distinct().orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(SAMPLE_RECORDS)
+    c = F.broadcast(chosen.select(F.col("page_id").alias("chosen_id"), F.col("url").alias("chosen_url")))  # SAMPLE_RECORDS rows
+    some = p.join(c, p["page_id"].eqNullSafe(c["chosen_id"]) & p["url"].eqNullSafe(c["chosen_url"]), "left_semi")
+    one = F.struct("digest", F.substring("payload", 1, SAMPLE_BYTES).alias("lead"))
+    some = some.groupBy("page_id", "url").agg(F.min(one).alias("one")).orderBy("page_id", "url")  # of rows of one page_id and url, one
+    return train([record(r.page_id, r.url, bytes(r.one.lead), r.one.digest, "response", None) for r in some.collect()])
 
 
 def archives(records: DataFrame, dictionary: bytes) -> DataFrame:
