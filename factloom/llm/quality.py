@@ -1,12 +1,14 @@
 """Quality rules with thresholds that come from the data: for each language and source, mergeable quantile sketches
 (Spark's Greenwald-Khanna summaries) of every ratio give fences, and a join filters each document by its group's.
 
-A ratio's fence is q75 + FENCE * max(q75 - q25, floor): it moves with what is usual in its group. Groups under
-MIN_GROUP documents take the fences of their language, and languages under it those of all documents. Sketches are
-built from documents that pass the fixed base rules.
+A ratio's fence is q75 + FENCE * max(q75 - q25, floor): it moves with what is usual in its group. A group's quartiles are
+shrunk towards its language's, by n / (n + SHRINK) of its n documents, and these towards those of all documents: the less
+a group has to say, the more it takes from the others, by one rule at every size. Sketches are built from documents that
+pass the fixed base rules.
 
 Edge cases: null text counts as empty and fails the base rules; null language or source is a group of its own;
-repeated rows are judged each; an empty table gives an empty result; a text of any length is read whole.
+repeated rows are judged each, and count each; a value equal to its fence passes; an empty table gives an empty result; a
+text of any length is read whole; further columns are dropped, whatever they are called.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .words import SPACE, all_grams, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_GROUP = 100
+#: Documents whose weight the larger group's quartiles have in a smaller one's.
+SHRINK = 100.0
 FENCE = 6.0
 ACCURACY = 2000
 #: Each ratio with the least spread that its fence assumes, so that a group without any spread rejects no near values.
@@ -88,37 +91,31 @@ def with_ratios(counted: DataFrame) -> DataFrame:
 
 
 def thresholds(rated: DataFrame) -> DataFrame:
-    """level, lang, source and the fences. A task sends a sketch for each group, never the group's rows."""
-    quarters = [F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(c) for c in RATIOS]
-    levels = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
-    found = None
-    for level, by in levels.items():
-        g = rated.filter("not base_failed").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quarters)
-        g = g.filter(F.col("n") >= (MIN_GROUP if by else 1)).select(
-            F.lit(level).alias("level"),
-            *(F.col(k) if k in by else F.lit(None).cast("string").alias(k) for k in ("lang", "source")),
-            *((F.col(c)[1] + FENCE * F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least))).alias(f"max_{c}") for c, least in RATIOS.items()),
-            (F.col("mean_word")[0] - FENCE * F.greatest(F.col("mean_word")[1] - F.col("mean_word")[0], F.lit(RATIOS["mean_word"]))).alias("min_mean_word"),
-        )
-        found = g if found is None else found.unionByName(g)
-    return found
+    """lang, source and the fences. A task sends a sketch for each group, never the group's rows."""
+
+    def sketched(*by: str) -> DataFrame:
+        quarters = [F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(c) for c in RATIOS]
+        return rated.filter("not base_failed").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quarters)
+
+    def shrunk(own: Column, up: Column) -> Column:
+        return F.zip_with(own, up, lambda x, y: (F.col("n") * x + SHRINK * y) / (F.col("n") + SHRINK))
+
+    whole = sketched().first()
+    langs = sketched("lang").select(F.col("lang").alias("of"), *(shrunk(F.col(c), F.array(*map(F.lit, whole[c] or (0.0, 0.0)))).alias(f"up_{c}") for c in RATIOS))
+    groups = sketched("lang", "source")
+    groups = groups.join(langs, groups["lang"].eqNullSafe(langs["of"])).select("lang", "source", *(shrunk(F.col(c), F.col(f"up_{c}")).alias(c) for c in RATIOS))
+    beyond = {c: FENCE * F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least)) for c, least in RATIOS.items()}
+    return groups.select("lang", "source", *((F.col(c)[1] + beyond[c]).alias(f"max_{c}") for c in RATIOS), (F.col("mean_word")[0] - beyond["mean_word"]).alias("min_mean_word"))
 
 
 def verdicts(rated: DataFrame, fences: DataFrame) -> DataFrame:
-    """rated with `kept`: joined with the fences of its source and of its language; the first of source, language and all
-    that exist decides. The fences of all documents are one row, and enter as constants."""
-    names = [*(f"max_{c}" for c in RATIOS), "min_mean_word"]
-    out = rated
-    for level, by in {"source": ["lang", "source"], "lang": ["lang"]}.items():
-        f = fences.filter(F.col("level") == level).select(*(F.col(k).alias(f"{level}_{k}") for k in by), F.struct(*names).alias(f"at_{level}"))
-        on = [F.col(k).eqNullSafe(F.col(f"{level}_{k}")) for k in by]
-        out = out.join(f, on, "left").drop(*(f"{level}_{k}" for k in by))
-    whole = fences.filter("level = 'all'").select(*names).first()
-    at = {c: F.coalesce(F.col(f"at_source.{c}"), F.col(f"at_lang.{c}"), F.lit(whole[c] if whole else None).cast("double")) for c in names}
-    sound = F.col("mean_word") >= at["min_mean_word"]
+    """rated with `kept`: joined with the fences of its group, which exist for every document that passes the base rules."""
+    f = fences.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.struct(*[c for c in fences.columns if c not in ("lang", "source")]).alias("at"))
+    out = rated.join(f, rated["lang"].eqNullSafe(f["of_lang"]) & rated["source"].eqNullSafe(f["of_source"]), "left")
+    sound = F.col("mean_word") >= F.col("at.min_mean_word")
     for c in RATIOS:
-        sound = sound & (F.col(c) <= at[f"max_{c}"])
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(sound, F.lit(True))).drop("at_source", "at_lang")
+        sound = sound & (F.col(c) <= F.col(f"at.max_{c}"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(sound, F.lit(True))).drop("of_lang", "of_source", "at")
 
 
 def judge(docs: DataFrame) -> DataFrame:
