@@ -6,13 +6,15 @@ and from unlabelled text of any kind, by the risk  pi R_p(+) + max(0, R_u(-) - p
 takes out of the unlabelled text's risk what the toxic texts among it add; where the second term falls below zero, its
 gradient is turned round, which keeps the model from learning the confirmed texts by heart.
 
-Training takes a bounded sample (MOST_POSITIVE and MOST_UNLABELLED texts, those of the least hash of their doc_id), and
-so the model is bounded; every text is scored, whole. Language, source, doc_id and labels are never
-inputs of a score.
+Training takes a bounded sample (MOST_POSITIVE and MOST_UNLABELLED different rows, those of the least hash of doc_id and
+text), whose texts are read whole. Which of their features a weight may be given to is counted in Spark; the driver gets
+these (MOST_FEATURES at most, the most telling first) and, for each text of the sample, which it has. Every text is scored,
+whole. Language, source, doc_id and labels are never inputs of a score.
 
 Edge cases: null and empty texts have no words and get the model's bias as their score; without a confirmed toxic text
 every score is the prior, 0 where nothing is labelled either; a null doc_id is never learnt from and isn't held out;
-repeated rows are scored each; an empty table gives an empty result; further columns are dropped by score().
+repeated rows are scored each, and learnt from once; ties in the order by hash are rows of equal hashes, which are one; an
+empty table gives an empty result; further columns are dropped by score(), whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .words import MARKS, leads, words
 
 #: The leading bytes of words that are features besides the words themselves.
 STEMS = (4, 5, 6)
-MOST_POSITIVE, MOST_UNLABELLED = 2000, 8000
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3000, 8000, 1 << 17
 FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, SPARSE, BETA = 300, 0.1, 3e-4, 0.0
 #: A feature has to be in so many of the toxic texts, and in their share this many times as often as in unlabelled text's.
@@ -99,14 +101,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(_sums(self.weights[found], begin) + self.bias, -60, 60)))
 
 
-def candidates(positive: list[np.ndarray]) -> Vocabulary:
-    """Weights are never negative, so only features of toxic texts can get one."""
-    found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *positive]), return_counts=True)
-    return Vocabulary(found[n >= LEAST_TEXTS])
-
-
 def train(vocabulary: Vocabulary, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Each text is the array of its features' places in the vocabulary. prior: the share of toxic texts in unlabelled text."""
+    """Each text is the array of its features' places in the vocabulary. prior: the share of toxic texts in unlabelled text.
+    Weights are never negative, so only features that are more usual in toxic texts can get one."""
     if not positive or not unlabelled:
         return Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(1), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     prior = min(max(prior, 1e-4), 0.9)
@@ -146,32 +143,59 @@ def fold(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def _vectors(docs: DataFrame, ids: DataFrame, most: int, vocabulary: Vocabulary | None = None) -> list[np.ndarray]:
-    """The features of the texts with these ids, a bounded number of them, on the driver: hashes, or places in a vocabulary."""
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """toxic (1: confirmed; 0: of unknown kind), text: the rows that are learnt from, as a table in the shared folder. Equal rows are one."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(fold(docs["doc_id"]) != HELD_OUT)
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("h")).distinct()
+    confirmed = labels.filter("toxic = 1").select("doc_id").distinct()
+    first = lambda k, most, toxic: k.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(most).select("doc_id", "h", F.lit(toxic).alias("toxic"))
+    chosen = first(keyed.join(confirmed, "doc_id", "left_semi"), MOST_POSITIVE, 1).union(first(keyed, MOST_UNLABELLED, 0))
+    chosen = chosen.groupBy("doc_id", "h").agg(F.collect_list("toxic").alias("toxic"))  # two of them at most
+    found = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"])  # MOST_POSITIVE + MOST_UNLABELLED rows of ids
+    found = found.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return common.materialize(found.select(F.explode("toxic").alias("toxic"), "text"))
+
+
+def vocabulary_of(sample: DataFrame) -> Vocabulary:
+    """The features that LEAST_TEXTS toxic texts have, and LEAST_LIFT times the share of them that unlabelled texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches, "text"):
+            toxic = np.array(batch.column("toxic").to_pylist()) == 1
+            every = all_features(batch.column("text"))
+            found, of = np.concatenate([np.zeros(0, np.uint64), *every]), np.repeat(toxic, [len(x) for x in every])
+            u, at = np.unique(found, return_inverse=True)
+            n = [np.bincount(at, weight, len(u)).astype(np.int64) for weight in (of, ~of)]
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, n)], ["f", "p", "u"])
+
+    size = dict(sample.groupBy("toxic").count().collect())
+    counted = sample.mapInArrow(run, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    telling = counted.filter((F.col("p") >= LEAST_TEXTS) & (F.col("p") * size.get(0, 0) > LEAST_LIFT * F.col("u") * size.get(1, 0)))
+    lift = F.col("p") / (F.col("u") + 1)
+    return Vocabulary(telling.orderBy(F.desc(lift), "f").limit(MOST_FEATURES).select("f").toArrow().column("f").to_numpy().view(np.uint64))
+
+
+def _vectors(sample: DataFrame, vocabulary: Vocabulary) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of the toxic and of the unlabelled texts, which features of the vocabulary they have, on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
-            if vocabulary is None:
-                got = all_features(batch.column("text"))
-            else:
-                found, begin = known_features(batch.column("text"), vocabulary)
-                got = [found[a:b].astype(np.int32) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in got], pa.binary())], ["v"])
+            found, begin = known_features(batch.column("text"), vocabulary)
+            got = [found[a:b].astype(np.int32).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.binary())], ["toxic", "v"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(most)  # ids are at most `most`
-    return [np.frombuffer(r.v, np.uint64 if vocabulary is None else np.int32) for r in texts.mapInArrow(run, "v binary").collect()]
+    every = sorted((r.toxic, bytes(r.v)) for r in sample.mapInArrow(run, "toxic int, v binary").collect())
+    return tuple([np.frombuffer(v, np.int32) for toxic, v in every if toxic == k] for k in (1, 0))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """From the rows that aren't held out. The prior is the share of toxic rows among those that are labelled there."""
     known = labels.filter(fold(labels["doc_id"]) != HELD_OUT).select("doc_id", "toxic")
     count = known.agg(F.count("toxic").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
-    by_hash = lambda ids, most: ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    hashes = _vectors(docs, by_hash(known.filter("toxic = 1"), MOST_POSITIVE), MOST_POSITIVE)
-    vocabulary = candidates(hashes)
-    positive = [vocabulary.places(x)[1] for x in hashes]
-    del hashes
-    unlabelled = _vectors(docs, by_hash(docs.filter(fold(docs["doc_id"]) != HELD_OUT), MOST_UNLABELLED), MOST_UNLABELLED, vocabulary)
+    sample = sampled(docs, known)
+    vocabulary = vocabulary_of(sample)
+    positive, unlabelled = _vectors(sample, vocabulary)
+    common.release(sample.sparkSession, [sample.materialized])
     return train(vocabulary, positive, unlabelled, (count["toxic"] or 0) / count["n"] if count["n"] else 0.0)
 
 
