@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, jaccard, language, media, mixing, packing, quality, toxicity, url_filters, warc
+from . import audit, html_text, jaccard, language, line_dedup, media, mixing, packing, quality, toxicity, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
+}
+ORACLE_SQL = {
+    "op2_url_filters": url_filters.OP2_SQL,
+    "op7_warc": warc.OP7_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }
-ORACLE_SQL = {"op2_url_filters": url_filters.OP2_SQL, "op7_warc": warc.OP7_SQL}
