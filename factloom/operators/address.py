@@ -1,8 +1,9 @@
 """Street addresses in texts: the part of an address that names the street, identities of addresses, and whether a text
-speaks of one address only. Built-in functions over token arrays."""
+speaks of one address only. Addresses are read word by word; what is done with them is built-in functions."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,37 +18,80 @@ TYPES = {
 }
 DIRECTIONS = {"n": "North", "north": "North", "s": "South", "south": "South", "e": "East", "east": "East", "w": "West", "west": "West"}
 _POSTAL = r"^(\d{5}(-\d{4})?|[a-z]\d[a-z]|\d[a-z]\d|[a-z]\d[a-z]\d[a-z]\d)$"
-
-
-def _any(words: dict[str, str]) -> str:
-    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")\b\.?"
-
-
-_ADDRESS = rf"(?i)(?<![\d-])(\d{{1,6}})\s+(?:({_any(DIRECTIONS)})\s+)?([\p{{L}}\d][\p{{L}}\d .'-]{{0,70}}?)\s+({_any(TYPES)})(?:\s+({_any(DIRECTIONS)}))?(?![\p{{L}}])"
-
-
-def _named(c: Column, names: dict[str, str]) -> Column:
-    full = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    return F.try_element_at(full, F.lower(F.replace(c, F.lit("."), F.lit(""))))
+#: Digits of a number, characters of a name.
+MOST_DIGITS, MOST_NAME = 6, 71
+_ADDRESS = "array<struct<number:string,prefix:string,name:string,type:string,suffix:string>>"
+_FIELDS = ["number", "prefix", "name", "type", "suffix"]
+
+
+class _Reader:
+    """Reads the words of a text one after the other: a number opens an address, the words after it are its name, a street
+    type closes it, and a direction right after that belongs to it. Anything but a word ends what is open."""
+
+    def __init__(self) -> None:
+        self.found: list[dict] = []
+        self.number, self.name, self.just_closed = None, [], False
+
+    def _close(self, name: list[str], street: str, prefix: str | None = None) -> None:
+        self.found.append({"number": self.number, "prefix": prefix, "name": " ".join(name).lower(), "type": street, "suffix": None})
+        self.number, self.name = None, []
+
+    def stop(self) -> None:
+        """No more words belong to what is open. A direction was the name itself, if only a street type came after it."""
+        if self.number and len(self.name) > 1 and _plain(self.name[0]) in DIRECTIONS and (street := TYPES.get(_plain(self.name[1]))):
+            self._close(self.name[:1], street)
+        self.number, self.name, self.just_closed = None, [], False
+
+    def word(self, w: str) -> None:
+        low = _plain(w)
+        if self.number is None:
+            if self.just_closed and low in DIRECTIONS:
+                self.found[-1]["suffix"] = DIRECTIONS[low]
+            self.just_closed = False
+            if w.isdecimal() and len(w) <= MOST_DIGITS:
+                self.number = w
+            return
+        named = self.name[1:] if len(self.name) > 1 and _plain(self.name[0]) in DIRECTIONS else self.name
+        alone = len(self.name) == 1 and _plain(self.name[0]) in DIRECTIONS
+        if low in TYPES and named and not alone:
+            self._close(named, TYPES[low], DIRECTIONS[_plain(self.name[0])] if named is not self.name else None)
+            self.just_closed = True
+        elif not named and not w[0].isalnum():
+            self.stop()
+        elif len(" ".join(named)) + 1 + len(w) > MOST_NAME:
+            self.stop()
+            self.word(w)
+        else:
+            self.name.append(w)
+
+
+def _plain(w: str) -> str:
+    return w.lower().removesuffix(".")
+
+
+def read_addresses(text: str) -> list[dict]:
+    """number, prefix, name, type and suffix of the street addresses in a text, in order."""
+    reader, word = _Reader(), []
+    for c in text + "\0":
+        if c.isalnum() or c in ".'-":
+            word.append(c)
+            continue
+        if word:
+            reader.word("".join(word))
+            word = []
+        if not c.isspace():
+            reader.stop()
+    return reader.found
 
 
 def addresses(text: Column) -> Column:
     """An array of struct(number, prefix, name, type, suffix) of the street addresses in a text, in order, types and directions in full."""
 
-    def part(whole: Column, k: int) -> Column:
-        return F.nullif(F.regexp_extract(whole, _ADDRESS, k), F.lit(""))
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([(f, pa.string()) for f in _FIELDS]))
+        return pa.array([read_addresses(t or "") for t in texts.to_pylist()], kind)
 
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?i)({_ADDRESS[4:]})"), F.lit(1))
-    return F.transform(
-        found,
-        lambda x: F.struct(
-            part(x, 1).alias("number"),
-            _named(part(x, 2), DIRECTIONS).alias("prefix"),
-            F.lower(F.regexp_replace(F.trim(part(x, 3)), r"\s+", " ")).alias("name"),
-            _named(part(x, 4), TYPES).alias("type"),
-            _named(part(x, 5), DIRECTIONS).alias("suffix"),
-        ),
-    )
+    return F.arrow_udf(run, _ADDRESS)(text)
 
 
 def identity(a: Column) -> Column:
@@ -70,7 +114,7 @@ def about(subject_text: Column, city: Column, *fields: Column) -> Column:
     """Whether texts speak of the subject's address and of no other, and one of them names it together with the city."""
     own = F.get(F.transform(addresses(subject_text), identity), F.lit(0))
     said = [F.transform(addresses(f), identity) for f in fields]
-    only = F.forall(F.concat(*said), lambda x: x == own)
+    only = F.size(F.array_except(F.concat(*said), F.array(own))) == 0
     together = F.lit(False)
     for f, ids in zip(fields, said, strict=True):
         together = together | (F.array_contains(ids, own) & holds_run(f, city))

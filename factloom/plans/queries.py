@@ -14,7 +14,7 @@ from ..model import PRECEDENCE, RUBRIC, Range, Rubric
 from ..operators import browse, criteria, display, entity, health, rank, report, resolve, review
 from ..sources import listings as landing
 from ..sources import parsers, sinks
-from ..streaming import incremental
+from ..streaming import incremental, leases
 from . import sqltext
 from .views import REPORTED, table, view, with_views
 
@@ -489,8 +489,12 @@ def first_arrivals(spark, d):
 
 @query("stateful_dedupe", sqltext.DEDUPE)
 def stateful_dedupe(spark, d):
-    e = table(spark, d, "events").select((F.col("event_id") % 700).alias("id"), (F.col("event_id") % 700 % 150).cast("string").alias("sig"), F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
-    return incremental.dedupe(e).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("at").alias("sum_at"))
+    sig = (F.col("event_id") % 700 + F.floor(F.col("event_id") / 1000)) % 150
+    e = table(spark, d, "events").select((F.col("event_id") % 700).alias("id"), sig.alias("sig"), F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    one = incremental.dedupe(e.filter("at % 3 = 0"))
+    two = incremental.dedupe(e.filter("at % 3 <> 0"), incremental.seen_after(one, None, AS_OF))
+    both = one.withColumn("run", F.lit(1)).union(two.withColumn("run", F.lit(2)))
+    return both.groupBy("run", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("at").alias("sum_at"))
 
 
 @query("late_rows", "SELECT event_type, count(*) AS dropped FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00' GROUP BY event_type")
@@ -515,6 +519,28 @@ def job_states(spark, d):
     return incremental.job_states(table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), kinds.alias("kind")))
 
 
+_CLAIM = "(['queued', 'claimed', 'done', 'claimed', 'failed', 'claimed', 'done'])[CAST(event_id % 7 AS INT) + 1]"
+_HELD_S = 43_200
+
+
+@query(
+    "leased_jobs",
+    f"""WITH RECURSIVE e AS (SELECT user_id AS job, {_CLAIM} AS kind, concat('w', event_id % 3) AS token, epoch_ms(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS r FROM events),
+s AS (SELECT job, CAST(0 AS BIGINT) AS r, 'queued' AS state, CAST(0 AS INT) AS attempts, CAST(NULL AS VARCHAR) AS token, CAST(NULL AS BIGINT) AS until FROM (SELECT DISTINCT job FROM e) j UNION ALL
+  SELECT job, r, CASE WHEN takes THEN 'running' WHEN held AND kind = 'done' THEN 'succeeded' WHEN held AND kind = 'failed' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE now END,
+    CASE WHEN takes THEN attempts + 1 ELSE attempts END, CASE WHEN takes THEN whose WHEN now = 'running' AND NOT (held AND kind IN ('done', 'failed')) THEN token END, CASE WHEN takes THEN at + {_HELD_S * 1000} WHEN now = 'running' AND NOT (held AND kind IN ('done', 'failed')) THEN until END
+  FROM (SELECT *, now = 'queued' AND kind = 'claimed' AS takes, now = 'running' AND whose = token AS held FROM (SELECT e.job, e.r, e.kind, e.at, e.token AS whose, s.token, s.until, s.attempts,
+    CASE WHEN s.state = 'running' AND s.until <= e.at THEN CASE WHEN s.attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE s.state END AS now FROM s JOIN e ON e.job = s.job AND e.r = s.r + 1) x) y),
+l AS (SELECT job, arg_max({{'state': state, 'attempts': attempts, 'until': until}}, r) AS x FROM s GROUP BY job)
+SELECT job, CASE WHEN x.state = 'running' AND x.until <= epoch_ms(TIMESTAMP '{AS_OF}') + 1382400000 THEN CASE WHEN x.attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE x.state END AS state, x.attempts AS attempts FROM l""",
+)
+def leased_jobs(spark, d):
+    """Jobs whose claims run out after twelve hours, as they stand at the end of the month."""
+    kinds = F.element_at(F.array(*map(F.lit, ("queued", "claimed", "done", "claimed", "failed", "claimed", "done"))), (F.col("event_id") % 7 + 1).cast("int"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), kinds.alias("kind"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("token"), F.col("ts").cast("timestamp").alias("at"))
+    return leases.leased_states(e, "2024-01-31 00:00:00", _HELD_S).select("job", "state", "attempts")
+
+
 @query("tail_of_state", "SELECT c_custkey AS id FROM customer WHERE DATE '2024-01-01' - CAST(c_custkey % 200 AS INT) >= DATE '2024-01-01' - 90")
 def tail_of_state(spark, d):
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.date_sub(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 200).cast("int")).cast("string").alias("last_seen"))
@@ -977,3 +1003,6 @@ def row_json(spark, d):
 @query("event_windows", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, d):
     return incremental.windowed_counts(table(spark, d, "events")).select("event_type", F.col("w.start").alias("hour"), "n")
+
+
+from . import queries_found  # noqa: E402, F401  (its queries register here)

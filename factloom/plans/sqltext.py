@@ -194,9 +194,15 @@ d AS (SELECT a.source, now, low, high, candidate, watermark, low IS NULL OR now
 SELECT source, now, in_band, newer, in_band AND newer AS advance, now = 0 AND low > 0 AS alert, CASE WHEN in_band AND newer THEN candidate ELSE watermark END AS next_watermark FROM d"""
 
 #: Row by row: what is accepted holds its signature from then on.
-DEDUPE = """WITH e AS (SELECT event_id % 700 AS id, event_id % 700 % 150 AS sig, event_id AS seq, event_type <> 'error' AS ok FROM events),
-f AS (SELECT sig, min(seq) AS since, arg_min(id, seq) AS holder FROM e WHERE ok GROUP BY sig)
-SELECT CASE WHEN since IS NULL OR seq < since THEN 'exclude' WHEN seq = since THEN 'accept' WHEN id = holder THEN 'refresh' ELSE 'touch' END AS outcome, count(*) AS n, CAST(sum(seq) AS BIGINT) AS sum_at FROM e LEFT JOIN f USING (sig) GROUP BY 1"""
+#: Two runs; ids change their signature.
+DEDUPE = """WITH e AS (SELECT event_id % 700 AS id, (event_id % 700 + event_id // 1000) % 150 AS sig, event_id AS seq, event_type <> 'error' AS ok, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM events),
+f1 AS (SELECT sig, min(seq) AS since FROM e WHERE run = 1 AND ok GROUP BY sig),
+o1 AS (SELECT id, sig, seq, CASE WHEN since IS NULL OR seq < since THEN 'exclude' WHEN seq = since THEN 'accept' ELSE 'repeat' END AS outcome FROM e LEFT JOIN f1 USING (sig) WHERE run = 1),
+s AS (SELECT id, arg_max(sig, seq) AS sig FROM o1 WHERE outcome = 'accept' GROUP BY id),
+k AS (SELECT e.*, CASE WHEN id IN (SELECT id FROM s) THEN 'refresh' WHEN sig IN (SELECT sig FROM s) THEN 'touch' END AS known FROM e WHERE run = 2),
+f2 AS (SELECT sig, min(seq) AS since FROM k WHERE known IS NULL AND ok GROUP BY sig),
+o2 AS (SELECT id, sig, seq, coalesce(known, CASE WHEN since IS NULL OR seq < since THEN 'exclude' WHEN seq = since THEN 'accept' ELSE 'repeat' END) AS outcome FROM k LEFT JOIN f2 USING (sig))
+SELECT CAST(1 AS INT) AS run, outcome, count(*) AS n, CAST(sum(seq) AS BIGINT) AS sum_at FROM o1 GROUP BY outcome UNION ALL SELECT CAST(2 AS INT), outcome, count(*), CAST(sum(seq) AS BIGINT) FROM o2 GROUP BY outcome"""
 
 
 #: What is masked, by label, in this order.

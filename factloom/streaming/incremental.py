@@ -6,11 +6,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 #: When what was seen is forgotten, leases and attempts of jobs, the longest wait between attempts.
 FORGET_DAYS, LEASE_S, ATTEMPTS, LONGEST_WAIT_S = 90, 300, 3, 30
@@ -37,53 +35,67 @@ def first_arrivals(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def dedupe(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """rows: id, sig, at (order), ok (criteria), where an id always comes with one signature. seen: id, sig of what earlier runs
-    accepted. outcome for each row, in the order of arrival:
+    """One run. rows: id, sig, at (order), ok (criteria). seen: id, sig of what earlier runs accepted. outcome of each row:
 
-    refresh: its id was accepted before; touch: another id of its signature was; accept: neither, and it meets the criteria;
-    exclude: it doesn't, which leaves its id and its signature free. A signature's first acceptance tells all: one aggregation
-    and a join, whatever the length of its history."""
+    refresh: an earlier run accepted its id, whatever its signature is now (a price that changes makes a new signature);
+    touch: not its id, but its signature is known from an earlier run; repeat: this run has accepted its signature before;
+    accept: none of these, and it meets the criteria; exclude: it doesn't, which leaves its id and its signature free.
+    Rows without an id are left out. An id that this run accepted isn't known before the next one.
+
+    What is known beforehand is two joins; within the run a signature's first acceptance tells all, which is an aggregation and
+    a join: no id's and no signature's history is ever sorted in one task."""
     order = F.struct("at", "id")
-    first = rows.filter("ok").groupBy("sig").agg(F.min(order).alias("f")).select("sig", "f", F.col("f.id").alias("holder"))
+    r = rows.filter(F.col("id").isNotNull() & (F.col("id").cast("string") != "")).select("id", "sig", "at", "ok")
+    known = F.lit(None).cast("string")
     if seen is not None:
-        held = seen.groupBy("sig").agg(F.min("id").alias("held"))
-        first = first.join(held, "sig", "full").select("sig", F.when(F.col("held").isNull(), F.col("f")).alias("f"), F.coalesce("held", "holder").alias("holder"))
-    r = rows.join(first, "sig", "left")
-    before = F.col("holder").isNull() | (order < F.col("f"))
-    same = F.when(F.col("id") == F.col("holder"), "refresh").otherwise("touch")
-    return r.select("id", "sig", "at", F.when(F.coalesce(before, F.lit(False)), "exclude").when(order == F.col("f"), "accept").otherwise(same).alias("outcome"))
-
-
-def _outcomes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Within one signature: the state is the id that holds it, if one does; idle for idle_ms, it is dropped."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    holder = state.get[0] if state.exists else None
-    pdf = pd.concat(list(parts)).sort_values(["at", "id"])
-    out = []
-    for r in pdf.itertuples():
-        if holder is not None:
-            outcome = "refresh" if r.id == holder else "touch"
-        else:
-            outcome = "accept" if r.ok else "exclude"
-            holder = r.id if r.ok else None
-        out.append((r.id, key[0], r.at, outcome))
-    state.update((holder,))
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
-    yield pd.DataFrame(out, columns=["id", "sig", "at", "outcome"])
-
-
-def dedupe_stream(rows: DataFrame, forget_days: int | None = None) -> DataFrame:
-    """Streaming form of dedupe(). rows: a stream of id (string), sig, at, ok, where an id always comes with one signature.
-
-    forget_days lets idle state time out by the clock; such a query makes batches for ever, so it suits a processing-time
-    trigger, not availableNow (there, forget() trims a table of what was seen)."""
-    idle = forget_days * 86_400_000 if forget_days else None
-    each = lambda key, parts, state: _outcomes(key, parts, state, idle)
-    timeout = "ProcessingTimeTimeout" if idle else "NoTimeout"
-    return rows.groupBy("sig").applyInPandasWithState(each, "id string, sig string, at long, outcome string", "holder string", "append", timeout)
+        ids, sigs = seen.select("id", F.lit(True).alias("by_id")).distinct(), seen.select("sig", F.lit(True).alias("by_sig")).distinct()
+        r = r.join(ids, "id", "left").join(sigs, "sig", "left")
+        known = F.when(F.col("by_id"), "refresh").when(F.col("by_sig"), "touch")
+    r = r.select("id", "sig", "at", "ok", known.alias("known"))
+    first = r.filter("ok and known is null").groupBy("sig").agg(F.min(order).alias("first"))
+    out = r.join(first, "sig", "left")
+    new = F.when(F.col("first").isNull() | (order < F.col("first")), "exclude").when(order == F.col("first"), "accept").otherwise("repeat")
+    return out.select("id", "sig", "at", F.coalesce("known", new).alias("outcome"))
+
+
+def seen_after(outcomes: DataFrame, seen: DataFrame | None, now: str) -> DataFrame:
+    """id, sig, first_seen, last_seen after a run: what was accepted is seen from now on (an id by its last signature), what was
+    refreshed or touched is seen again; of the ids of one signature, a touch counts for the last that came."""
+    at = F.lit(now).cast("timestamp")
+    new = outcomes.filter("outcome = 'accept'").groupBy("id").agg(F.max_by("sig", F.struct("at", "sig")).alias("sig"))
+    new = new.select("id", "sig", at.alias("first_seen"), at.alias("last_seen"))
+    if seen is None:
+        return new
+    ids = outcomes.filter("outcome = 'refresh'").select("id", F.lit(True).alias("again")).distinct()
+    touched = outcomes.filter("outcome = 'touch'").select("sig").distinct()
+    last = seen.join(touched, "sig", "left_semi").groupBy("sig").agg(F.max_by("id", F.struct("first_seen", "id")).alias("id"))
+    again = ids.union(last.select("id", F.lit(True))).distinct()
+    kept = seen.join(again, "id", "left").select("id", "sig", "first_seen", F.when(F.col("again"), at).otherwise(F.col("last_seen")).alias("last_seen"))
+    return kept.unionByName(new)
+
+
+def dedupe_batch(path: str, now: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch (see run_available): each micro-batch is a run. What is seen after batch n, and its outcomes, are tables under
+    path that carry its number, so a batch that is tried again reads the same state and writes the same."""
+
+    def each(rows: DataFrame, n: int) -> None:
+        spark = rows.sparkSession
+        seen = spark.read.parquet(f"{path}/seen/{n - 1}") if n else None
+        dedupe(rows, seen).write.mode("overwrite").parquet(f"{path}/outcomes/{n}")
+        seen_after(spark.read.parquet(f"{path}/outcomes/{n}"), seen, now(n)).write.mode("overwrite").parquet(f"{path}/seen/{n}")
+
+    return each
+
+
+def arrivals(rows: DataFrame, key: str, at: str, late: str) -> DataFrame:
+    """A stream's rows without repeats of a key; what comes behind the watermark (`late` after the newest of the batch before) is
+    dropped, and counted by the query (dropped_late)."""
+    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def dropped_late(progress: list) -> int:
+    """Rows that a query's stateful operators have dropped behind the watermark, by its progress reports."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
 
 
 def forget(state: DataFrame, now: str, days: int = FORGET_DAYS) -> DataFrame:

@@ -159,37 +159,6 @@ def test_landed_rows_survive_odd_values(spark):
     assert (r.price, r.beds, r.baths, r.area) == (None, 1.0, None, 700.0)
 
 
-def plain_dedupe(data, seen=()):
-    """Row by row: id, sig, at, ok."""
-    ids, sigs, out = {i for i, _ in seen}, {s for _, s in seen}, {}
-    for i, s, at, ok in sorted(data, key=lambda r: (r[2], r[0])):
-        if i in ids:
-            out[i, at] = "refresh"
-        elif s in sigs:
-            out[i, at] = "touch"
-        elif ok:
-            out[i, at] = "accept"
-            ids.add(i)
-            sigs.add(s)
-        else:
-            out[i, at] = "exclude"
-    return out
-
-
-def test_dedupe_is_the_fold(spark):
-    import random
-
-    random.seed(4)
-    data = [("a", "s", 1, False), ("a", "s", 2, True), ("b", "t", 1, True), ("c", "t", 2, True), ("c", "t", 3, True), ("b", "t", 4, False)]
-    data += [(f"i{i}", f"s{i % 9}", n, random.random() < 0.3) for n in range(300) for i in [random.randrange(40)]]
-    df = spark.createDataFrame(data, "id string, sig string, at long, ok boolean")
-    got = {(r.id, r.at): r.outcome for r in incremental.dedupe(df).collect()}
-    assert got == plain_dedupe(data) and [got["a", 1], got["a", 2], got["c", 2], got["c", 3]] == ["exclude", "accept", "touch", "touch"]
-    seen = [("i3", "s3"), ("old", "t")]
-    got = {(r.id, r.at): r.outcome for r in incremental.dedupe(df, spark.createDataFrame(seen, "id string, sig string")).collect()}
-    assert got == plain_dedupe(data, seen)
-
-
 def test_scalars(spark):
     assert value(spark, S.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(20015.0868, abs=1e-3)
     assert value(spark, S.canonical_address(F.lit(" 1  Main St., "), F.lit(None).cast("string"), F.lit("X;"))) == "1 Main St, X"
@@ -426,19 +395,6 @@ def test_bands_and_veto(spark):
     assert got["b"].advance and not got["c"].newer and not got["c"].advance
 
 
-def test_dedupe_batch_and_stream_agree(spark, tmp_path):
-    data = [(f"i{n % 7}", f"s{n % 7 % 3}", n, n % 4 != 0) for n in range(40)]
-    df = spark.createDataFrame(data, "id string, sig string, at long, ok boolean")
-    ship(spark)
-    batch = {(r.id, r.at): r.outcome for r in incremental.dedupe(df).collect()}
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = incremental.dedupe_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("outcomes").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.id, r.at): r.outcome for r in spark.table("outcomes").collect()} == batch
-    assert set(batch.values()) <= {"accept", "exclude", "refresh", "touch"}
-
-
 def test_available_now_runs_once(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "in"))
     seen = []
