@@ -525,12 +525,12 @@ _HELD_S = 43_200
 
 @query(
     "leased_jobs",
-    f"""WITH RECURSIVE e AS (SELECT user_id AS job, {_CLAIM} AS kind, concat('w', event_id % 3) AS token, epoch_ms(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS r FROM events),
+    f"""WITH RECURSIVE e AS (SELECT user_id AS job, {_CLAIM} AS kind, concat('w', event_id % 3) AS token, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS r FROM events),
 s AS (SELECT job, CAST(0 AS BIGINT) AS r, 'queued' AS state, CAST(0 AS INT) AS attempts, CAST(NULL AS VARCHAR) AS token, CAST(NULL AS BIGINT) AS until FROM (SELECT DISTINCT job FROM e) j UNION ALL
   SELECT job, r, CASE WHEN takes THEN 'running' WHEN held AND kind = 'done' THEN 'succeeded' WHEN held AND kind = 'failed' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE now END,
-    CASE WHEN takes THEN attempts + 1 ELSE attempts END, CASE WHEN takes THEN whose WHEN now = 'running' AND NOT (held AND kind IN ('done', 'failed')) THEN token END, CASE WHEN takes THEN at + {_HELD_S * 1000} WHEN now = 'running' AND NOT (held AND kind IN ('done', 'failed')) THEN until END
-  FROM (SELECT *, now = 'queued' AND kind = 'claimed' AS takes, now = 'running' AND whose = token AS held FROM (SELECT e.job, e.r, e.kind, e.at, e.token AS whose, s.token, s.until, s.attempts,
-    CASE WHEN s.state = 'running' AND s.until <= e.at THEN CASE WHEN s.attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE s.state END AS now FROM s JOIN e ON e.job = s.job AND e.r = s.r + 1) x) y),
+    CASE WHEN takes THEN attempts + 1 ELSE attempts END, CASE WHEN takes THEN whose WHEN now = 'running' AND NOT (held AND kind IN ('done', 'failed')) THEN token END, CASE WHEN takes THEN ms + {_HELD_S * 1000} WHEN now = 'running' AND NOT (held AND kind IN ('done', 'failed')) THEN until END
+  FROM (SELECT *, now = 'queued' AND kind = 'claimed' AS takes, now = 'running' AND whose = token AS held FROM (SELECT e.job, e.r, e.kind, e.ms, e.token AS whose, s.token, s.until, s.attempts,
+    CASE WHEN s.state = 'running' AND s.until <= e.ms THEN CASE WHEN s.attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE s.state END AS now FROM s JOIN e ON e.job = s.job AND e.r = s.r + 1) x) y),
 l AS (SELECT job, arg_max({{'state': state, 'attempts': attempts, 'until': until}}, r) AS x FROM s GROUP BY job)
 SELECT job, CASE WHEN x.state = 'running' AND x.until <= epoch_ms(TIMESTAMP '{AS_OF}') + 1382400000 THEN CASE WHEN x.attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE x.state END AS state, x.attempts AS attempts FROM l""",
 )
