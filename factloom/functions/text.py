@@ -1,9 +1,10 @@
-"""Facts from free text, by a small grammar of phrases.
+"""Facts from free text, by rules over its words.
 
 A text is first put into plain words (plain()): lower case, one space between words, hyphens and slashes between words
-read as spaces, sentences apart by a full stop. What is looked for are phrases of such words, put together from the
-vocabularies below: a subject, words that may stand between, and a state. Denials are looked for first, with their window
-of words, and masked. Numbers are read where a unit follows or a label stands before.
+read as spaces, sentences apart by a full stop. Vocabularies are sets of such words: things, what qualifies them, what
+denies or offers them. A rule is a row of slots, each taking a word of a set, once or up to so many times, so it says which
+words may stand between a thing and its state, and how many. Denials are one rule for all things: a denial before the
+thing, or a state of absence after it. Numbers are read where a unit follows or a label stands before.
 
 All facts of a row are found in one Arrow function (Arrow's own RE2, on whole columns), so texts are read once, and no
 optimizer copies the work into the filters and projections above it. A null text states nothing.
@@ -11,8 +12,10 @@ optimizer copies the work into the filters and projections above it. A null text
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import product
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,29 +28,22 @@ MONTHS = "jan january feb february mar march apr april may jun june jul july aug
 ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split()
 UTILITIES = {"hot water": "hot water", "heat": "heat", "water": "water", "hydro": "hydro", "electricity": "electricity", "electric": "electricity", "gas": "gas", "internet": "internet", "wi fi": "internet", "wifi": "internet", "cable": "cable"}
 BED, BATH, LEVEL = "[bed|beds|bedroom|bedrooms|br|bd]", "[bath|baths|bathroom|bathrooms|ba]", "[floor|level|storey|story]"
-HOME = "[suite|unit|apartment|home]"
-STALL = "[parking|parking stall|parking space|parking spot|garage|stall]"
-WASHER = "washer [and|] dryer"
-
-BASEMENT = ["basement", "below grade", "lower level [suite|unit|apartment]", "garden level [suite|unit|apartment]"]
-BASEMENT_FOR_ELSE = ["basement [is|] [used|reserved|] [for|] [storage|locker|parking|stall|parkade|garage]", "[optional|separate] basement [suite|unit|apartment|apt]", "[not|isn't] [a|] basement", "no basement"]
-BASEMENT_UNIT, BESIDES = ["basement [suite|unit|apartment|apt]"], ["optional", "can be added"]
-UNFURNISHED = ["unfurnished", "furnished [:|] [no|false]", "not furnished"]
 AVAILABLE, SINCE = "[available|availability|move in|move in date]", "[on|from|as of|]"
 TOTAL = "[total monthly cost|total monthly rent|monthly total]"
-PARKING_KEPT = ["no [assigned|on site|off street|] [parking|garage|stall] [stall|space|spot|] [is|] included"]
-PARKING_NONE = ["[no|without] [dedicated|assigned|on site|off street|] [parking|garage|stall]", "[parking|garage|stall] [space|spot|] [is|] [not available|unavailable]"]
-PARKING_DENIED = [f"[no|not] {STALL}"]
-PARKING_INCLUDED = ["free parking", "parking and locker [is|] included", f"{STALL} [is|] included", f"[include|includes|come with|comes with] [a|an|one|1|] [underground|secured|] {STALL}"]
-PARKING_TICKED = ["✔ parking"]
-PARKING_OFFERED = ["[one|1] [covered|] [car port|carport]", f"{STALL} [is|] [available|optional]", "[one|1] [underground|secured|assigned|] parking [stall|space|spot]", f"{STALL} [can be|] [rented|reserved]"]
-LAUNDRY_OWN_DENIED = [
-    "[no|without] [in suite|in unit|ensuite|private] laundry", "[in suite|in unit|ensuite|private] laundry [is|] [not available|not included|unavailable]",
-    f"[no|without] {WASHER} [in|inside] [the|a|an|] {HOME}", f"[no|without] [in suite|in unit] {WASHER}", f"[in suite|in unit] {WASHER} [is|] shared",
-]
-LAUNDRY_OWN = ["[in suite|in unit|ensuite|private|own] laundry", f"[in suite|in unit] {WASHER}", f"w d [in|inside] [the|a|an|] {HOME}", f"{WASHER} [in|inside] [the|a|an|] {HOME}", f"{HOME} [has|include|includes|come with|comes with] [a|an|] {WASHER}"]
-LAUNDRY_SHARED_DENIED = ["[no|without] [shared|coin|coin op|coin operated|common|building|on site|public|communal] laundry", "[shared|common|building|on site|public|communal] laundry [is|] [not available|unavailable]", "no [shared|common] washer"]
-LAUNDRY_SHARED = ["coin [op|operated|laundry]", "[shared|common area|common|building|on site|onsite|central|communal|public] laundry", "laundry in [the|a|an|this|my|] [building|bldg]"]
+UNFURNISHED = ["unfurnished", "furnished [:|] [no|false]", "not furnished"]
+#: What denies, links, counts and points; what is there, offered or given; homes and buildings.
+DENIALS, LINKS, ARTICLES, COUNTS = ["no", "without", "not", "isn't"], ["is", "are", "can be"], ["a", "an", "the", "this", "my"], ["one", "1"]
+ABSENT, INCLUDED, OFFERED = ["not available", "not included", "unavailable"], ["included"], ["available", "optional", "rented", "reserved"]
+GIVES, HAS, WITHIN = ["include", "includes", "come with", "comes with"], ["has"], ["in", "inside"]
+HOMES, BUILDINGS = ["suite", "unit", "apartment", "apt", "home"], ["building", "bldg"]
+BASEMENTS, LEVELS_BELOW, STORES, EXTRAS = ["basement", "below grade"], ["lower level", "garden level"], ["storage", "locker", "parking", "stall", "parkade", "garage"], ["optional", "separate"]
+BESIDES, MEANT = ["optional", "can be added"], ["is", "used", "reserved", "for"]
+STALLS, SPOTS, PORTS = ["parking", "garage", "stall"], ["stall", "space", "spot"], ["car port", "carport"]
+OF_STALLS, DEDICATED = ["assigned", "on site", "off street", "underground", "secured", "covered"], ["dedicated"]
+LAUNDRY, WASHERS, INITIALS = ["laundry"], ["washer dryer", "washer and dryer", "washer"], ["w d"]
+OWN = ["in suite", "in unit", "ensuite", "private", "own"]
+SHARED = ["coin", "coin op", "coin operated", "shared", "common area", "common", "building", "on site", "onsite", "central", "communal", "public"]
+COINS = ["coin op", "coin operated"]
 ROOM_ONLY = ["room for rent", "shared [room|home|house|apartment|unit]", "roommate [wanted|needed]"]
 WHOLE_UNIT = ["[entire|full] [apartment|condo|townhome|house|suite|unit]"]
 WALKABLE = ["[step|steps] from", "walking distance", "heart of", "in the core", "vibrant", "retail strip", "on the strip", "main street location", "walk to everything"]
@@ -81,7 +77,63 @@ def any_of(*templates: str) -> str:
     return "(?:" + "|".join(p.replace(".", r"\.") for p in phrases(*templates)) + ")"
 
 
-_AMOUNT = r"[1-9]\d{0,2}(?:,\d{3})+|[1-9]\d{2,4}"
+class Slot(NamedTuple):
+    """Words of which each may stand there, from least to most times."""
+
+    words: list[str]
+    least: int = 1
+    most: int = 1
+
+
+def maybe(words: list[str], most: int = 1) -> Slot:
+    return Slot(words, 0, most)
+
+
+def _choice(words: list[str]) -> str:
+    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+def rule(*slots: Slot | list[str]) -> str:
+    """A pattern for words that fill these slots one after the other; the last one is filled once."""
+    *before, last = [x if isinstance(x, Slot) else Slot(x) for x in slots]
+    return "".join(f"(?:{_choice(x.words)} ){{{x.least},{x.most}}}" for x in before) + _choice(last.words)
+
+
+def denied(*thing: Slot | list[str], states: list[str] | None = None) -> list[str]:
+    """Rules for a thing that isn't there: a denial stands before it, or an absence (or another state that rules it out) after it."""
+    return [rule(DENIALS, *thing), rule(*thing, maybe(LINKS), ABSENT + (states or []))]
+
+
+def _figures_of_length(low: str, high: str) -> list[str]:
+    if len(low) == 1:
+        return [f"[{low}-{high}]"]
+    rest = len(low) - 1
+    if low[0] == high[0]:
+        return [low[0] + x for x in _figures_of_length(low[1:], high[1:])]
+    if low[1:] == "0" * rest and high[1:] == "9" * rest:
+        return [f"[{low[0]}-{high[0]}]" + rf"\d{{{rest}}}"]
+    cut = high[0] + "0" * rest
+    return _figures_of_length(low, str(int(cut) - 1)) + _figures_of_length(cut, high)
+
+
+def figures(low: int, high: int) -> str:
+    """A pattern for the whole numbers from low to high, longer ones first."""
+    out: list[str] = []
+    for n in range(len(str(high)), len(str(low)) - 1, -1):
+        out += _figures_of_length(str(max(low, 10 ** (n - 1))), str(min(high, 10**n - 1)))
+    return "(?:" + "|".join(out) + ")"
+
+
+def amounts(high: int) -> str:
+    """Of money: thousands apart by commas, or figures from a hundred up."""
+    return rf"{figures(1, 999)}(?:,\d{{3}})+|{figures(100, high)}"
+
+
+def several(number: str, joints: list[str], unit: str) -> str:
+    """Two numbers of one unit: neither is the listing's own."""
+    return rf"\b{number} ?{_choice(joints)} ?{number} ?{unit}\b"
+
+
 _BREAKS = [(r"sq\.?\s*ft\.?|square\s+feet", " sqft "), (r"[✔✓☑]", " ✔ "), ("&", " and "), (r"(\d)\s*[–—]\s*(\d)", r"\1-\2"), ("’", "'")]
 _JOINTS = [(r"([^\d\s])\s+[-–—]+\s", r"\1 : "), (r"([^\d\s])[-/–—]+", r"\1 "), (r"[-/–—]+([^\d\s])", r" \1"), (r"[.!?;]+(\s|$)", " . "), (r"([:=])", " : "), (r"\$", " $ "), (r",(\s|$)", " , "), (r"[()\[\]{}\"*|+]", " "), (r"\s+", " ")]
 
@@ -98,6 +150,15 @@ def _has(t: pa.Array, *templates: str) -> pa.Array:
     return pc.match_substring_regex(t, rf"\b{any_of(*templates)}\b")
 
 
+def _follows(t: pa.Array, *rules: str) -> pa.Array:
+    """Whether a text has words that follow one of these rules."""
+    return pc.match_substring_regex(t, rf"\b(?:{'|'.join(rules)})\b")
+
+
+def _cut(t: pa.Array, *rules: str) -> pa.Array:
+    return _without(t, rf"\b(?:{'|'.join(rules)})\b")
+
+
 def _without(t: pa.Array, pattern: str) -> pa.Array:
     return pc.replace_substring_regex(t, pattern, " ")
 
@@ -152,9 +213,10 @@ MARKS: dict[str, Fact] = {}
 @fact(pa.bool_())
 def basement(raw: pa.Array, t: pa.Array) -> pa.Array:
     """True where a basement unit is left after what only mentions one; else null."""
-    unit, besides = any_of(*BASEMENT_UNIT), any_of(*BESIDES)
+    unit, besides = rule(["basement"], HOMES), _choice(BESIDES)
     t = _without(t, rf"\b{unit}\b[^.]*\b{besides}\b|\b{besides}\b[^.]*\b{unit}\b")
-    return _first((_has(_without(t, rf"\b{any_of(*BASEMENT_FOR_ELSE)}\b"), *BASEMENT), True))
+    t = _cut(t, rule(["basement"], maybe(MEANT, 3), STORES), rule(EXTRAS, ["basement"], HOMES), rule(DENIALS, maybe(ARTICLES), ["basement"]))
+    return _first((_follows(t, rule(BASEMENTS), rule(LEVELS_BELOW, HOMES)), True))
 
 
 @fact(pa.string())
@@ -173,12 +235,51 @@ def available_date(raw: pa.Array, t: pa.Array) -> pa.Array:
 @fact(pa.string())
 def available_words(raw: pa.Array, t: pa.Array) -> pa.Array:
     """The wording as it stands, only where no date is given: no year is inferred."""
-    label = any_of(f"{AVAILABLE} {SINCE}").replace(" ", r"[\s-]+")
-    day = rf"(?:{'|'.join(sorted(MONTHS, key=len, reverse=True))})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?"
-    words = _read(pc.fill_null(raw.cast(pa.string()), ""), rf"(?i)\b(?P<x>{label}\s*:?\s*(?:{day}|now|immediately))\b")
+    some = pc.match_substring_regex(t, rf"\b{any_of(AVAILABLE)}\b")
+    texts = pc.if_else(some, raw.cast(pa.string()), pa.scalar(None, pa.string())).to_pylist()
+    words = pa.array([x and _wording(x) for x in texts], pa.string())
     return pc.if_else(pc.is_null(available_date(raw, t)), words, pa.scalar(None, pa.string()))
 
 
+def _wording(text: str) -> str | None:
+    """The first words that say from when: a label, what may follow it, and a time or a day of a month."""
+    tokens = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+|\d+|[^\w\s]", text)]
+    word = lambda i: tokens[i][0] if i < len(tokens) else ""
+    for i in range(len(tokens)):
+        j = _after_label(word, i)
+        if j is None:
+            continue
+        j += {"on": 1, "from": 1}.get(word(j), 2 if (word(j), word(j + 1)) == ("as", "of") else 0)
+        j += word(j) == ":"
+        if word(j) in ("now", "immediately"):
+            return text[tokens[i][1] : tokens[j][2]]
+        end = _after_day(word, j, lambda k: tokens[k - 1][2] < tokens[k][1])
+        if end:
+            return text[tokens[i][1] : tokens[end - 1][2]]
+    return None
+
+
+def _after_label(word: Callable[[int], str], i: int) -> int | None:
+    if word(i) in ("available", "availability"):
+        return i + 1
+    if word(i) != "move":
+        return None
+    i += 1 + (word(i + 1) == "-")
+    return None if word(i) != "in" else i + 1 + (word(i + 1) == "date")
+
+
+def _after_day(word: Callable[[int], str], i: int, apart: Callable[[int], bool]) -> int | None:
+    """Where a month's name, a day (as an ordinal, it may be) and, apart from it, a year end."""
+    if word(i) not in MONTHS:
+        return None
+    i += 1 + (word(i + 1) == ".")
+    if not (word(i).isdecimal() and len(word(i)) <= 2 and apart(i)):
+        return None
+    i += 1 + (word(i + 1) in ("st", "nd", "rd", "th"))
+    year = i + (word(i) == ",")
+    return year + 1 if word(year).isdecimal() and len(word(year)) == 4 and apart(year) else i
+
+
 @fact(pa.int32())
 def lease_months(raw: pa.Array, t: pa.Array) -> pa.Array:
     n = _within(_read(t, r"\b(?P<x>\d{1,2}) months? lease\b").cast(pa.int32()), 1, 60)
@@ -211,24 +312,24 @@ def _total(group: str) -> str:
 
 @fact(pa.float64())
 def total_monthly(raw: pa.Array, t: pa.Array) -> pa.Array:
-    return _number(_read(t, _total(f"(?P<x>{_AMOUNT})")))
+    return _number(_read(t, _total(f"(?P<x>{amounts(99_999)})")))
 
 
 @fact(pa.float64())
 def rent(raw: pa.Array, t: pa.Array) -> pa.Array:
     """The first amount of three or four figures, or with thousands apart, that isn't the total's."""
-    return _number(_read(_without(t, _total(f"(?:{_AMOUNT})")), r"\$ (?P<x>[1-9]\d{0,2}(?:,\d{3})+|[1-9]\d{2,3})"))
+    return _number(_read(_without(t, _total(f"(?:{amounts(99_999)})")), rf"\$ (?P<x>{amounts(9_999)})"))
 
 
 @fact(pa.bool_(), said=False)
 def beds_range(raw: pa.Array, t: pa.Array) -> pa.Array:
     """Bedrooms of several units: no number is this one's."""
-    return pc.match_substring_regex(t, rf"\b\d(?:\.5)? ?(?:and|or|/|-|to) ?\d(?:\.5)? ?{any_of(BED)}\b")
+    return pc.match_substring_regex(t, several(r"\d(?:\.5)?", ["and", "or", "/", "-", "to"], any_of(BED)))
 
 
 @fact(pa.bool_(), said=False)
 def area_range(raw: pa.Array, t: pa.Array) -> pa.Array:
-    return pc.match_substring_regex(t, r"\b\d{2,5} ?(?:-|to) ?\d{2,5} ?sqft\b")
+    return pc.match_substring_regex(t, several(r"\d{2,5}", ["-", "to"], "sqft"))
 
 
 @fact(pa.float64())
@@ -244,7 +345,7 @@ def baths(raw: pa.Array, t: pa.Array) -> pa.Array:
 
 @fact(pa.float64())
 def area_sqft(raw: pa.Array, t: pa.Array) -> pa.Array:
-    n = _number(_read(t, r"\b(?P<x>[7-9]\d{2}|[1-9]\d{3}) ?sqft\b"))
+    n = _number(_read(t, rf"\b(?P<x>{figures(700, 9_999)}) ?sqft\b"))
     return pc.if_else(area_range(raw, t), pa.scalar(None, n.type), n)
 
 
@@ -262,22 +363,32 @@ def floor(raw: pa.Array, t: pa.Array) -> pa.Array:
 
 @fact(pa.string())
 def parking(raw: pa.Array, t: pa.Array) -> pa.Array:
-    """`no parking is included` says nothing of what may be paid for; other denials come before all else."""
-    t = _without(t, rf"\b{any_of(*PARKING_KEPT)}\b")
-    affirmed = _without(t, rf"\b{any_of(*PARKING_DENIED)}\b")
-    available = pc.or_(pc.match_substring_regex(t, any_of(*PARKING_TICKED) + r"\b"), _has(t, *PARKING_OFFERED))
-    return _first((_has(t, *PARKING_NONE), "Unavailable"), (_has(affirmed, *PARKING_INCLUDED), "Included"), (available, "Available"))
+    """`no parking is included` says nothing of what may be paid for (none that is dedicated does); other denials come before all else."""
+    stall = (STALLS, maybe(SPOTS))
+    t = _cut(t, rule(["no"], maybe(OF_STALLS, 2), *stall, maybe(LINKS), INCLUDED))
+    none = [rule(["no", "without"], maybe(OF_STALLS + DEDICATED, 2), STALLS), rule(*stall, maybe(LINKS), ["not available", "unavailable"])]
+    affirmed = _cut(t, rule(DENIALS, maybe(OF_STALLS + DEDICATED, 2), STALLS))
+    given = [rule(["free"], ["parking"]), rule(*stall, maybe(["and locker"]), maybe(LINKS), INCLUDED), rule(GIVES, maybe(ARTICLES + COUNTS), maybe(OF_STALLS, 2), STALLS)]
+    offered = [rule(COUNTS, maybe(OF_STALLS, 2), PORTS), rule(COUNTS, maybe(OF_STALLS, 2), ["parking"], SPOTS), rule(*stall, maybe(LINKS), OFFERED)]
+    available = pc.or_(pc.match_substring_regex(t, rf"✔ {rule(['parking'])}\b"), _follows(t, *offered))
+    return _first((_follows(t, *none), "Unavailable"), (_follows(affirmed, *given), "Included"), (available, "Available"))
 
 
 @fact(pa.bool_())
 def in_suite_laundry(raw: pa.Array, t: pa.Array) -> pa.Array:
     """True, or null: a denial isn't a fact about the building."""
-    return _first((pc.and_not(_has(t, *LAUNDRY_OWN), _has(t, *LAUNDRY_OWN_DENIED)), True))
+    machines = [w for w in WASHERS if "dryer" in w]
+    inside = (machines + INITIALS, WITHIN, maybe(ARTICLES), HOMES)
+    own = [rule(OWN, LAUNDRY + machines), rule(*inside), rule(HOMES, HAS + GIVES, maybe(ARTICLES), machines)]
+    lacks = denied(OWN, LAUNDRY + machines, states=["shared"]) + denied(*inside)
+    return _first((pc.and_not(_follows(t, *own), _follows(t, *lacks)), True))
 
 
 @fact(pa.bool_())
 def building_laundry(raw: pa.Array, t: pa.Array) -> pa.Array:
-    return _first((pc.and_not(_has(t, *LAUNDRY_SHARED), _has(t, *LAUNDRY_SHARED_DENIED)), True))
+    there = [rule(SHARED, LAUNDRY), rule(COINS), rule(LAUNDRY, ["in"], maybe(ARTICLES), BUILDINGS)]
+    lacks = denied(SHARED, LAUNDRY) + [rule(DENIALS, SHARED, WASHERS)]
+    return _first((pc.and_not(_follows(t, *there), _follows(t, *lacks)), True))
 
 
 @fact(pa.bool_())
