@@ -927,16 +927,16 @@ def research_accepted(spark, d):
 
 #: What each sentence of the stand-in results claims: section, scope, theme, polarity; the others are withheld or speak of nothing.
 _CLAIMED = {
-    "The tower was built in 1998 and has a large lobby.": [("building", "building", None, None)],
-    "Management has been responsive to repairs.": [("management", "building", "management responsiveness", "positive")],
-    "The property manager is unresponsive.": [("management", "building", "management responsiveness", "negative")],
-    "A grocery store is close to the entrance.": [("groceries", "nearby", "groceries", None)],
-    "The station is five minutes away.": [("services", "nearby", "transit", None)],
-    "No reported incidents near the park.": [("parks", "nearby", "parks", "positive")],
-    "Police reported a theft in the lobby.": [("safety", "building", "security", "negative")],
-    "The elevator was broken for weeks.": [("management", "building", "elevators", "negative")],
-    "The gym is excellent and clean": [("gyms", "nearby", "gym", "positive")],
-    "The elevators are reliable and": [("management", "building", "elevators", "positive")],
+    "The tower was built in 1998 and has a large lobby.": (5, "building", "building", None, None),
+    "Management has been responsive to repairs.": (0, "management", "building", "management responsiveness", "positive"),
+    "The property manager is unresponsive.": (5, "management", "building", "management responsiveness", "negative"),
+    "A grocery store is close to the entrance.": (4, "groceries", "nearby", "groceries", None),
+    "The station is five minutes away.": (4, "services", "nearby", "transit", None),
+    "No reported incidents near the park.": (0, "parks", "nearby", "parks", "positive"),
+    "Police reported a theft in the lobby.": (0, "safety", "building", "security", "negative"),
+    "The elevator was broken for weeks.": (0, "management", "building", "elevators", "negative"),
+    "The gym is excellent and clean": (3, "gyms", "nearby", "gym", "positive"),
+    "The elevators are reliable and": (0, "management", "building", "elevators", "positive"),
 }
 
 
@@ -945,12 +945,12 @@ def _claimed() -> str:
     rows = []
     for phrases in REPORTED:
         for i, p in enumerate(phrases):
-            for x in _CLAIMED.get(p, []):
-                values = ", ".join("NULL" if v is None else f"'{v}'" for v in x)
+            if p in _CLAIMED:
+                values = ", ".join("NULL" if v is None else repr(v) for v in _CLAIMED[p])
                 rows.append(f"SELECT {len(phrases)} AS m, {i} AS i, '{p}' AS sentence, {values}")
-    return f"""k(m, i, sentence, section, scope, theme, polarity) AS ({' UNION ALL '.join(rows)}),
+    return f"""k(m, i, sentence, priority, section, scope, theme, polarity) AS ({' UNION ALL '.join(rows)}),
 a AS (SELECT CAST(subject AS VARCHAR) AS subject, result_id, concat('C', row_number() OVER (PARTITION BY subject ORDER BY published_at DESC, title, url)) AS citation FROM results WHERE result_id % 9 <> 8),
-c AS (SELECT subject, citation, k.* EXCLUDE (m, i) FROM a JOIN k ON a.result_id % k.m = k.i)"""
+c AS (SELECT subject, citation, k.* EXCLUDE (i) FROM a JOIN k ON a.result_id % k.m = k.i)"""
 
 
 def _over_claims(sql: str) -> str:
@@ -990,9 +990,22 @@ def research_gaps(spark, d):
     return report.gaps(_claims(spark, d))
 
 
-@query("research_report", _over_claims("SELECT subject, count(*) AS claims FROM c GROUP BY subject"), "results")
+_NAMES = ["building", "management", "services", "groceries", "gyms", "parks", "safety"]
+
+
+@query(
+    "research_report",
+    _over_claims(f""", q AS (SELECT subject, section, theme FROM c WHERE theme IS NOT NULL AND polarity IS NOT NULL GROUP BY ALL
+  HAVING count(*) FILTER (polarity = 'positive') > 0 AND count(*) FILTER (polarity = 'negative') > 0 AND count(DISTINCT citation) > 1),
+l AS (SELECT c.*, concat('- ', sentence, ' [', citation, ']', CASE WHEN q.theme IS NOT NULL AND polarity IS NOT NULL THEN ' (conflicting)' ELSE '' END) AS line FROM c LEFT JOIN q ON q.subject = c.subject AND q.section = c.section AND q.theme = c.theme),
+p AS (SELECT subject, section, concat('## ', section, chr(10), string_agg(line, chr(10) ORDER BY citation, priority DESC, m)) AS text, count(*) AS n, count(DISTINCT citation) AS sources FROM l GROUP BY subject, section),
+g AS (SELECT s.subject, string_agg(concat(u.section, CASE WHEN sources IS NULL THEN ' (none)' ELSE ' (one source)' END), ', ' ORDER BY u.section) AS gaps
+  FROM (SELECT DISTINCT subject FROM c) s CROSS JOIN (SELECT unnest({_NAMES}) AS section) u LEFT JOIN p ON p.subject = s.subject AND p.section = u.section WHERE sources IS NULL OR sources = 1 GROUP BY s.subject)
+SELECT p.subject, concat_ws(chr(10), string_agg(text, chr(10) ORDER BY list_position({_NAMES}, section)), 'Gaps: ' || any_value(gaps)) AS report, CAST(sum(n) AS BIGINT) AS claims FROM p LEFT JOIN g USING (subject) GROUP BY p.subject""").replace("\n, q AS", ", q AS"),
+    "results",
+)
 def research_report(spark, d):
-    return report.build(_claims(spark, d)).select("subject", "claims")
+    return report.reports(report.accepted(_results(spark, d), "2024-01-15"))
 
 
 @query("row_json", "SELECT '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS json FROM nation")
