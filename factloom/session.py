@@ -9,7 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Of rows that a Python worker gets at once (Spark's own bound is 64 MB, for each of an executor's workers), and rows that a
 #: scan decodes at once (texts of that many rows are one array).
@@ -32,6 +32,18 @@ def per_session(f):
     return kept
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that spark.checkpoint.dir names, which all executors share: cuts the lineage, and survives lost
+    executors. Only where that is unset, and driver and executors are one process, a temporary folder of this machine is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="factloom-"))
+    return df.checkpoint()
+
+
 _PACKAGE = Path(__file__).resolve().parent
 
 
