@@ -443,22 +443,19 @@ def listing_text(columns: list[str]) -> Column:
 
 
 def with_facts(rows: DataFrame, text: Column, *names: str, into: str = "facts") -> DataFrame:
-    """rows and a struct of the named facts (all, marks too, if none is named) of a text, read once a row."""
+    """rows and a struct of the named facts (all, marks too, if none is named) of a text, read once a row: only the text goes through
+    Python, so other columns are pruned, and filters on them reach the scan."""
     chosen = {n: f for n, f in {**EXTRACTORS, **MARKS}.items() if not names or n in names}
     kind = "struct<" + ",".join(f"{n}:{KINDS[n][1]}" for n in chosen) + ">"
     fields = [pa.field(n, KINDS[n][0]) for n in chosen]
-    both = rows.withColumn("__text", text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` {kind}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(batch.num_columns - 1)
-            t = plain(raw)
-            found = [f(raw, t) for f in chosen.values()]
-            found = [x.cast(k.type) if isinstance(x, pa.Array) else pa.nulls(len(raw), k.type) for x, k in zip(found, fields, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.StructArray.from_arrays(found, fields=fields)], [*batch.schema.names[:-1], into])
-
-    return both.mapInArrow(run, schema)
+
+    def run(raw: pa.Array) -> pa.Array:
+        t = plain(raw)
+        found = [f(raw, t) for f in chosen.values()]
+        found = [x.cast(k.type) if isinstance(x, pa.Array) else pa.nulls(len(raw), k.type) for x, k in zip(found, fields, strict=True)]
+        return pa.StructArray.from_arrays(found, fields=fields)
+
+    return rows.withColumn(into, F.arrow_udf(run, kind)(text))
 
 
 def parking_reconciled(structured: Column, from_text: Column) -> Column:

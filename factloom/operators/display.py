@@ -116,9 +116,18 @@ def list_rows(classified: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
-def look_ahead(rows: DataFrame, *order: Column, page: int = 1, size: int = PAGE) -> DataFrame:
-    """A page of rows and one more, by which it is known that another page follows."""
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size + 1)
+def page_after(rows: DataFrame, *keys: str, last: tuple | None = None, size: int = PAGE) -> DataFrame:
+    """The page of rows (in the order of keys, none of them null) that follows the row whose keys are last, and one row more, by which it
+    is known that another page follows. A page costs the same whatever its number: nothing before it is sorted."""
+    if last is not None:
+        after = F.lit(False)
+        for i in range(len(keys)):
+            step = F.col(keys[i]) > F.lit(last[i])
+            for j in range(i):
+                step = (F.col(keys[j]) == F.lit(last[j])) & step
+            after = after | step
+        rows = rows.filter((F.col(keys[0]) >= F.lit(last[0])) & after)
+    return rows.orderBy(*keys).limit(size + 1)
 
 
 def detail(listing_id: object, listings: DataFrame, records: DataFrame, scores: DataFrame, flags: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .places import substring_area
 
 
 def with_signature(listings: DataFrame) -> DataFrame:
@@ -70,30 +71,31 @@ def candidates(listings: DataFrame, k: int = 2) -> DataFrame:
 
 
 def area_from_text(texts: DataFrame, keywords: DataFrame, text_col: str, id_col: str, city: str | None = None) -> DataFrame:
-    """The first key (by name) with a keyword in a text, as whole words; the city's own name is none. Keywords may have several
-    words: texts are joined by their runs of as many words as keywords have, so the theta join becomes an equi-join."""
+    """The first key (by name) with a keyword in a text, as whole words; the city's own name is none. A row for each text that has one.
+    Between spaces, runs of words are substrings: texts are passed once by an automaton of all keywords (see substring_area)."""
     key = lambda c: F.array_join(S.words(c), " ")
+    apart = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     k = keywords.select(key(F.col("keyword")).alias("said"), "key").filter(F.col("said") != "")
     if city is not None:
         k = k.filter(F.col("said") != key(F.lit(city)))
-    lengths = sorted(r.n for r in k.select(F.size(F.split("said", " ")).alias("n")).distinct().collect())  # as many rows as a keyword has words
-    w = texts.select(id_col, S.words(F.col(text_col)).alias("w"))
-    none = F.array().cast("array<string>")
-
-    def runs(n: int) -> Column:
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(none)
-
-    found = w.select(id_col, F.explode(F.array_distinct(F.concat(none, *map(runs, lengths)))).alias("said"))
-    return found.join(k, "said").groupBy(id_col).agg(F.min("key").alias("area_key"))
+    k = k.select("key", apart(F.col("said")).alias("keyword"), F.dense_rank().over(Window.orderBy("key")).alias("ordinal"))  # a city file's areas
+    t = texts.select(id_col, apart(key(F.col(text_col))).alias("text"))
+    return substring_area(t, k, "text", id_col).filter("area_key is not null").select(id_col, "area_key")
 
 
 def matching_addresses(listings: DataFrame) -> DataFrame:
     """a, b: a listing and another whose address matches its own. Of listings with the same key, and of keys of one street number
     that hold one another, the one of the least id stands for all: each other member is paired with it, and these with each
-    other, so a key of m listings gives m - 1 pairs. A listing without an address matches none."""
+    other, so a key of m listings gives m - 1 pairs. A listing without an address matches none.
+
+    A key that another holds begins with their number, so it is one of the few parts of that key that do: keys meet by an
+    equi-join on these, never by their number alone."""
     l = listings.select("listing_id", S.match_key(F.col("address")).alias("key")).filter("key <> ''")
     keys = l.groupBy("key").agg(F.min("listing_id").alias("least")).withColumn("number", F.element_at(F.split("key", " "), 1))
     members = l.join(keys, "key").filter("listing_id <> least").select(F.col("least").alias("a"), F.col("listing_id").alias("b"))
-    x, y = keys.alias("x"), keys.alias("y")
-    held = x.join(y, (F.col("x.number") == F.col("y.number")) & (F.col("x.key") != F.col("y.key")) & F.col("x.key").contains(F.col("y.key")))
-    return members.union(held.select(F.least("x.least", "y.least"), F.greatest("x.least", "y.least")))
+    begins = F.filter(F.sequence(F.lit(1), F.length("key")), lambda i: F.substr("key", i, F.length("number")) == F.col("number"))
+    parts = F.flatten(F.transform(begins, lambda i: F.transform(F.sequence(F.length("number"), F.length("key") - i + 1), lambda n: F.substr("key", i, n))))
+    held = keys.select("key", "number", "least", F.explode(F.array_distinct(parts)).alias("part")).filter("part <> key")
+    inner = keys.select(F.col("key").alias("part"), "number", F.col("least").alias("other"))
+    held = held.join(inner, ["part", "number"])
+    return members.union(held.select(F.least("least", "other"), F.greatest("least", "other")))

@@ -706,7 +706,11 @@ def list_rows(spark, d):
 
 @query("look_ahead", "SELECT listing_id, rent FROM listing WHERE rent IS NOT NULL ORDER BY rent, listing_id LIMIT 37 OFFSET 36", "listing")
 def look_ahead(spark, d):
-    return display.look_ahead(listing(spark, d).filter("rent IS NOT NULL").select("listing_id", "rent"), F.col("rent"), F.col("listing_id"), page=2)
+    """The second page, by the last keys of the first."""
+    rows = listing(spark, d).filter("rent IS NOT NULL").select("listing_id", "rent")
+    first = display.page_after(rows, "rent", "listing_id").collect()
+    last = first[display.PAGE - 1] if len(first) > display.PAGE else None
+    return display.page_after(rows, "rent", "listing_id", last=last and (last.rent, last.listing_id)) if last else rows.limit(0)
 
 
 @query("listing_detail", "SELECT l.listing_id, l.title, r.record_id, s.score, f.star FROM listing l JOIN (SELECT listing_id, max(record_id) AS record_id FROM records GROUP BY listing_id) r ON r.listing_id = l.listing_id LEFT JOIN scores s ON s.listing_id = l.listing_id AND s.profile_id = 1 LEFT JOIN (SELECT listing_id, max(CASE WHEN kind = 'star' THEN 1 ELSE 0 END) = 1 AS star FROM actions GROUP BY listing_id) f ON f.listing_id = l.listing_id WHERE l.listing_id = 7", "listing", "records", "scores", "actions")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import address, places, research
+from ..sources import listings
 from .queries import AS_OF, listing, query, table
 
 _KEYWORD = "CASE WHEN p_partkey % 7 = 0 THEN concat(100 + p_partkey % 50, ' w') ELSE upper(substr(p_name, 2 + CAST(p_partkey % 3 AS INT), 4 + CAST(p_partkey % 5 AS INT))) END"
@@ -139,3 +140,32 @@ def research_order(spark, d):
     r = view(spark, d, "results")
     key = F.struct((-F.unix_date("published_at")).alias("newest"), "source", "title", "result_id")
     return r.groupBy("subject").agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x.result_id.cast("string")), ",").alias("ordered"))
+
+
+# -- brokers' pages -------------------------------------------------------------------------------------------------------------
+
+_BROKER = """concat('<div id="listingPriceValue">$', 2000 + p_partkey % 900, '/Monthly</div>', CASE WHEN p_partkey % 6 <> 0 THEN concat('<h1 id="listingAddress"><span>', p_partkey % 90 + 1, ' BAY ST</span><span>Toronto</span></h1>') ELSE '' END,
+  '<div id="BedroomIcon"><span class="listingCardIconNum">', CASE p_partkey % 3 WHEN 0 THEN '2 + 1' WHEN 1 THEN '3' ELSE 'n/a' END, '</span></div><section id="PropertyDescription"><h2>Listing Description</h2><p>', p_name, ' &amp; more.</p></section>',
+  '<div id="propertyDetailsSectionVal_MaintenanceManagementCompany"><span>Company</span><span>', p_brand, '</span></div><img src="https://p.example/', p_partkey, '"><img src="data:x">')"""
+_CARDS = """concat('<article class="listingCard"><a class="listingDetailsLink" href="/real-estate/', p_partkey, '/x"><span class="listingCardPrice">$1,', 100 + p_partkey % 900, '/Monthly</span><span class="listingCardAddress">', p_name, ', Toronto</span><span class="listingCardIconNum">', CASE p_partkey % 2 WHEN 0 THEN '2 + 1' ELSE '3' END,
+  '</span><span class="listingCardIconNum">1</span><span class="listingCardIconNum">', 500 + p_partkey % 300, '+</span></a>', CASE p_partkey % 4 WHEN 0 THEN concat('<a data-value="', p_partkey, '_43.5_-79.25_1"></a>') WHEN 1 THEN '<a data-value="1_x_500_1"></a>' ELSE '' END, '</article><article class="listingCard"><a class="listingDetailsLink" href="/about">x</a></article>')"""
+
+
+@query(
+    "broker_pages",
+    """SELECT p_partkey AS page_id, concat(p_partkey % 90 + 1, ' BAY ST, Toronto') AS address, CAST(2000 + p_partkey % 900 AS DOUBLE) AS price, CASE p_partkey % 3 WHEN 0 THEN 2e0 WHEN 1 THEN 3e0 END AS beds, concat(p_name, ' & more.') AS description, p_brand AS management, concat('https://p.example/', p_partkey) AS photo
+FROM part WHERE p_partkey % 6 <> 0""",
+)
+def broker_pages(spark, d):
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_BROKER).alias("html"))
+    return listings.broker_details(pages).select("page_id", "address", "price", "beds", "description", "management", F.array_join("photos", ",").alias("photo"))
+
+
+@query(
+    "broker_cards",
+    """SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS id, CAST(1100 + p_partkey % 900 AS DOUBLE) AS price, concat(p_name, ', Toronto') AS address, CASE p_partkey % 2 WHEN 0 THEN 2e0 ELSE 3e0 END AS beds, 1e0 AS baths, CAST(500 + p_partkey % 300 AS DOUBLE) AS area, CASE p_partkey % 4 WHEN 0 THEN 43.5e0 END AS lat, CASE p_partkey % 4 WHEN 0 THEN -79.25e0 END AS lng FROM part""",
+)
+def broker_cards(spark, d):
+    """Icons' numbers and markers of a search page's cards; a card that leads to no listing is none."""
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_CARDS).alias("html"))
+    return listings.broker_cards(pages).select("page_id", "id", "price", "address", "beds", "baths", "area", "lat", "lng")

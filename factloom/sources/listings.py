@@ -101,6 +101,8 @@ def to_listings(records: DataFrame, kinds: dict[str, str], currency: str = "CAD"
 
 # -- detail pages -------------------------------------------------------------------------------------------------------
 
+CARD = "card"
+
 #: Of each kind of source, where its pages have what: an id (#), a class (.), a tag, or an attribute of one (@).
 PLACES = {
     CLASSIFIED: {"og_title": "meta[og:title]@content", "page_title": "title", "body": "#postingbody", "attributes": ".attrgroup", "price": ".price", "address": ".mapaddress", "posted": "time@datetime", "lat": "#map@data-latitude", "lng": "#map@data-longitude", "photos": "#thumbs a@href"},
@@ -108,16 +110,19 @@ PLACES = {
         "address": "#listingAddress", "price": "#listingPriceValue", "body": "#PropertyDescription", "features": "#propertyDetailsBuilding_BuildingFeatures", "beds": "#BedroomIcon .listingCardIconNum",
         "baths": "#BathroomIcon .listingCardIconNum", "area": "#SquareFootageIcon .listingCardIconNum", "management": "#propertyDetailsSectionVal_MaintenanceManagementCompany", "spaces": "#propertyDetailsSectionVal_TotalParkingSpaces", "photos": "img@src",
     },
+    CARD: {"url": ".listingDetailsLink@href", "price": ".listingCardPrice", "address": ".listingCardAddress", "icons": ".listingCardIconNum", "office": ".listingCardOfficeName", "photos": "img@src", "value": "a@data-value"},
 }
+#: Kinds of pages whose elements each are a line of their own.
+APART = {BROKER, CARD}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class _Picker(HTMLParser):
     """The texts, or the values of an attribute, of all elements at each place."""
 
-    def __init__(self, places: dict[str, str]):
+    def __init__(self, places: dict[str, str], apart: bool = False):
         super().__init__(convert_charrefs=True)
-        self.places = {}
+        self.places, self.apart = {}, apart
         for name, at in places.items():
             path, _, attribute = at.partition("@")
             self.places[name] = path.split(), attribute
@@ -136,6 +141,8 @@ class _Picker(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        if self.apart:
+            self.handle_data("\n")
         for name, (path, attribute) in self.places.items():
             if not self._is(path[-1], tag, a) or len(path) > 1 and not any(self._is(path[0], *e) for e in self.open):
                 continue
@@ -149,6 +156,8 @@ class _Picker(HTMLParser):
             self.open.append((tag, a))
 
     def handle_endtag(self, tag: str) -> None:
+        if self.apart:
+            self.handle_data("\n")
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is not None:
             del self.open[at:]
@@ -168,7 +177,7 @@ def picked(pages: DataFrame, kind: str, id_col: str, html_col: str = "html") ->
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in names}
             for html in batch.column(1).to_pylist():
-                p = _Picker(PLACES[kind])
+                p = _Picker(PLACES[kind], kind in APART)
                 p.feed(html or "")
                 p.close()
                 for n in names:
@@ -244,6 +253,29 @@ def broker_details(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     )
 
 
+def broker_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """A row for each card of a broker's search page that leads to a listing: id, url, price, address, beds, baths, area (its icons'
+    numbers, in this order), office, lat, lng (of its marker, if it has one), photos."""
+    card = F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(r"(?is)<article\b[^>]*\blistingCard\b[^>]*>(.*?)</article>"), F.lit(1)))
+    d = picked(pages.select(id_col, card.alias("html")), CARD, id_col)
+    number = lambda i: S.first_number(F.get("icons", F.lit(i)))
+    marker = F.split(_first("value"), "_")
+    at = lambda i, most: F.when(F.abs(F.get(marker, F.lit(i)).try_cast("double")) <= most, F.get(marker, F.lit(i)).try_cast("double"))
+    out = d.select(
+        id_col,
+        F.nullif(F.regexp_extract(_first("url"), r"/real-estate/(\d+)(/|$)", 1), F.lit("")).alias("id"),
+        _first("url").alias("url"),
+        S.first_number(_first("price")).alias("price"),
+        F.replace(_first("address"), F.lit("\n"), F.lit(", ")).alias("address"),
+        *(number(i).alias(c) for i, c in enumerate(("beds", "baths", "area"))),
+        F.replace(_first("office"), F.lit("\n"), F.lit(" ")).alias("office"),
+        at(1, 90).alias("lat"),
+        at(2, 180).alias("lng"),
+        photo_list(F.col("photos")).alias("photos"),
+    )
+    return out.filter("id IS NOT NULL")
+
+
 def detail_status(html: Column, canonical_url: Column, url: Column, host: Column, source_id: Column, truncated: Column) -> Column:
     """status and error of a detail page: removed, blocked, failed (another listing's), partial or complete."""
     outcome = parsers.outcome(html)

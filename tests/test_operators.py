@@ -13,7 +13,7 @@ from factloom.functions import text as X
 from factloom.model import PRECEDENCE, Range, Rubric, Scaled
 from factloom.session import ship
 from factloom.operators import browse, criteria, entity, health, rank, report, resolve
-from factloom.sources import parsers
+from factloom.sources import listings, parsers
 from factloom.streaming import incremental
 
 ROW = dict(listing_id=1, rent=2000.0, currency="CAD", period="month", beds=2.0, baths=1.0, area=700.0, area_unit="sqft", floor=3.0, area_key="harbour", furnishing=None, lat=43.65, lng=-79.38, photos=1, description="", title="t", source="a", address="1 Main St")
@@ -149,6 +149,43 @@ def test_addresses(spark):
     assert [value(spark, S.price_bucket(F.lit(p))) for p in (3e9, "1e30", "", "x", float("nan"), -30)] == [3_000_000_000, 0, 0, 0, 0, -25]
     x = rows(spark, {"address": ""}, {"address": None}, {"address": ""}, {"address": "12 W Main St"}, {"address": "12 West Main Street, Vancouver"}).select("listing_id", "address", "title", "rent")
     assert {(r.a, r.b) for r in entity.matching_addresses(x).collect()} == {(4, 5)}
+    texts = ["100 Main", "100 Mainland Ave", "100 Main St East", "2100 Main", "100 A 100 Main", "100", "7 Bay 100 Main"]
+    keys = [value(spark, S.match_key(F.lit(t))) for t in texts]
+    want = {(min(i, j), max(i, j)) for i, a in enumerate(keys) for j, b in enumerate(keys) if a != b and a in b and a.split()[0] == b.split()[0]}
+    some = spark.createDataFrame(list(enumerate(texts)), "listing_id int, address string")
+    assert {(r.a, r.b) for r in entity.matching_addresses(some).collect()} == want and len(want) > 3
+
+
+def test_pages_by_their_last_key(spark):
+    r = [(n, float(n % 4) if n % 5 else None) for n in range(30)]
+    df, got, last = spark.createDataFrame(r, "id int, rent double").filter("rent is not null"), [], None
+    while True:
+        page = browse_page(df, last)
+        got += page[:4]
+        if len(page) <= 4:
+            break
+        last = (page[3].rent, page[3].id)
+    assert [(x.rent, x.id) for x in got] == sorted((b, a) for a, b in r if b is not None)
+
+
+def browse_page(df, last):
+    from factloom.operators import display
+
+    return display.page_after(df, "rent", "id", last=last, size=4).collect()
+
+
+def test_broker_pages(spark):
+    html = """<div id="listingPriceValue">$3,150/Monthly</div><h1 id="listingAddress"><span>5 - 12 BAY ST</span><span>Toronto, Ontario</span></h1><div id="BedroomIcon"><span class="listingCardIconNum">2 + 1</span></div>
+    <div id="SquareFootageIcon"><span class="listingCardIconNum">700 - 799</span></div><section id="PropertyDescription"><h2>Listing Description</h2><p>Bright &amp; quiet.</p></section><section id="propertyDetailsBuilding_BuildingFeatures"><div>Features</div><div>Gym</div></section>
+    <div id="propertyDetailsSectionVal_MaintenanceManagementCompany"><span>Company</span><span>Acme Ltd</span></div><div id="propertyDetailsSectionVal_TotalParkingSpaces"><span>Total</span><span>1</span></div><img src="https://p/1"><img src="http://p/2"><img src="https://p/1">"""
+    df = spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id int, html string")
+    (r,) = listings.broker_details(df).collect()
+    assert (r.address, r.price, r.beds, r.baths, r.area) == ("5 - 12 BAY ST, Toronto, Ontario", 3150.0, 2.0, None, 700.0)
+    assert (r.description, r.management, r.parking_spaces, r.photos) == ("Bright & quiet. Features Gym", "Acme Ltd", 1.0, ["https://p/1"])
+    card = lambda link, extra="": f'<article class="listingCard x"><a class="blockLink listingDetailsLink" href="{link}"><span class="listingCardPrice">$2,600/Monthly</span><span class="listingCardAddress">1 A ST, Toronto</span><span class="listingCardIconNum">2 + 1</span><span class="listingCardIconNum">1</span><span class="listingCardIconNum">800+</span><img src="https://p/1"></a>{extra}</article>'
+    page = card("/real-estate/77/a", '<a data-value="77_43.5_-79.25_1"></a>') + card("/real-estate/78", '<a data-value="78_x_-790_1"></a>') + card("/other/1") + "<article>no</article>"
+    got = listings.broker_cards(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")).collect()
+    assert [(x.id, x.price, x.beds, x.baths, x.area, x.lat, x.lng, x.photos) for x in got] == [("77", 2600.0, 2.0, 1.0, 800.0, 43.5, -79.25, ["https://p/1"]), ("78", 2600.0, 2.0, 1.0, 800.0, None, None, ["https://p/1"])]
 
 
 def test_landed_rows_survive_odd_values(spark):
@@ -330,14 +367,22 @@ def test_every_fact_is_tried():
     assert set(TEXTS) == set(X.EXTRACTORS) | set(X.MARKS)
 
 
-def test_facts_come_from_all_texts_once(spark):
-    """Title, address and notes too; the plan reads them in one Arrow step, which no filter above copies."""
+def listing_of(spark, sf):
+    from factloom.plans.queries import listing
+
+    return listing(spark, sf)
+
+
+def test_facts_come_from_all_texts_once(spark, sf):
+    """Title, address and notes too; the plan reads them in one Arrow step; filters on other columns reach the scan."""
     df = rows(spark, {"title": "Second floor", "description": None, "address": "1 Main St. No pets"}).withColumn("notes", F.lit("heat included"))
     out = criteria.with_facts(df)
     r = out.first().facts
     assert (r.floor, r.pets, r.utilities, r.parking) == (2, "no_pets", "heat", None)
     plan = rank.ranked(rank.score(df), 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1
+    assert plan.count("ArrowEvalPython") == 1
+    one = rank.score(listing_of(spark, sf)).filter("listing_id = 7").select("listing_id", "score")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(p_partkey,7)" in one and one.count("ArrowEvalPython") == 1
 
 
 def test_phrases():
