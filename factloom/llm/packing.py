@@ -3,9 +3,10 @@
 Documents are dealt into shards by what they say: each goes to the nearest of the centres of a bounded sample (cosine of
 hashed, idf-weighted terms), small neighbouring groups share a shard, and large ones are cut by the rarest-biased minhash
 of their terms, so that near copies stay together; only equal keys beyond a shard's size are cut by a hash, and equal rows
-among them are counted off. A shard's size is what its documents weigh: their tokens, and OWN_WEIGHT for each. A shard is packed alone: its BM25 index over token ids, with document frequencies and mean length of all
-documents, returns, for the document that begins a window (the seed), the neighbours that aren't used yet, best first by
-all terms of the seed, and these fill the window greedily. A document that doesn't fit is cut, and its rest is the seed of
+among them are counted off. A shard's size is what its documents weigh: their tokens, and OWN_WEIGHT for each. A shard is
+packed alone: its inverted index of token ids, with BM25 weights by document frequencies and mean length of all documents,
+returns, for the document that begins a window (the seed), the neighbours that aren't used yet, best first by all terms
+of the seed, and these fill the window greedily. A document that doesn't fit is cut, and its rest is the seed of
 the next window; where no neighbour shares a term, the next unused document goes in. What is left at a shard's end becomes
 sequences of powers of two, so no sequence needs padding.
 
@@ -96,35 +97,56 @@ def _terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return term.astype(np.int64), np.repeat(np.arange(len(docs)), n), times.astype(np.float32), np.concatenate([[0], np.cumsum(n)])
 
 
+#: A term that one in so many of a shard's documents has keeps its list in full: a weight for each document, 0 where it isn't.
+FULL_LIST = 8
+
+
 class Index:
-    """BM25 over the token ids of some documents, with the statistics of all (else of these)."""
+    """An inverted index of some documents: for each token id the list of the documents that have it, with their BM25 weights, by the
+    statistics of all documents (else of these). Lists of rare terms are postings, those of frequent ones are kept in full."""
 
     def __init__(self, docs: list[np.ndarray], whole: Statistics | None = None):
-        self.docs = len(docs)
         size = np.array([len(x) for x in docs])
-        self.term, doc, times, self.first = _terms(docs)
-        idf, mean = (whole.idf, whole.mean) if whole else (_idf(self.docs, np.bincount(self.term)), size.mean())
-        self.weight = idf[self.term] * times * (K1 + 1) / (times + (K1 * (1 - B + B * size / mean)).astype(np.float32)[doc])
-        self.wanted = np.zeros(int(self.term.max()) + 1, np.float32)
-        self.live = np.arange(self.docs), self.term, self.weight, self.first[:-1]
+        term, doc, times, self.first = _terms(docs)
+        idf, mean = (whole.idf, whole.mean) if whole else (_idf(len(docs), np.bincount(term)), size.mean())
+        weight = idf[term] * times * (K1 + 1) / (times + (K1 * (1 - B + B * size / mean)).astype(np.float32)[doc])
+        _, self.own, held = np.unique(term, return_inverse=True, return_counts=True)  # each document's terms, by the places of their lists
+        frequent = held * FULL_LIST > len(docs)
+        self.full = np.cumsum(frequent) - 1
+        self.full[~frequent] = -1
+        often = frequent[self.own]
+        self.lists = np.zeros((int(frequent.sum()), len(docs)), np.float32)
+        self.lists[self.full[self.own[often]], doc[often]] = weight[often]
+        by_term = np.argsort(self.own[~often], kind="stable")
+        self.posting, self.weight = doc[~often][by_term], weight[~often][by_term]
+        self.begin = np.searchsorted(self.own[~often][by_term], np.arange(len(held) + 1))
+        self.ids = np.arange(len(docs))
+
+    def _drop(self, unused: np.ndarray) -> None:
+        """Take the used documents out of all lists."""
+        stay = unused[self.ids]
+        place = np.cumsum(stay) - 1
+        self.ids, self.lists = self.ids[stay], self.lists[:, stay]
+        left = stay[self.posting]
+        self.begin = np.concatenate([[0], np.cumsum(left)])[self.begin]
+        self.posting, self.weight = place[self.posting[left]], self.weight[left]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, the best first."""
-        if 2 * np.count_nonzero(unused) < len(self.live[0]):  # those that are used aren't read any more
-            ids, term, weight, first = self.live
-            n = np.diff(np.append(first, len(term)))
-            stay = unused[ids]
-            entries = np.repeat(stay, n)
-            self.live = ids[stay], term[entries], weight[entries], np.concatenate([[0], np.cumsum(n[stay])])[:-1].astype(np.int64)
-        ids, term, weight, first = self.live
-        if not len(ids):
-            return ids
-        own = self.term[self.first[seed] : self.first[seed + 1]]
-        self.wanted[own] = 1
-        score = np.add.reduceat(weight * self.wanted[term], first)
-        self.wanted[own] = 0
-        found = np.flatnonzero((score > 0) & unused[ids])
-        return ids[found[np.argsort(-score[found], kind="stable")]]
+        """Unused documents that share a term with the seed, the best first: only the lists of the seed's terms are read. Used
+        documents stay in the lists until half of them are used."""
+        if 2 * np.count_nonzero(unused) < len(self.ids):
+            self._drop(unused)
+        if not len(self.ids):
+            return self.ids
+        terms = self.own[self.first[seed] : self.first[seed + 1]]
+        full = self.full[terms]
+        score = self.lists[full[full >= 0]].sum(0)
+        terms = terms[full < 0]
+        n = self.begin[terms + 1] - self.begin[terms]
+        at = np.repeat(self.begin[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = score + np.bincount(self.posting[at], self.weight[at], len(self.ids))
+        found = np.flatnonzero((score > 0) & unused[self.ids])
+        return self.ids[found[np.argsort(-score[found], kind="stable")]]
 
 
 def order(docs: list[np.ndarray], window: int = WINDOW, whole: Statistics | None = None) -> list[int]:
