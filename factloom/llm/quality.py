@@ -1,10 +1,17 @@
 """Quality rules with thresholds that come from the data: for each language and source, mergeable quantile sketches
 (Spark's Greenwald-Khanna summaries) of every ratio give fences, and a join filters each document by its group's.
 
-A ratio's fence is q75 + FENCE * max(q75 - q25, floor): it moves with what is usual in its group. A group's quartiles are
-shrunk towards its language's, by n / (n + SHRINK) of its n documents, and these towards those of all documents: the less
-a group has to say, the more it takes from the others, by one rule at every size. Sketches are built from documents that
-pass the fixed base rules.
+A ratio's fence lies FENCE spreads beyond what is usual in its group, and nothing in it is a fixed cutoff:
+
+* Ratios that are 0 in ordinary text (symbols, repeated lines, repeated words) spread from their median to the quantile LEVEL,
+  which leaves an eighth of a group to be junk before the fence moves; the mean length of words spreads between quartiles.
+* To a spread belongs what a single event makes of the group's typical text: one symbol in as many words as its median text
+  has, one line in as many lines, four words said twice; for the mean length, its error in that many words. So where
+  nobody uses symbols the fence is tight for long texts and wide for short ones, and where many do it is theirs.
+
+A group's quantiles are shrunk towards its language's, by n / (n + SHRINK) of its n documents, and these towards those of
+all documents: the less a group has to say, the more it takes from the others, by one rule at every size. Sketches are
+built from documents that pass the fixed base rules.
 
 Edge cases: null text counts as empty and fails the base rules; null language or source is a group of its own;
 repeated rows are judged each, and count each; a value equal to its fence passes; an empty table gives an empty result; a
@@ -28,8 +35,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SHRINK = 100.0
 FENCE = 6.0
 ACCURACY = 2000
-#: Each ratio with the least spread that its fence assumes, so that a group without any spread rejects no near values.
-RATIOS = {"symbol_ratio": 0.01, "dup_line_ratio": 0.05, "repeat_ratio": 0.04, "mean_word": 0.5}
+LEVEL = 0.875
+#: Each ratio with the quantiles between which it spreads.
+RATIOS = {"symbol_ratio": (0.5, LEVEL), "dup_line_ratio": (0.5, LEVEL), "repeat_ratio": (0.5, LEVEL), "mean_word": (0.25, 0.75)}
+#: Words that are repeated where four of them are said twice.
+SAID_TWICE = 8
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
@@ -90,21 +100,30 @@ def with_ratios(counted: DataFrame) -> DataFrame:
     )
 
 
+def event_of(ratio: str, n_words: Column, n_lines: Column) -> Column:
+    """What one event makes of a ratio in a text of so many words and lines."""
+    words, lines = (F.greatest(x, F.lit(1)).cast("double") for x in (n_words, n_lines))
+    return {"symbol_ratio": 1 / words, "dup_line_ratio": 1 / lines, "repeat_ratio": SAID_TWICE / words, "mean_word": 1 / F.sqrt(words)}[ratio]
+
+
 def thresholds(rated: DataFrame) -> DataFrame:
     """lang, source and the fences. A task sends a sketch for each group, never the group's rows."""
+    median = {c: F.percentile_approx(c, 0.5, ACCURACY) for c in ("n_words", "n_lines")}
 
     def sketched(*by: str) -> DataFrame:
-        quarters = [F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(c) for c in RATIOS]
-        return rated.filter("not base_failed").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quarters)
+        quantiles = [F.percentile_approx(c, list(levels), ACCURACY).alias(c) for c, levels in RATIOS.items()]
+        g = rated.filter("not base_failed").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quantiles, *(m.alias(c) for c, m in median.items()))
+        own = (F.concat(F.col(c), F.array(event_of(c, F.col("n_words"), F.col("n_lines")))).alias(c) for c in RATIOS)
+        return g.select(*by, "n", *own)  # of each ratio both quantiles and the event
 
     def shrunk(own: Column, up: Column) -> Column:
         return F.zip_with(own, up, lambda x, y: (F.col("n") * x + SHRINK * y) / (F.col("n") + SHRINK))
 
     whole = sketched().first()
-    langs = sketched("lang").select(F.col("lang").alias("of"), *(shrunk(F.col(c), F.array(*map(F.lit, whole[c] or (0.0, 0.0)))).alias(f"up_{c}") for c in RATIOS))
+    langs = sketched("lang").select(F.col("lang").alias("of"), *(shrunk(F.col(c), F.array(*map(F.lit, whole[c] or (0.0, 0.0, 1.0)))).alias(f"up_{c}") for c in RATIOS))
     groups = sketched("lang", "source")
     groups = groups.join(langs, groups["lang"].eqNullSafe(langs["of"])).select("lang", "source", *(shrunk(F.col(c), F.col(f"up_{c}")).alias(c) for c in RATIOS))
-    beyond = {c: FENCE * F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least)) for c, least in RATIOS.items()}
+    beyond = {c: FENCE * (F.col(c)[1] - F.col(c)[0] + F.col(c)[2]) for c in RATIOS}
     return groups.select("lang", "source", *((F.col(c)[1] + beyond[c]).alias(f"max_{c}") for c in RATIOS), (F.col("mean_word")[0] - beyond["mean_word"]).alias("min_mean_word"))
 
 

@@ -904,13 +904,25 @@ def test_quality_verdicts(spark, docs, awkward):
         if not kept:
             assert not got[r.doc_id].kept
             continue
-        for c, least in quality.RATIOS.items():
+        for c, levels in quality.RATIOS.items():
             q = None
             for g in (ok, lang, group):
-                own = np.quantile(g[c], [0.25, 0.75], method="inverted_cdf")
+                n, lines = (max(1, np.quantile(g[x], 0.5, method="inverted_cdf")) for x in ("n_words", "n_lines"))
+                event = {"symbol_ratio": 1 / n, "dup_line_ratio": 1 / lines, "repeat_ratio": 8 / n, "mean_word": n**-0.5}[c]
+                own = np.append(np.quantile(g[c], levels, method="inverted_cdf"), event)
                 q = own if q is None else (len(g) * own + quality.SHRINK * q) / (len(g) + quality.SHRINK)
-            a, b = q
-            kept = kept and getattr(r, c) <= b + quality.FENCE * max(b - a, least)
-            kept = kept and (c != "mean_word" or r.mean_word >= a - quality.FENCE * max(b - a, least))
+            a, b, event = q
+            kept = kept and getattr(r, c) <= b + quality.FENCE * (b - a + event)
+            kept = kept and (c != "mean_word" or r.mean_word >= a - quality.FENCE * (b - a + event))
         assert bool(got[r.doc_id].kept) == bool(kept)
     assert quality.judge(awkward).count() == len(AWKWARD) and quality.judge(empty(awkward)).count() == 0
+
+
+def test_quality_fences_are_their_groups(spark, docs):
+    """They differ in every ratio; what is junk in one source is usual in another, and stays there."""
+    fences = quality.thresholds(quality.with_ratios(quality.measures(docs, ["doc_id", "lang", "source"]))).toPandas()
+    assert all(fences[f"max_{c}"].nunique() > len(fences) // 2 for c in quality.RATIOS)
+    text = lambda i, marks: " ".join(f"word{i}x{k}" + ("# $" if k % 3 == 0 and marks else "") for k in range(90))
+    rows = [(i, text(i, i >= 400 or i % 40 == 0), "en", "plain" if i < 400 else "tables") for i in range(800)]
+    got = quality.judge(ship(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(0, 400, 40))
