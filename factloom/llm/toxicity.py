@@ -8,7 +8,7 @@ gradient is turned round, which keeps the model from learning the confirmed text
 
 Training takes a bounded sample (MOST_POSITIVE and MOST_UNLABELLED different rows, those of the least hash of doc_id and
 text), whose texts are read whole. Which of their features a weight may be given to is counted in Spark; the driver gets
-these (MOST_FEATURES at most, the most telling first) and, for each text of the sample, which it has. Every text is scored,
+these, as many as the sample's toxic texts have in common, and, for each text of the sample, which it has. Every text is scored,
 whole. Language, source, doc_id and labels are never inputs of a score.
 
 Edge cases: null and empty texts have no words and get the model's bias as their score; without a confirmed toxic text
@@ -32,7 +32,7 @@ from .words import MARKS, leads, words
 
 #: The leading bytes of words that are features besides the words themselves.
 STEMS = (4, 5, 6)
-MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3000, 8000, 1 << 17
+MOST_POSITIVE, MOST_UNLABELLED = 3000, 8000
 FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, SPARSE, BETA = 300, 0.1, 3e-4, 0.0
 #: A feature has to be in so many of the toxic texts, and in their share this many times as often as in unlabelled text's.
@@ -171,8 +171,7 @@ def vocabulary_of(sample: DataFrame) -> Vocabulary:
     size = dict(sample.groupBy("toxic").count().collect())
     counted = sample.mapInArrow(run, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     telling = counted.filter((F.col("p") >= LEAST_TEXTS) & (F.col("p") * size.get(0, 0) > LEAST_LIFT * F.col("u") * size.get(1, 0)))
-    lift = F.col("p") / (F.col("u") + 1)
-    return Vocabulary(telling.orderBy(F.desc(lift), "f").limit(MOST_FEATURES).select("f").toArrow().column("f").to_numpy().view(np.uint64))
+    return Vocabulary(telling.select("f").toArrow().column("f").to_numpy().view(np.uint64))
 
 
 def _vectors(sample: DataFrame, vocabulary: Vocabulary) -> tuple[list[np.ndarray], list[np.ndarray]]:
