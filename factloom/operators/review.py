@@ -62,6 +62,27 @@ def corrections(log: DataFrame) -> DataFrame:
 # -- revisions of extractions -------------------------------------------------------------------------------------------
 
 
+def previews(extracted: DataFrame, current: DataFrame, log: DataFrame, pending: DataFrame, fields: list[str], rules: str) -> DataFrame:
+    """What reading the saved records again would change, before anything is changed.
+
+    extracted: listing_id, record_id and a column for each of fields, as today's rules read them. current: listing_id, field, value
+    (text). log: corrections (see corrections); they stand over what is read. pending: listing_id, hash of previews that
+    nobody has applied. rules: their revision.
+    listing_id, changes (field, before, after, by field), hash (of the record, the rules and the changes) and outcome: unchanged,
+    repeat (the same is pending) or preview. A listing's fields are rows of one aggregation; nothing is read twice."""
+    read = extracted.select("listing_id", "record_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x"))
+    stands = corrections(log).select("listing_id", "field", F.col("parsed").alias("corrected"))
+    read = read.select("listing_id", "record_id", "x.*").join(stands, ["listing_id", "field"], "left")
+    now = current.filter(F.col("field").isin(fields)).select("listing_id", "field", F.col("value").alias("before"))
+    both = read.select("listing_id", "record_id", "field", F.coalesce("corrected", "value").alias("after")).join(now, ["listing_id", "field"], "left")
+    change = F.when(~F.col("before").eqNullSafe(F.col("after")), F.struct("field", "before", "after"))
+    g = both.groupBy("listing_id").agg(F.max("record_id").alias("record_id"), F.array_sort(F.collect_list(change)).alias("changes"))
+    g = g.withColumn("hash", F.sha2(F.to_json(F.struct("record_id", F.lit(rules).alias("rules"), "changes"), {"ignoreNullFields": "false"}), 256))
+    same = pending.select("listing_id", "hash", F.lit(True).alias("same")).distinct()
+    outcome = F.when(F.size("changes") == 0, "unchanged").when(F.col("same"), "repeat").otherwise("preview")
+    return g.join(same, ["listing_id", "hash"], "left").select("listing_id", "changes", "hash", outcome.alias("outcome"))
+
+
 def applied_revisions(revisions: DataFrame, requests: DataFrame) -> DataFrame:
     """revisions: listing_id, revision, hash, state (preview, applied, superseded). requests: listing_id, revision, hash, seq.
     outcome for each request, compared with what it was made for: missing, stale (the hash has changed), superseded, repeated

@@ -1022,4 +1022,4 @@ def event_windows(spark, d):
     return incremental.windowed_counts(table(spark, d, "events")).select("event_type", F.col("w.start").alias("hour"), "n")
 
 
-from . import queries_found, queries_records  # noqa: E402, F401  (their queries register here)
+from . import queries_found, queries_pages, queries_records  # noqa: E402, F401  (their queries register here)
