@@ -63,6 +63,10 @@ RULES = [
 ]
 
 
+#: Texts of which so few are left are walked one by one.
+FEW = 16
+
+
 class Automaton:
     """All globs as one multiword Shift-And automaton."""
 
@@ -82,6 +86,7 @@ class Automaton:
                     states.append((raw[i : i + 1], 0))
                     i += 1
             self.last.append(len(states) - 1)
+        self.whole: list[list[int]] | None = None
         self.width = max(1, -(-len(states) // 64))
         self.step = np.zeros((256, self.width), np.uint64)
         self.stay = np.zeros((256, self.width), np.uint64)
@@ -100,6 +105,16 @@ class Automaton:
                 if loop == 1:
                     self.stay[_SLASH, word] &= ~bit
 
+    def _alone(self, state: np.ndarray, text: bytes) -> np.ndarray:
+        """The state after text, from this one on."""
+        if self.whole is None:
+            self.whole = [[int.from_bytes(row.astype("<u8").tobytes(), "little") for row in masks] for masks in (self.step, self.stay)]
+        step, stay = self.whole
+        now = int.from_bytes(state.astype("<u8").tobytes(), "little")
+        for b in text:
+            now = now << 1 & step[b] | now & stay[b]
+        return np.frombuffer(now.to_bytes(8 * self.width, "little"), "<u8")
+
     def match(self, texts: list[bytes]) -> np.ndarray:
         """Which text matches which glob: booleans, a row for each text."""
         out = np.zeros((len(texts), len(self.last)), bool)
@@ -112,6 +127,10 @@ class Automaton:
         top, one = np.uint64(63), np.uint64(1)
         live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         for t, n in enumerate(live.tolist()):  # the texts that have a byte t are the first n
+            if n < FEW:  # the words of a state as one integer: what numpy costs a step, a few texts don't earn
+                for k in range(n):
+                    state[k] = self._alone(state[k], raw[at[k] + t : at[k] + size[k]].tobytes())
+                break
             now = state[:n]
             byte = raw[at[:n] + t]
             moved = now << one

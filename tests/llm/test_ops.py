@@ -222,6 +222,15 @@ def test_automaton(globs, texts):
     assert got.tolist() == [[bool(regex(g).fullmatch(t)) for g in globs] for t in texts]
 
 
+def test_one_very_long_url():
+    """A million bytes, alone and among short ones."""
+    globs, began = [r.glob for r in url_filters.RULES], time.time()
+    machine, long = url_filters.Automaton(globs), b".x.net/" + b"a/b" * 330_000 + b".exe"
+    assert machine.match([long])[0].tolist() == [g == "**.exe" for g in globs] and time.time() - began < 5
+    some = [b".example.org/es/x", long, b"", b".x.com/de/1", long[:-1], *(f".h{i}.com/{'p' * i}.zip".encode() for i in range(40))]
+    assert (machine.match(some) == np.concatenate([machine.match([x]) for x in some])).all()
+
+
 def test_url_cases(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/en/1x?y", "x://example.org", "x://com/fr/", "x://notexample.org/es/", "x://a.net/p/cgi-bin/x", "x://e.com/de/?q", "x://É.com/fr/a", "x://h.net/" + "a" * 5000 + ".zip", "a://b.org://c/"]
     df = ship(spark).createDataFrame([(i, u, 1, "x") for i, u in enumerate(urls)] * 2, "page_id long, url string, host int, rule string")
@@ -926,3 +935,13 @@ def test_quality_fences_are_their_groups(spark, docs):
     rows = [(i, text(i, i >= 400 or i % 40 == 0), "en", "plain" if i < 400 else "tables") for i in range(800)]
     got = quality.judge(ship(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert {r.doc_id for r in got if not r.kept} == set(range(0, 400, 40))
+
+
+def test_lists_of_links_in_an_article():
+    """Sources are content; menus aren't: they have an element, a role or a class of their own, or come first."""
+    text = "<p>Some text, which is long enough, and has marks. It goes on, and on.</p>"
+    links = lambda *x: "<ul>" + "".join(f"<li><a href=#>{t}</a></li>" for t in x) + "</ul>"
+    ex = html_text.extract
+    assert ex(f"<article><h1>Links</h1>{links('First thing', 'Second thing')}</article>") == "Links\nFirst thing\nSecond thing"
+    assert ex(f"<article><h1>T</h1>{text}<h2>Sources</h2>{links('One', 'Two')}</article>{links('About')}").endswith("on.\nSources\nOne\nTwo")
+    assert ex(f"<article>{links('Home')}<h1>T</h1>{text}<nav>{links('Next')}</nav><div class=related>{links('More')}</div></article>") == "T\nSome text, which is long enough, and has marks. It goes on, and on."
