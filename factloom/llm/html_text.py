@@ -10,8 +10,8 @@ a threshold from the page's own spread are content, in an article element as out
 A block is returned if text of it is on a content path. Of the others, paragraphs, list items, cells, quotes, captions and
 code are returned where they stand beside content (in its section, or between blocks of it), headings where a returned
 block follows before the next heading of their rank, and nothing else: text that stands straight in a container goes, and
-so do blocks of links alone, unless theirs is a content path in a section with content, or they follow content within the
-article element (lists of sources, of downloads: a menu has its own element, role or class, or comes first).
+so do blocks of links alone, unless they are in a section with content, and theirs is a content path or they follow content
+within the article element (lists of sources, of downloads: a menu has a section, role or class of its own, or comes first).
 
 What never counts: scripts, styles and hidden elements; nav, footer, aside and dialog elements, the same roles, and headers
 outside of an article. A form doesn't count, and a class or id speaks against its element, unless under LEAST_LEFT of the
@@ -323,7 +323,7 @@ def _chosen(page: Page, blocks: list[list[int]], content: list[bool], path: list
         if kept[k] or heading[e] or page.tag[own] not in _PARTS or believed[path[e]] <= EVIDENCE:
             continue
         if all(page.link[i] for i in b if page.text[i].strip()):
-            kept[k] = bool(good[path[own]]) and section[e] in holders or k > first and in_article[e]
+            kept[k] = section[e] in holders and (bool(good[path[own]]) or k > first and in_article[e])
         else:
             kept[k] = first < k < last or beside[e]
     after = [False] * 8  # by rank: whether a block is returned before the next heading of it, or of a higher one
