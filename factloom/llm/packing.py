@@ -47,6 +47,8 @@ SAMPLE, MOST_CENTRES, WIDTH, ROUNDS, KEYS = 8192, 2048, 256, 5, 64
 END, SPECIAL = 1, "<|endoftext|>"
 #: Files of the vocabulary, by their names in public_tokenizers: for the tokenizers library, and the same as ranks.
 VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+#: Characters from which a text's ids don't become a list first, which is faster, but takes ten times their memory.
+LONG = 1 << 20
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -66,7 +68,9 @@ def _encoder(names: tuple[str, str]):
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
             return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=())
+        if len(text) > LONG:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(fast.encode_ordinary(text), np.uint32)
 
     encode.size = max(fast.max_token_value, slow().get_vocab_size() - 1, END) + 1
     return encode
@@ -184,20 +188,10 @@ def pieces(lengths: list[int], window: int = WINDOW) -> Iterator[tuple[int, int,
                 room = bounds[seq]
 
 
-def statistics(coded: DataFrame, size: int, width: str) -> Statistics:
-    """One aggregation over all documents; a task sends a count for each token of the vocabulary at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size + 2, np.int64)  # at the end: documents, tokens
-        for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                doc = np.frombuffer(x, width)
-                held[np.unique(doc)] += 1
-                held[size:] += 1, len(doc)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
-
-    found = coded.select("ids").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+def statistics(coded: DataFrame, size: int) -> Statistics:
+    """From the counts that each task has written (see shards()): one for each token of the vocabulary at most."""
+    one = coded.filter("held is not null").select(F.explode(F.arrays_zip("at", "held")).alias("x")).select("x.at", "x.held")
+    found = one.groupBy("at").agg(F.sum("held").alias("n")).toArrow()
     held = np.zeros(size + 2, np.int64)
     held[found.column("at").to_numpy()] = found.column("n").to_numpy()
     docs, total = held[size:].tolist()
@@ -259,19 +253,32 @@ def deal(groups: list[tuple[int, int, int]], shard_weight: int) -> list[tuple[in
 
 
 def shards(docs: DataFrame, shard_weight: int, names: tuple[str, str]) -> tuple[DataFrame, int, Statistics, str]:
-    """doc_id, ids, shard, key; the number of shards; the statistics of all documents; the type of the ids. Texts are encoded once, to a table."""
+    """doc_id, ids, shard, key; the number of shards; the statistics of all documents; the type of the ids. Texts are encoded once, to a table, which
+    gets the counts of each task too."""
     spark = docs.sparkSession
     size = _encoder(names).size
     width = "<u2" if size <= 1 << 16 else "<u4"
     each = np.dtype(width).itemsize
 
+    names_of = ["doc_id", "ids", "at", "held"]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size + 2, np.int64)  # documents with each token; at the end: documents, tokens
+        kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
         for batch in common.pieces(batches, "text"):
-            ids = [tokens(x, names).astype(width).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = [tokens(x, names).astype(width) for x in batch.column("text").to_pylist()]
+            for x in ids:
+                held[np.unique(x)] += 1
+                held[size:] += 1, len(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), *(pa.nulls(len(ids), k) for k in kinds)], names_of)
+        at = np.flatnonzero(held)
+        counts = [pa.array([x.tolist()], k) for x, k in zip((at, held[at]), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *counts], names_of)
 
-    coded = common.materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(encode, "doc_id long, ids binary"))
-    whole = statistics(coded, size, width)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    written = common.materialize(texts.mapInArrow(encode, "doc_id long, ids binary, at array<int>, held array<long>"))
+    whole = statistics(written, size)
+    coded = written.filter("ids is not null").select("doc_id", "ids")
     marked = coded.select("*", F.xxhash64("doc_id", "ids").alias("mark"))
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +308,7 @@ def shards(docs: DataFrame, shard_weight: int, names: tuple[str, str]) -> tuple[
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "ids")), pa.array(nearest(v, at), pa.int32()), pa.array(key, pa.int32()), pa.array(turn, pa.int64()), weight], ["doc_id", "ids", "centre", "key", "turn", "weight"])
 
     placed = common.materialize(marked.mapInArrow(place, "doc_id long, ids binary, centre int, key int, turn long, weight long"))
-    common.release(spark, [coded.materialized])
+    common.release(spark, [written.materialized])
     groups = sorted((r.centre, r.key, r.n) for r in placed.groupBy("centre", "key").agg(F.sum("weight").alias("n")).collect())
     dealt = deal(groups, shard_weight)
     plan = spark.createDataFrame(dealt, "centre int, key int, first long, spread long")
