@@ -1,13 +1,13 @@
-"""Jobs that workers claim for a time: a keyed state with timers, and the same fold over a table.
+"""Jobs that workers claim for a time: a keyed state with timers, the same fold over a table, and what a worker does.
 
-A job is queued, claimed by a worker (who holds a token until its lease is over), and done, failed or cancelled. A lease that
-is over queues the job again, or fails it when ATTEMPTS claims are used up; so does a failure. Who reports with another
-token than the one that holds the job is not heard."""
+A job is queued, claimed by a worker (who holds a token until its lease is over), and done, failed, refused or cancelled. A lease
+that is over queues the job again, or fails it when ATTEMPTS claims are used up; so does a failure; what is refused has failed
+for good. Who reports with another token than the one that holds the job is not heard."""
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
@@ -47,9 +47,9 @@ class Job:
             return Job("cancelled", self.attempts)
         if self.state == "queued":
             return Job("running", self.attempts + 1, token, at + lease) if kind == "claimed" else self
-        if token != self.token or kind not in ("done", "failed"):
+        if token != self.token or kind not in ("done", "failed", "refused"):
             return self
-        return Job("succeeded", self.attempts) if kind == "done" else self.again()
+        return Job("succeeded" if kind == "done" else "failed", self.attempts) if kind != "failed" else self.again()
 
 
 def _ms(at: datetime.datetime) -> int:
@@ -110,7 +110,7 @@ def rocksdb(spark: SparkSession):
 
 def transitions(events: DataFrame, lease_s: int = LEASE_S, late: str = LATE) -> DataFrame:
     """A stream's job, at, state, attempts, why (the event's kind, or lease), a row for each change of a job. events: job, seq,
-    kind (queued, claimed, failed, done, cancelled), token, at. To be started within rocksdb()."""
+    kind (queued, claimed, failed, refused, done, cancelled), token, at. To be started within rocksdb()."""
     e = events.select(F.col("job").cast("string").alias("job"), "seq", "kind", "token", "at").withWatermark("at", late)
     return e.groupBy("job").transformWithState(Leases(lease_s), _OUT, "append", "EventTime")
 
@@ -154,6 +154,52 @@ def claimed(jobs: DataFrame, worker: str, now: str, n: int = 1, lease_s: int = L
     return due.orderBy("requested_at", "job").limit(n).select("job", F.lit("claimed").alias("kind"), token.alias("token"), F.lit(now).cast("timestamp").alias("at"))
 
 
+#: States of a fetched page that are as good as it gets, that will do, and characters of an error that are kept.
+FOR_GOOD, USABLE, MOST_ERROR = ("removed", "blocked"), ("complete", "partial"), 500
+
+
+def worked(claims: DataFrame, requested: DataFrame, fetch: Callable[[dict], dict], sources: list[str], now: str) -> DataFrame:
+    """What a worker reports of the jobs that it has claimed: events as transitions() takes them (job, kind, token, at), with outcome,
+    error and payload (JSON).
+
+    claims: job, token. requested: job, source, source_id, url, payload: the record that a job is to bring up to date; sources: those
+    that can be asked. fetch(record) gives status, payload and, it may be, error; what it raises is that job's failure, and the others go
+    on. A job without a record, of a source that can't be asked, or whose page is gone for good is refused; complete and
+    partial pages are done; all else has failed, and may be tried again. Jobs are fetched by all executors, each once."""
+    import json
+
+    r = requested.select("job", "source", "source_id", "url", "payload").withColumn("known", F.lit(True))
+    todo = claims.select("job", "token").join(r, "job", "left")
+    kind = claims.schema["job"].dataType.simpleString()
+    names = ["job", "kind", "token", "outcome", "error", "payload"]
+
+    def one(row: dict) -> tuple:
+        if not row["known"]:
+            return "refused", "record_missing", "the record isn't there any more", None
+        if row["source"] not in sources:
+            return "refused", "source_unavailable", f"source {row['source']!r} can't be asked", None
+        try:
+            got = fetch({k: row[k] for k in ("source", "source_id", "url", "payload")})
+            status, error = got.get("status"), got.get("error")
+            if status in FOR_GOOD:
+                return "refused", status, error, None
+            if status in USABLE:
+                return "done", status, error, json.dumps(got.get("payload"), sort_keys=True)
+            return "failed", "failed", error or "no usable detail", None
+        except Exception as e:  # one job's failure is not the others'
+            return "failed", "failed", f"{type(e).__name__}: detail update failed", None  # what it says may quote the page
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            said = [one(r) for r in rows]
+            errors = [" ".join(e.split())[:MOST_ERROR] if e else None for _, _, e, _ in said]
+            columns = [batch.column("job"), *(pa.array(x, pa.string()) for x in ([k for k, *_ in said], [r["token"] for r in rows], [o for _, o, *_ in said], errors, [p for *_, p in said]))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return todo.mapInArrow(run, f"job {kind}, kind string, token string, outcome string, error string, payload string").withColumn("at", F.lit(now).cast("timestamp"))
+
+
 def plain(events: list[tuple], end: int, lease_s: int = LEASE_S) -> tuple[dict, list[tuple]]:
     """Of (job, seq, kind, token, ms): each job's state at the end, and its changes; the fold that the stream has to agree with."""
     jobs, moves = {}, []

@@ -241,6 +241,27 @@ def test_claims(spark):
     assert [r.job for r in got] == ["e", "a"] and len({r.token for r in got}) == 2
 
 
+def test_a_worker_reports_each_job(spark):
+    """Gone, done, failed, without a record, of another source: what is reported moves the jobs as it should."""
+    ship(spark)
+    claims = spark.createDataFrame([(j, "w1") for j in "abcdef"], "job string, token string")
+    record = [(j, "ads" if j != "e" else "post", j, f"https://x/{j}", "{}") for j in "abcde"]
+
+    def fetch(r):
+        if r["source_id"] == "d":
+            raise TimeoutError("no answer\n" + "x" * 500)
+        return {"a": {"status": "complete", "payload": {"rent": 1}}, "b": {"status": "removed"}, "c": {"status": "odd"}}[r["source_id"]]
+
+    out = leases.worked(claims, spark.createDataFrame(record, "job string, source string, source_id string, url string, payload string"), fetch, ["ads"], "2024-01-01 00:02:00")
+    got = {r.job: r for r in out.collect()}
+    assert {j: (r.kind, r.outcome) for j, r in got.items()} == {"a": ("done", "complete"), "b": ("refused", "removed"), "c": ("failed", "failed"), "d": ("failed", "failed"), "e": ("refused", "source_unavailable"), "f": ("refused", "record_missing")}
+    assert got["a"].payload == '{"rent": 1}' and got["d"].error == "TimeoutError: detail update failed"
+    before = [(j, 0, "claimed", "w1", T) for j in "abcdef"]
+    events = frame(spark, before).unionByName(out.select("job", F.lit(1).cast("long").alias("seq"), "kind", "token", "at"))
+    states = {r.job: (r.state, r.attempts) for r in leases.leased_states(events, "2024-01-01 00:03:00").collect()}
+    assert states == {"a": ("succeeded", 1), "b": ("failed", 1), "c": ("queued", 1), "d": ("queued", 1), "e": ("failed", 1), "f": ("failed", 1)}
+
+
 # -- the landed stream
 
 
