@@ -337,3 +337,13 @@ def test_export_of_retried_tasks_and_batches(spark, tmp_path):
     s.write(iter([Row(id=4)]))
     s.abort([], 8)
     assert len(list((tmp_path / "out").glob("part-*"))) == 2
+
+
+@pytest.mark.parametrize("name", ["ad_pages"])
+def test_pages_of_one_row_group_are_read_by_many_tasks(spark, sf, name):
+    """A small file is one task's to scan; the pages made of its rows are not one task's to read."""
+    import __spark_entry__ as entry
+
+    assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() == 1
+    shares = entry.queries()[name](spark, sf).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(shares) >= 4 and max(x["count"] for x in shares) <= sum(x["count"] for x in shares) / 2
