@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import address, places, research
+from ..session import spread
 from ..sources import listings
 from .queries import AS_OF, listing, query, table
 
@@ -157,7 +158,7 @@ _CARDS = """concat('<article class="listingCard"><a class="listingDetailsLink" h
 FROM part WHERE p_partkey % 6 <> 0""",
 )
 def broker_pages(spark, d):
-    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_BROKER).alias("html"))
+    pages = spread(table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.expr(_BROKER).alias("html"))
     return listings.broker_details(pages).select("page_id", "address", "price", "beds", "description", "management", F.array_join("photos", ",").alias("photo"))
 
 
