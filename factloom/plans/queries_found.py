@@ -168,5 +168,5 @@ def broker_pages(spark, d):
 )
 def broker_cards(spark, d):
     """Icons' numbers and markers of a search page's cards; a card that leads to no listing is none."""
-    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_CARDS).alias("html"))
+    pages = spread(table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.expr(_CARDS).alias("html"))
     return listings.broker_cards(pages).select("page_id", "id", "price", "address", "beds", "baths", "area", "lat", "lng")

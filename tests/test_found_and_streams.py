@@ -339,7 +339,7 @@ def test_export_of_retried_tasks_and_batches(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("part-*"))) == 2
 
 
-@pytest.mark.parametrize("name", ["ad_pages", "broker_pages"])
+@pytest.mark.parametrize("name", ["ad_pages", "broker_pages", "broker_cards"])
 def test_pages_of_one_row_group_are_read_by_many_tasks(spark, sf, name):
     """A small file is one task's to scan; the pages made of its rows are not one task's to read."""
     import __spark_entry__ as entry
